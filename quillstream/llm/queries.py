@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, urls, warc
+from . import langid, mixing, toxicity, urls, warc
 
 
 def pipeline(spark, sf_dir):
@@ -13,7 +13,9 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {
     "op3_warc_convert": warc.pages_query,
+    "op4_ppm_language": langid.documents_query,
     "op5_url_filter": urls.pages_query,
     "op8_source_mix": mixing.documents_query,
+    "op9_zstd_toxicity": toxicity.documents_query,
 }
 ORACLES: dict[str, str] = {}
