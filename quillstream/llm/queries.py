@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, toxicity, urls, warc
+from . import langid, mixing, quality, toxicity, urls, warc
 
 
 def pipeline(spark, sf_dir):
@@ -15,6 +15,7 @@ QUERIES = {
     "op3_warc_convert": warc.pages_query,
     "op4_ppm_language": langid.documents_query,
     "op5_url_filter": urls.pages_query,
+    "op6_pu_quality": quality.documents_query,
     "op8_source_mix": mixing.documents_query,
     "op9_zstd_toxicity": toxicity.documents_query,
 }

@@ -38,6 +38,19 @@ def forget(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bounds Arrow batches of long texts, unless the session already asks for less."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
+def parts(batches, rows: int = 200):
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def binary_parts(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all values, offsets) of a string or binary column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
