@@ -9,7 +9,9 @@ same kind; an empty table gives an empty archive.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import re
 import uuid
 
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_dir
+from .shared import parts, shared_dir, small_batches
 
 #: Fields of the ARC header lines, by version.
 ARC_FIELDS = {
@@ -88,28 +90,27 @@ def to_warc(arc: dict, key: int, refers_to: int | None, name: str = "page") -> b
     return "\r\n".join(head).encode("utf-8", "surrogateescape") + b"\r\n\r\n" + body
 
 
-def parse_warc(data: bytes):
-    """Yields (headers, block) of every record, by the declared lengths."""
-    at, end = 0, len(data)
-    while at < end:
-        stop = data.index(b"\r\n\r\n", at)
-        lines = data[at:stop].decode("utf-8", "surrogateescape").split("\r\n")
-        if not lines[0].startswith("WARC/"):
+def parse_warc(file):
+    """Yields (headers, block) of every record of a binary file object, by the declared lengths."""
+    while line := file.readline():
+        if not line.startswith(b"WARC/"):
             raise ValueError("no WARC record at the declared place")
-        head = dict(x.split(": ", 1) for x in lines[1:])
+        head = {}
+        while (line := file.readline()) not in (b"\r\n", b""):
+            name, _, value = line.decode("utf-8", "surrogateescape").rstrip("\r\n").partition(": ")
+            head[name] = value
         n = int(head["Content-Length"])
-        yield head, data[stop + 4 : stop + 4 + n]
-        at = stop + 4 + n
-        if data[at : at + 4] != b"\r\n\r\n":
+        block = file.read(n)
+        if len(block) != n or file.read(4) != b"\r\n\r\n":
             raise ValueError("a WARC record does not end as declared")
-        at += 4
+        yield head, block
 
 
 def arc_records(pages: DataFrame, version: int = 1) -> DataFrame:
     """pages (page_id, url, html) as ARC records: (key, arc binary)."""
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             ids, urls, html = (b.column(i) for i in range(3))
             raw = [arc_record(u, h or b"", version=version) for u, h in zip(urls.to_pylist(), html.cast(pa.binary()).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([ids, pa.array(raw, pa.binary())], ["key", "arc"])
@@ -130,7 +131,7 @@ def convert(arcs: DataFrame) -> DataFrame:
     both = keyed.join(top, "digest").select("key", "top", "arc")
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             out = []
             for k, t, a in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 out.append(to_warc(parse_arc(a), k, None if k == t else t))
@@ -140,8 +141,8 @@ def convert(arcs: DataFrame) -> DataFrame:
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Concatenates records into files through Spark's own writer, so that any store it knows will do."""
-    records.select(F.col("warc").cast("string")).write.option("lineSep", "\r\n\r\n").text(path)
+    """Concatenates records into gzip files through Spark's own writer, so that any store it knows will do."""
+    records.select(F.col("warc").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -153,14 +154,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = []
-            for (data,) in zip(b.column(0).to_pylist(), strict=True):
-                for head, block in parse_warc(data):
+            for data in b.column(0):
+                for head, block in parse_warc(gzip.GzipFile(fileobj=io.BytesIO(data.as_buffer()))):
                     digest, n = head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["X-Payload-Length"])
                     if head["WARC-Type"] == "response" and (sha1_base32(block) != digest or len(block) != n):
                         raise ValueError("a payload differs from its digest")
                     back = head.get("X-Refers-To-Key")
                     rows.append((int(head["X-Key"]), n, digest, head["WARC-Type"], int(back) if back else None, head["WARC-Target-URI"], head["WARC-Date"], block))
-                    if len(rows) == 500:
+                    if len(rows) == 100:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                         rows = []
             if rows:
@@ -173,6 +174,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pages_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(convert(arc_records(pages)), path)
