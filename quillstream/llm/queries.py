@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, quality, suffixes, toxicity, urls, warc
+from . import langid, minhash, mixing, quality, suffixes, toxicity, urls, warc
 
 
 def pipeline(spark, sf_dir):
@@ -13,6 +13,7 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {
     "op1_suffix_dedup": suffixes.documents_query,
+    "op2_order_minhash": minhash.documents_query,
     "op3_warc_convert": warc.pages_query,
     "op4_ppm_language": langid.documents_query,
     "op5_url_filter": urls.pages_query,
