@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, minhash, mixing, quality, suffixes, toxicity, urls, warc
+from . import langid, lattice, minhash, mixing, quality, suffixes, toxicity, urls, warc
 
 
 def pipeline(spark, sf_dir):
@@ -18,6 +18,7 @@ QUERIES = {
     "op4_ppm_language": langid.documents_query,
     "op5_url_filter": urls.pages_query,
     "op6_pu_quality": quality.documents_query,
+    "op7_lattice_embeddings": lattice.embeddings_query,
     "op8_source_mix": mixing.documents_query,
     "op9_zstd_toxicity": toxicity.documents_query,
 }
