@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, lattice, minhash, mixing, quality, suffixes, toxicity, urls, warc
+from . import decontam, langid, lattice, minhash, mixing, quality, suffixes, toxicity, urls, warc
 
 
 def pipeline(spark, sf_dir):
@@ -21,5 +21,7 @@ QUERIES = {
     "op7_lattice_embeddings": lattice.embeddings_query,
     "op8_source_mix": mixing.documents_query,
     "op9_zstd_toxicity": toxicity.documents_query,
+    "op10_seed_align": decontam.documents_query,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {}
