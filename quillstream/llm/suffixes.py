@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import small_batches, text_slices, written
 from .textcore import BASE, mix, powers, prefix, span_hash
@@ -331,9 +332,9 @@ def meet_at_fingerprints(batches):
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(d, t, text, doc_id): d orders documents, t tells apart different texts of one doc_id."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return d.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.xxhash64("text").bitwiseAND(0x3FFFFF).alias("t"), F.coalesce("text", F.lit("")).alias("text"), "doc_id")
+    """(d, t, text, rest): d orders documents, t tells apart different texts of one doc_id, rest holds all columns but text."""
+    d, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), F.col("text").cast("string")
+    return docs.select(d.alias("d"), F.xxhash64(text).bitwiseAND(0x3FFFFF).alias("t"), F.coalesce(text, F.lit("")).alias("text"), F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("rest"))
 
 
 def removed_windows(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
@@ -343,7 +344,8 @@ def removed_windows(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFr
     met = written(met, "runs")
     t = F.shiftright("p", 40).alias("t")
     lists = met.filter(F.col("f") == UNSETTLED).groupBy("d", t).agg(F.collect_list(F.struct("p", "n")).alias("runs"))
-    joined = base.join(lists, ["d", "t"]).select("d", "t", "text", "runs")
+    # `rest` is there so that this exchange of the texts is the one that the removal uses again.
+    joined = keyed(docs).join(lists, ["d", "t"]).select("d", "t", "text", "runs", "rest")
     late = sort_unsettled(joined, length).repartition("h").mapInArrow(meet_at_fingerprints, "d long, p long, n long")
     both = met.filter(F.col("f") == REPEAT).select("d", "p", "n").union(late)
     return both.groupBy("d", t).agg(F.collect_list(F.struct(F.col("p").bitwiseAND(int(POS)).alias("p"), "n")).alias("gone"))
@@ -362,24 +364,30 @@ def spans(gone, size: int, length: int) -> list[tuple[int, int]]:
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
-    """docs (doc_id, text) to (doc_id, spans: array of removed (start, end), kept: the remaining bytes, n_bytes), a row for each row."""
+    """docs (doc_id, text) to a row for each row: all columns but text, spans: array of removed (start, end), kept: the remaining bytes, n_bytes.
+
+    Columns of docs with these names are replaced.
+    """
+    docs = docs.drop("spans", "kept", "n_bytes")
 
     def run(batches):
         for b in batches:
             out = []
-            for doc_id, text, gone in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for text, gone in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), strict=True):
                 cut = spans(gone, len(text), length)
                 at, kept = 0, []
                 for s, e in cut:
                     kept.append(text[at:s])
                     at = e
                 kept.append(text[at:])
-                out.append((doc_id, [{"start": s, "end": e} for s, e in cut], b"".join(kept), len(text)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "spans", "kept", "n_bytes"])
-
-    kinds = [pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary(), pa.int64()]
-    both = keyed(docs).join(removed_windows(docs, length, k), ["d", "t"], "left").select("doc_id", "text", "gone")
-    return both.mapInArrow(run, "doc_id long, spans array<struct<start:long,end:long>>, kept binary, n_bytes long")
+                out.append(([{"start": s, "end": e} for s, e in cut], b"".join(kept), len(text)))
+            new = [pa.array(c, x) for c, x in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], x) for x in kinds]
+            yield pa.RecordBatch.from_arrays([b.column(2), *new], ["rest", "spans", "kept", "n_bytes"])
+
+    kinds = [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary(), pa.int64()]
+    both = keyed(docs).join(removed_windows(docs, length, k), ["d", "t"], "left").select("text", "gone", "rest")
+    schema = T.StructType([both.schema["rest"]]).add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long"))).add("kept", "binary").add("n_bytes", "long")
+    return both.mapInArrow(run, schema).select("rest.*", "spans", "kept", "n_bytes")
 
 
 def documents_query(spark: SparkSession, sf_dir: str) -> DataFrame:
