@@ -26,8 +26,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps one document, the one with the smallest doc_id, of each group of near copies; of repeated rows one."""
     small_batches(spark)
     keep = minhash.classes(docs.select("doc_id", "text")).filter("kept").select("doc_id").distinct()
-    one = docs.select(*COLUMNS).join(keep.withColumnRenamed("doc_id", "k"), F.col("doc_id").eqNullSafe(F.col("k"))).drop("k")
-    return one.dropDuplicates(["doc_id"])
+    named = docs.select(*COLUMNS).join(keep, "doc_id").dropDuplicates(["doc_id"])
+    unnamed = docs.select(*COLUMNS).filter("doc_id is null").dropDuplicates(["text"])
+    return named.select(*COLUMNS).union(unnamed)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +37,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A cut can fall inside a character; its remaining bytes are dropped with it.
     """
     small_batches(spark)
-    d = suffixes.dedup(docs.select("doc_id", "text")).filter("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", F.col("kept"), F.size("spans").alias("n_spans"))
-    clean = F.when(F.col("n_spans") == 0, F.col("kept").cast("string")).otherwise(F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit("")))
-    out = docs.select("doc_id", "lang", "source", F.col("n_chars").alias("n0")).join(d, "doc_id").withColumn("text", clean)
-    out = out.filter((F.col("n_spans") == 0) | F.col("text").rlike(r"[\p{L}\p{N}]"))
-    return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    d = suffixes.dedup(docs.select(*COLUMNS)).withColumn("cut", F.size("spans") > 0)
+    whole, rest = F.col("kept").cast("string"), F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
+    d = d.withColumn("text", F.when(F.col("cut"), rest).otherwise(whole))
+    d = d.filter(~F.col("cut") | F.col("text").rlike(r"[\p{L}\p{N}]"))
+    return d.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
