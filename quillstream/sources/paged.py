@@ -1,7 +1,7 @@
 """A paged search service as a data source: a partition for each page, filters on organisation, date and status sent along.
 
 `spark.dataSource.register(PagedSource)`, then `spark.read.format("paged").option("fetch", "module:function")...load()`.
-The fetch function takes the request's parameters and returns the answer's text; it may raise OSError, which is retried.
+Filters are sent along with spark.sql.python.filterPushdown.enabled. The fetch function takes the request's parameters and returns the answer's text; it may raise OSError, which is retried.
 """
 
 from __future__ import annotations

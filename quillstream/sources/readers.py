@@ -18,8 +18,9 @@ BAD = "_corrupt_record"
 
 def tolerant(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(records, lines that are no JSON object); blank lines vanish. A missing file is an error."""
-    d = spark.read.schema(f"{schema}, {BAD} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).json(path)
-    return d.filter(F.col(BAD).isNull()).drop(BAD), d.filter(F.col(BAD).isNotNull()).select(BAD)
+    lines = spark.read.text(path).withColumnRenamed("value", BAD).filter(tx.strip(F.col(BAD)) != "")
+    whole = F.from_json(BAD, "map<string,string>").isNotNull()
+    return lines.filter(whole).select(F.from_json(BAD, schema).alias("r")).select("r.*"), lines.filter(~whole)
 
 
 def silent(spark: SparkSession, path: str, schema: str) -> DataFrame:
