@@ -66,7 +66,7 @@ def to_warc(arc: dict, key: int, refers_to: int | None, name: str = "page") -> b
     the digest and length of the full one.
     """
     ident = lambda k: f"<urn:uuid:{uuid.uuid5(SPACE, f'{name}:{k}')}>"
-    d = arc["date"].ljust(14, "0")
+    d = arc["date"][:14] + "00010101000000"[len(arc["date"]) :]
     revisit = refers_to is not None
     head = [
         "WARC/1.1",
