@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, lattice, minhash, mixing, quality, suffixes, toxicity, urls, warc
+from . import decontam, langid, lattice, minhash, mixing, oracles, quality, suffixes, toxicity, urls, warc
 
 
 def pipeline(spark, sf_dir):
@@ -24,4 +24,11 @@ QUERIES = {
     "op10_seed_align": decontam.documents_query,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {}
+#: The others train models, align texts or link by alignment; tests hold them against brute force or held-out rows.
+ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": oracles.REPEATS,
+    "op3_warc_convert": oracles.ARCHIVES,
+    "op5_url_filter": oracles.URL_FILTER,
+    "op7_lattice_embeddings": oracles.LINKS,
+    "op8_source_mix": oracles.MIX,
+}

@@ -85,7 +85,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     out = d.join(scored.select("h", "p", "score"), (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left").withColumn("threshold", cut.scalar())
     score = F.when(F.col("threshold").isNull(), F.lit(0.0)).otherwise(F.coalesce("score", F.lit(0.0)))
     verdict = F.coalesce("ruled", F.when(F.col("threshold").isNotNull() & (F.col("host") != "") & (F.col("score") >= F.col("threshold")), "block").otherwise("allow"))
-    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), score.alias("score"), "threshold")
+    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.round(score, 6).alias("score"), "threshold")
 
 
 def threshold(trained: DataFrame) -> DataFrame:
