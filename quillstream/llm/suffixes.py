@@ -8,11 +8,12 @@ equal windows have equal anchors. Consecutive windows with one anchor are a run,
 1. Runs meet at their anchor's hash. A run equal to an earlier one is a repeat; if an anchor has different runs,
    their windows are unsettled. Each task first settles what it can by itself and sends one row for each different
    run, or a mark for an anchor it knows to be unsettled, so no anchor has more rows than two for each task.
-2. Where a text lies, its unsettled windows are suffix-sorted with those of the other texts of the task: mergesort,
-   each comparison finding the common extension by binary search over prefix polynomial hashes; neighbours with
-   a common extension of LENGTH are compared byte by byte before they count as equal.
-3. The first window of each such class meets those of other tasks at its 128-bit fingerprint.
-4. The removed windows return to their texts.
+2. The bytes of unsettled runs meet at their anchor's hash, where their windows are suffix-sorted: mergesort, each
+   comparison finding the common extension by binary search over prefix polynomial hashes; neighbours with a common
+   extension of LENGTH are compared byte by byte before they count as equal. All but the first of equal windows are repeats.
+   The runs of an anchor with more than HOT of them are not brought together; their single windows meet at 128-bit
+   fingerprints instead, of each of which a task sends one row.
+3. The removed windows return to their texts.
 
 Defined results: a null text is an empty one; texts shorter than LENGTH lose nothing; rows that repeat a doc_id
 with the same text are one document (each row gets its result), with other texts they are separate documents
@@ -23,17 +24,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import small_batches, text_slices, written
+from .shared import binary_parts, small_batches, text_slices, written
 from .textcore import BASE, mix, powers, prefix, span_hash
 
 LENGTH, K = 100, 24
 #: Longer texts are worked on in pieces that overlap by LENGTH - 1 bytes.
 PIECE = 1 << 22
 FLUSH = 500_000
+#: Unsettled runs of an anchor beyond which they meet window by window, and windows sorted at a time.
+HOT, WINDOWS = 4096, 600_000
 POS = np.int64((1 << 40) - 1)
 PLACE_BITS = np.uint64(24)
 CANDIDATE, MARK, REPEAT, UNSETTLED = 0, 1, 2, 3
@@ -116,7 +120,7 @@ def scan(docs: DataFrame, length: int, k: int) -> DataFrame:
         i = lead[unsettled]
         u = np.unique(h[i])
         yield rows(u, u, np.zeros(len(u), np.int64), np.zeros(len(u), np.int64), np.zeros(len(u), np.int64), MARK)
-        yield rows(away(i), c[i], d[i], p[i], n[i], UNSETTLED)
+        yield rows(away(i), h[i], d[i], p[i], n[i], UNSETTLED)
         yield rows(away(repeats), c[repeats], d[repeats], p[repeats], n[repeats], REPEAT)
 
     def run(batches):
@@ -151,12 +155,12 @@ def meet_at_anchors(batches):
     n = nf >> 2
     for f in (REPEAT, UNSETTLED):
         i = np.flatnonzero(flag == f)
-        yield pa.RecordBatch.from_arrays([pa.array(d[i]), pa.array(p[i]), pa.array(n[i]), pa.array(flag[i])], ["d", "p", "n", "f"])
+        yield pa.RecordBatch.from_arrays([pa.array(d[i]), pa.array(p[i]), pa.array(n[i]), pa.array(flag[i]), pa.array(c[i])], ["d", "p", "n", "f", "h"])
     i = np.flatnonzero(flag == CANDIDATE)
     if len(i):
         lead, unsettled, repeats = settle(h[i], c[i], d[i], p[i], n[i], np.unique(h[flag == MARK]))
         for x, f in ((i[lead[unsettled]], UNSETTLED), (i[repeats], REPEAT)):
-            yield pa.RecordBatch.from_arrays([pa.array(d[x]), pa.array(p[x]), pa.array(n[x]), pa.array(np.full(len(x), f))], ["d", "p", "n", "f"])
+            yield pa.RecordBatch.from_arrays([pa.array(d[x]), pa.array(p[x]), pa.array(n[x]), pa.array(np.full(len(x), f)), pa.array(h[x])], ["d", "p", "n", "f", "h"])
 
 
 class Suffixes:
@@ -261,74 +265,113 @@ def intervals(d: np.ndarray, p: np.ndarray):
     return d[head], p[head], (p[last] - p[head]) if len(d) else head
 
 
-def sort_unsettled(joined: DataFrame, length: int) -> DataFrame:
-    """Rows (h, c, d, p, nf): first windows of each class in this task with their fingerprint, and repeats."""
+def fingerprints(data: np.ndarray, p: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of the strings at the places; the second mixes four bytes at a time."""
+    two = np.zeros(len(at), np.uint64)
+    for j in range(0, length, 4):
+        word = np.zeros(len(at), np.uint64)
+        for x in range(j, min(j + 4, length)):
+            word = word << np.uint64(8) | data[at + x].astype(np.uint64)
+        two = mix(two ^ word)
+    return mix(span_hash(p, at, at + length)), two
 
-    def flush(texts, d, p):
-        s = Suffixes(np.concatenate(texts), length)
-        d, p, at = np.concatenate(d), np.concatenate([x[0] for x in p]), np.concatenate([x[1] for x in p])
-        cls = s.classes(at)
-        o = np.lexsort((p, d, cls))
-        lead = np.concatenate([[True], cls[o][1:] != cls[o][:-1]])
+
+RUNS = "h long, c long, d long, p long, nf long, bytes binary"
+
+
+def unsettled_bytes(joined: DataFrame, length: int) -> DataFrame:
+    """Unsettled runs (d, t, text, runs) with their bytes; those of hot anchors as single windows, by fingerprint."""
+
+    def send(h, c, d, p, nf, raw=None):
+        cols = [pa.array(np.asarray(x).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)) for x in (h, c, d, p, nf)]
+        return pa.RecordBatch.from_arrays([*cols, pa.nulls(len(h), pa.binary()) if raw is None else raw], ["h", "c", "d", "p", "nf", "bytes"])
+
+    def flush(held):
+        one, two, d, p = (np.concatenate(x) for x in zip(*held, strict=True))
+        o = np.lexsort((p, d, two, one))
+        lead = np.concatenate([[True], (one[o][1:] != one[o][:-1]) | (two[o][1:] != two[o][:-1])])
         i = o[lead]
-        one = mix(span_hash(s.p, at[i], at[i] + length))
-        two = np.zeros(len(i), np.uint64)
-        for j in range(0, length, 4):  # another polynomial, over four bytes at a time
-            word = np.zeros(len(i), np.uint64)
-            for x in range(j, min(j + 4, length)):
-                word = word << np.uint64(8) | s.data[at[i] + x].astype(np.uint64)
-            two = mix(two ^ word)
-        yield rows(one, two, d[i], p[i], np.zeros(len(i), np.int64), CANDIDATE)
-        j = o[~lead]
+        yield send(one[i], two[i], d[i], p[i], np.full(len(i), CANDIDATE))
+        first = i[np.cumsum(lead) - 1]
+        j = o[(d[o] != d[first]) | (p[o] != p[first])]
         x, y, n = intervals(d[j], p[j])
-        yield rows(mix(x.view(np.uint64)), y, x, y, n, REPEAT)
+        yield send(mix(x.view(np.uint64)), y, x, y, n * 4 + REPEAT)
 
     def run(batches):
-        texts, ds, ps, held, windows = [], [], [], 0, 0
+        held, count = [], 0
         for part, data, off in text_slices(batches, "text"):
             d, t, lists = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(3)
-            inner = np.diff(lists.offsets.to_numpy())
+            doc = np.repeat(np.arange(len(d)), np.diff(lists.offsets.to_numpy()))
             flat = lists.flatten()
-            pos, more = flat.field(0).to_numpy() & POS, flat.field(1).to_numpy()
-            doc = np.repeat(np.arange(len(d)), inner)
-            begin = off[:-1][doc] + pos
-            key = np.unique(np.stack([begin, more]), axis=1)  # repeated rows of a document
-            begin, more = key
-            doc = np.searchsorted(off, begin, "right") - 1
-            # The runs' bytes, one after the other.
-            n = more + length
-            texts.append(data[spread(begin, n - 1)])
-            start = held + np.cumsum(n) - n
-            at = spread(start, more)
-            number = np.repeat(doc, more + 1)
-            ds.append(d[number])
-            ps.append((spread(begin, more) - off[:-1][number] + (t[number] << 40), at))
-            held += int(n.sum())
-            windows += len(at)
-            if windows > 1_000_000:
-                yield from flush(texts, ds, ps)
-                texts, ds, ps, held, windows = [], [], [], 0, 0
-        if windows:
-            yield from flush(texts, ds, ps)
-
-    return joined.mapInArrow(run, SCHEMA)
-
-
-def meet_at_fingerprints(batches):
-    cols = gathered(batches, ["h", "c", "d", "p", "nf"])
-    if cols is None:
-        return
-    h, c, d, p, nf = cols
-    i = np.flatnonzero((nf & 3) == REPEAT)
-    yield pa.RecordBatch.from_arrays([pa.array(d[i]), pa.array(p[i]), pa.array(nf[i] >> 2)], ["d", "p", "n"])
-    i = np.flatnonzero((nf & 3) == CANDIDATE)
-    if len(i):
-        o = i[np.lexsort((p[i], d[i], c[i], h[i]))]
-        lead = np.concatenate([[True], (h[o][1:] != h[o][:-1]) | (c[o][1:] != c[o][:-1])])
-        first = o[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
+            pos, more, h, hot = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            place = pos & POS
+            begin = off[:-1][doc] + place
+            i = np.flatnonzero(~hot)
+            if len(i):
+                size = more[i] + length
+                raw = data[spread(begin[i], size - 1)]
+                ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                yield send(h[i], h[i], d[doc[i]], pos[i], more[i] * 4 + UNSETTLED, pa.Array.from_buffers(pa.binary(), len(i), [None, pa.py_buffer(ends), pa.py_buffer(raw)]))
+            i = np.flatnonzero(hot)
+            if len(i):
+                # Bytes of the runs, one after the other, so that hashes reach over runs only.
+                size = more[i] + length
+                raw = data[spread(begin[i], size - 1)]
+                at = spread(np.cumsum(size) - size, more[i])
+                one, two = fingerprints(raw, prefix(raw), at, length)
+                held.append((one, two, np.repeat(d[doc[i]], more[i] + 1), spread(pos[i], more[i])))
+                count += len(at)
+                if count > 2 * WINDOWS:
+                    yield from flush(held)
+                    held, count = [], 0
+        if count:
+            yield from flush(held)
+
+    return joined.mapInArrow(run, RUNS)
+
+
+def sort_runs(length: int):
+    """Settles what meets in a partition: suffix-sorts the windows of whole anchors, some hundred thousand at a time."""
+
+    def repeats(cls, d, p):
+        o = np.lexsort((p, d, cls))
+        new = np.concatenate([[True], cls[o][1:] != cls[o][:-1]])
+        first = o[new][np.cumsum(new) - 1]
         j = o[(d[o] != d[first]) | (p[o] != p[first])]
         x, y, n = intervals(d[j], p[j])
-        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(n)], ["d", "p", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(n)], ["d", "p", "n"])
+
+    def run(batches):
+        got = list(batches)
+        table = pa.Table.from_batches(got) if got else None
+        if table is None or not table.num_rows:
+            return
+        h, c, d, p, nf = (table.column(x).to_numpy() for x in ("h", "c", "d", "p", "nf"))
+        flag = nf & 3
+        i = np.flatnonzero(flag == REPEAT)
+        yield pa.RecordBatch.from_arrays([pa.array(d[i]), pa.array(p[i]), pa.array(nf[i] >> 2)], ["d", "p", "n"])
+        i = np.flatnonzero(flag == CANDIDATE)
+        if len(i):
+            o = i[np.lexsort((c[i], h[i]))]
+            cls = np.empty(len(h), np.int64)
+            cls[o] = np.cumsum(np.concatenate([[True], (h[o][1:] != h[o][:-1]) | (c[o][1:] != c[o][:-1])]))
+            yield repeats(cls[i], d[i], p[i])
+        i = np.flatnonzero(flag == UNSETTLED)
+        i = i[np.argsort(h[i], kind="stable")]
+        more = nf[i] >> 2
+        head = np.flatnonzero(np.concatenate([[True], h[i][1:] != h[i][:-1]])) if len(i) else i
+        whole = np.add.reduceat(more + 1, head) if len(i) else i
+        batch = np.cumsum(whole) // WINDOWS
+        cuts = np.append(head[np.flatnonzero(np.concatenate([[True], batch[1:] != batch[:-1]]))] if len(i) else head, len(i))
+        raw = table.column("bytes").combine_chunks()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            rows_ = i[a:b]
+            data, off = binary_parts(raw.take(pa.array(rows_)))
+            n = more[a:b]
+            at = spread(off[:-1], n)
+            yield repeats(Suffixes(data, length).classes(at), np.repeat(d[rows_], n + 1), spread(p[rows_], n))
+
+    return run
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -340,29 +383,20 @@ def keyed(docs: DataFrame) -> DataFrame:
 def removed_windows(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """(d, t, list of (p, n)): first removed window and the number after it, for each document that loses any."""
     base = keyed(docs).select("d", "t", "text")
-    met = scan(base, length, k).repartition("h").mapInArrow(meet_at_anchors, "d long, p long, n long, f long")
+    met = scan(base, length, k).repartition("h").mapInArrow(meet_at_anchors, "d long, p long, n long, f long, h long")
     met = written(met, "runs")
     t = F.shiftright("p", 40).alias("t")
-    lists = met.filter(F.col("f") == UNSETTLED).groupBy("d", t).agg(F.collect_list(F.struct("p", "n")).alias("runs"))
+    open_ = met.filter(F.col("f") == UNSETTLED)
+    hot = open_.groupBy("h").agg(F.count("*").alias("runs")).filter(F.col("runs") > HOT).select("h", F.lit(True).alias("hot"))
+    open_ = open_.join(hot, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    lists = open_.groupBy("d", t).agg(F.collect_list(F.struct("p", "n", "h", "hot")).alias("runs"))
     # `rest` is there so that this exchange of the texts is the one that the removal uses again.
     joined = keyed(docs).join(lists, ["d", "t"]).select("d", "t", "text", "runs", "rest")
-    late = sort_unsettled(joined, length).repartition("h").mapInArrow(meet_at_fingerprints, "d long, p long, n long")
+    late = unsettled_bytes(joined, length).repartition("h").mapInArrow(sort_runs(length), "d long, p long, n long")
     both = met.filter(F.col("f") == REPEAT).select("d", "p", "n").union(late)
     return both.groupBy("d", t).agg(F.collect_list(F.struct(F.col("p").bitwiseAND(int(POS)).alias("p"), "n")).alias("gone"))
 
 
-def spans(gone, size: int, length: int) -> list[tuple[int, int]]:
-    """Maximal removed byte ranges."""
-    out: list[tuple[int, int]] = []
-    for p, n in sorted((x["p"], x["n"]) for x in gone or ()):
-        e = min(size, p + n + length)
-        if out and p <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((p, e))
-    return out
-
-
 def dedup(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """docs (doc_id, text) to a row for each row: all columns but text, spans: array of removed (start, end), kept: the remaining bytes, n_bytes.
 
@@ -371,20 +405,30 @@ def dedup(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     docs = docs.drop("spans", "kept", "n_bytes")
 
     def run(batches):
-        for b in batches:
-            out = []
-            for text, gone in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), strict=True):
-                cut = spans(gone, len(text), length)
-                at, kept = 0, []
-                for s, e in cut:
-                    kept.append(text[at:s])
-                    at = e
-                kept.append(text[at:])
-                out.append(([{"start": s, "end": e} for s, e in cut], b"".join(kept), len(text)))
-            new = [pa.array(c, x) for c, x in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], x) for x in kinds]
-            yield pa.RecordBatch.from_arrays([b.column(2), *new], ["rest", "spans", "kept", "n_bytes"])
-
-    kinds = [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary(), pa.int64()]
+        for part, data, off in text_slices(batches, "text"):
+            gone, n = part.column(1), part.num_rows
+            doc = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(gone), 0).to_numpy())
+            flat = gone.flatten()
+            p, more = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+            size = np.diff(off)
+            edge = np.zeros(len(data) + 1, np.int64)
+            np.add.at(edge, off[:-1][doc] + p, 1)
+            np.add.at(edge, off[:-1][doc] + np.minimum(size[doc], p + more + length), -1)
+            cut = np.cumsum(edge)[:-1] > 0
+            begin, stop = cut.copy(), cut.copy()
+            begin[1:] &= ~cut[:-1]
+            stop[:-1] &= ~cut[1:]
+            inner = off[(off > 0) & (off < len(data))]
+            begin[inner], stop[inner - 1] = cut[inner], cut[inner - 1]
+            s, e = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+            at = np.searchsorted(off, s, "right") - 1
+            number = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=n))]).astype(np.int32)
+            base = off[:-1][at]
+            spans = pa.ListArray.from_arrays(pa.array(number), pa.StructArray.from_arrays([pa.array(s - base), pa.array(e - base)], ["start", "end"]))
+            left = np.concatenate([[0], np.cumsum(~cut)])[off].astype(np.int32)
+            kept = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(left), pa.py_buffer(data[~cut])])
+            yield pa.RecordBatch.from_arrays([part.column(2), spans, kept, pa.array(size)], ["rest", "spans", "kept", "n_bytes"])
+
     both = keyed(docs).join(removed_windows(docs, length, k), ["d", "t"], "left").select("text", "gone", "rest")
     schema = T.StructType([both.schema["rest"]]).add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long"))).add("kept", "binary").add("n_bytes", "long")
     return both.mapInArrow(run, schema).select("rest.*", "spans", "kept", "n_bytes")
