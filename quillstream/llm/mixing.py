@@ -65,27 +65,62 @@ def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed.join(s, placed["source"].eqNullSafe(s["s2"])).drop("s2"), src
 
 
-def schedule(spark: SparkSession, src: DataFrame, slots: int) -> DataFrame:
-    """Rows (source, slots): how many slots of the schedule fall to each source.
-
-    Rank r of a source takes block r of its unrolled stream, so ranks 0 to slots - 1 take its first
-    slots * block tokens. A combining aggregate counts the slots.
-    """
+def slots_of(spark: SparkSession, src: DataFrame, slots: int) -> DataFrame:
+    """Rows (slot, source): the source to which each slot of the schedule falls."""
     s = src.filter("source_size > 0")
     i = spark.range(slots).select(F.col("id").alias("slot"), ((F.col("id") + 0.5) * GOLDEN % 1.0).alias("u"))
     i = i.withColumn("cell", F.floor(F.col("u") * CELLS))
     cells = s.select("source", "lo", "hi", "last", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.when(F.col("last"), CELLS).otherwise(F.floor(F.col("hi") * CELLS)))).alias("cell"))
     hit = i.join(cells, "cell").filter((F.col("u") >= F.col("lo")) & ((F.col("u") < F.col("hi")) | F.col("last")))
-    return hit.groupBy("source").agg(F.count("*").alias("slots"))
+    return hit.select("slot", "source")
+
+
+def schedule(spark: SparkSession, src: DataFrame, slots: int) -> DataFrame:
+    """Rows (source, slots): how many slots of the schedule fall to each source, by a combining aggregate.
+
+    Rank r of a source takes block r of its unrolled stream, so ranks 0 to slots - 1 take its first slots * block tokens.
+    """
+    return slots_of(spark, src, slots).groupBy("source").agg(F.count("*").alias("slots"))
+
+
+def slot_count(src: DataFrame) -> int:
+    total = src.agg(F.max("total"), F.max("block")).head()
+    return int(-(-(total[0] or 0) // (total[1] or 1)))
+
+
+def mixture(docs: DataFrame) -> DataFrame:
+    """The mix in its order: rows (slot, source, doc_id, first_word, last_word, place), a part of a document for each.
+
+    Slots are ranked within their source by prefix sums over parts of the schedule. A slot's block is a range of its
+    source's unrolled stream, cut where the stream begins anew; it meets the documents of the stream by equal parts of block
+    length, and both parts that a pair may share count once.
+    """
+    spark = docs.sparkSession
+    placed, src = plan(docs)
+    at = slots_of(spark, src, slot_count(src)).withColumn("part", F.floor(F.col("slot") / BUCKETS))
+    per = at.groupBy("source", "part").agg(F.count("*").alias("n"))
+    per = per.select(F.col("source").alias("s1"), F.col("part").alias("p1"), (F.sum("n").over(W.partitionBy("source").orderBy("part")) - F.col("n")).alias("ahead"))
+    at = at.join(per, at["source"].eqNullSafe(per["s1"]) & (at["part"] == per["p1"])).withColumn("rank", F.col("ahead") + F.row_number().over(W.partitionBy("source", "part").orderBy("slot")) - 1)
+    s = src.select(F.col("source").alias("s2"), "source_size", "block")
+    at = at.join(s, at["source"].eqNullSafe(s["s2"])).select("slot", "source", "source_size", "block", (F.col("rank") * F.col("block")).alias("from"))
+    at = at.withColumn("to", F.least(F.col("from") + F.col("block"), F.col("source_size") * REPEATS)).filter(F.col("to") > F.col("from"))
+    turn = F.explode(F.sequence(F.floor(F.col("from") / F.col("source_size")), F.floor((F.col("to") - 1) / F.col("source_size"))))
+    at = at.withColumn("turn", turn).withColumn("lo", F.greatest(F.lit(0), F.col("from") - F.col("turn") * F.col("source_size"))).withColumn("hi", F.least(F.col("source_size"), F.col("to") - F.col("turn") * F.col("source_size")))
+    cell = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / F.col("block")), F.floor((F.col(hi) - 1) / F.col("block"))))
+    at = at.select("slot", F.col("source").alias("s3"), "turn", "lo", "hi", "block", cell("lo", "hi").alias("cell"))
+    d = placed.filter("size > 0").withColumn("stop", F.col("start") + F.col("size"))
+    d = d.select("doc_id", "source", "start", "stop", "size", F.col("block").alias("b3"), cell("start", "stop").alias("c3"))
+    j = d.join(at, d["source"].eqNullSafe(at["s3"]) & (d["c3"] == at["cell"])).filter((F.col("lo") < F.col("stop")) & (F.col("start") < F.col("hi")))
+    j = j.filter(F.col("cell") == F.floor(F.greatest("lo", "start") / F.col("block")))
+    first, last = F.greatest("lo", "start") - F.col("start"), F.least("hi", "stop") - F.col("start")
+    return j.select("slot", "source", "doc_id", first.alias("first_word"), last.alias("last_word"), (F.col("turn") * F.lit(1 << 40) + F.col("start")).alias("place"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """documents to (doc_id, size, source_size, target, taken) and source; see the module's text."""
     spark = docs.sparkSession
     placed, src = plan(docs)
-    total = src.agg(F.max("total"), F.max("block")).head()
-    slots = int(-(-(total[0] or 0) // (total[1] or 1)))
-    per = schedule(spark, src, slots).withColumnRenamed("source", "s2")
+    per = schedule(spark, src, slot_count(src)).withColumnRenamed("source", "s2")
     j = placed.join(per, placed["source"].eqNullSafe(per["s2"]), "left").drop("s2")
     # The unrolled stream's first `upto` tokens are taken: whole rounds, then the blocks up to the rest.
     j = j.withColumn("upto", F.least(F.coalesce(F.col("slots"), F.lit(0)) * F.col("block"), F.col("source_size") * REPEATS))

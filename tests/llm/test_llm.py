@@ -414,6 +414,8 @@ def test_mix(spark):
         assert 0 <= r["taken"] <= 3 * r["size"]
         taken[r["source"]] += r["taken"]
     assert all(abs(taken[s] - want[s]) <= 4 for s in sizes)
+    parts = {r[0]: r[1] for r in mixing.mixture(d).groupBy("doc_id").agg(F.sum(F.col("last_word") - F.col("first_word"))).collect()}
+    assert parts == {r["doc_id"]: r["taken"] for r in got if r["taken"]}
 
 
 def test_mix_empty(spark):
