@@ -126,6 +126,8 @@ def best_matches(items: Items, w: np.ndarray, first: np.ndarray):
     at = np.repeat(at, count)
     keep = items.rare[row]
     row, at = row[keep], at[keep]
+    if not len(row):
+        return score, which
     doc, item, diagonal = np.searchsorted(first, at, "right") - 1, items.item[row], at - items.at[row]
     o = np.lexsort((diagonal, item, doc))
     doc, item, diagonal = doc[o], item[o], diagonal[o]
