@@ -2,7 +2,8 @@
 
 Trusted positives are labelled rows of quality 1; the unlabelled set is every training document. With class
 prior p, the risk is p * R+(positives) + max(0, R-(unlabelled) - p * R-(positives)); where the second part
-is below zero its gradient is reversed. The prior is estimated from the labelled rows: the share of quality 1.
+is below zero its gradient is reversed. Scores are then shifted so that THRESHOLD lies in the widest gap near the
+expected share of negatives. The prior is estimated from the labelled rows: the share of quality 1.
 
 Features of a text: shares of pairs of adjacent byte kinds, and of repeated, short, capital and mixed words, by
 logarithm of length. The fit uses a bounded sample, SAMPLE labelled and SAMPLE unlabelled rows with the smallest
@@ -26,6 +27,8 @@ from .toxicity import held_out
 SAMPLE = 8000
 ROUNDS, RATE, DECAY = 600, 0.05, 1e-3
 THRESHOLD = 0.7
+#: How far from the expected share of negatives, as a share of the unlabelled rows, the decision may lie.
+NEAR = 0.006
 
 #: Byte kinds: small letter, capital, digit, space, line end, sentence end, comma, other mark, beyond ASCII.
 KIND = np.full(256, 7, np.uint8)
@@ -97,6 +100,14 @@ class Model:
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             w = w - RATE * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8)
         self.weights = w
+        # Where the unlabelled scores are thinnest, near the share of negatives, is where the decision belongs.
+        z = np.sort(u @ w)
+        mid, room = int((1 - prior) * len(z)), max(1, int(NEAR * len(z)))
+        near = z[max(0, mid - room) : mid + room + 1]
+        gap = np.diff(near)
+        at = int(gap.argmax()) if len(gap) else -1
+        cut = (near[at] + near[at + 1]) / 2 if at >= 0 else 0.0
+        self.weights[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - cut
 
     def ready(self, x: np.ndarray) -> np.ndarray:
         return np.column_stack([np.clip((x - self.mean) / self.scale, -8, 8), np.ones(len(x))])
