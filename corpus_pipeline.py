@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from quillstream.llm import decontam, langid, minhash, mixing, suffixes
 from quillstream.llm.shared import shared_dir, small_batches
 
-#: A text is rejected by language identification if it has no letter, or its language is no likelier than the others together.
-SURE = 0.5
+#: A text is rejected by language identification if it has no letter, or no language has that much of the posterior.
+SURE = 0.3
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
