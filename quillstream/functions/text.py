@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 # Character classes, written so that Java's regular expressions and RE2 read them alike.
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 SP = f"[{SPACE}]"
+SPACES = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 LETTER = r"\p{L}"
 ALNUM = r"\p{L}\p{N}"
 WORD = r"[\p{L}\p{N}_]"
@@ -36,7 +37,7 @@ def truthy(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SP}+|{SP}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def joined_hyphens(c: Column) -> Column:

@@ -28,7 +28,7 @@ def external_pages(pages: Column) -> Column:
 def page_rows(d: DataFrame, pages: str) -> DataFrame:
     """A row for each page that isn't blank, with its 1-based number; text as it was read."""
     x = d.select(*[c for c in d.columns if c != pages], F.posexplode(pages).alias("__pos", "page_text"))
-    return x.filter(tx.strip("page_text") != "").withColumn("page", F.col("__pos") + 1).drop("__pos")
+    return x.filter(tx.strip(F.col("page_text")) != "").withColumn("page", F.col("__pos") + 1).drop("__pos")
 
 
 def outcome(d: DataFrame, done: DataFrame | None = None, key: str = "ada") -> DataFrame:
