@@ -7,7 +7,7 @@ A pair counts in the first table, and there the smallest cell, where it meets.
 
 Equal vectors of a label are one class with a weight. Cells of more than BLOCK rows are cut into blocks, and blocks
 are compared with each other in separate groups; what comes out of a group is a row for each vector with its number of
-links and one neighbour, not the pairs.
+links and one vector of its component in the group (of small groups a row for each link and end), not the pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and those with a null label,
 have no links and are their own components; equal vectors of one label link with each other; rows that share a vec_id
@@ -149,8 +149,23 @@ class Met:
         return ok
 
 
+def join(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """root (of each row the smallest row of its component) after the links of rows i with j."""
+    while True:
+        a, b = root[i], root[j]
+        apart = a != b
+        if not apart.any():
+            return root
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def compare(rows: DataFrame) -> DataFrame:
-    """Rows (cell, side, group, id, w, v, label), a partition holding whole groups, to (id, other, n): n links of id, other one of them.
+    """Rows (cell, side, group, id, w, v, label), a partition holding whole groups, to (id, other, n).
+
+    n is a number of links of id, other a vector of its component; the rows (id, other) join what the links join.
 
     side 0 stands for a group in which all are compared; in others rows of side 1 are compared with those of side 2.
     """
@@ -187,7 +202,7 @@ def compare(rows: DataFrame) -> DataFrame:
                     out_j += [m.id[j], m.id[i]]
                     out_n += [m.w[j], m.w[i]]
         for s, k in zip(cut[:-1][size >= FEW], size[size >= FEW], strict=True):
-            total, other = np.zeros(k, np.int64), np.full(k, np.iinfo(np.int64).max)
+            total, root = np.zeros(k, np.int64), np.arange(k)
             x = m.x[s : s + k]
             for r in range(0, k, 256):
                 link = x[r : r + 256] @ x.T >= LEAST
@@ -198,10 +213,10 @@ def compare(rows: DataFrame) -> DataFrame:
                 ok = m.counts(s + i, s + j)
                 i, j = i[ok], j[ok]
                 np.add.at(total, i, m.w[s + j])
-                np.minimum.at(other, i, m.id[s + j])
+                root = join(root, i[i < j], j[i < j])
             some = np.flatnonzero(total)
             out_i.append(m.id[s + some])
-            out_j.append(other[some])
+            out_j.append(m.id[s + root[some]])
             out_n.append(total[some])
         if out_i:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (out_i, out_j, out_n)], ["id", "other", "n"])

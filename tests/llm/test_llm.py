@@ -367,6 +367,24 @@ def test_lattice(spark, monkeypatch, block):
     assert all(got[i] == want[i] for i in range(300, 309))
 
 
+def test_lattice_chains(spark):
+    """Components against all pairs that meet in a cell, where linked vectors of cells of FEW and more are no cliques."""
+    g = np.random.default_rng(1)
+    x = np.float32(g.standard_normal((1, 64)) + 0.3 * g.standard_normal((60, 64))).astype(float)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    home, probe = lattice.cells(u)
+    link = u @ u.T >= lattice.LEAST
+    at = (home[:, None, :, None] == probe[None]).any((2, 3))
+    link &= (home[:, None] == home[None]).any(2) | at | at.T
+    np.fill_diagonal(link, False)
+    assert max(np.unique(home[:, t], return_counts=True)[1].max() for t in range(lattice.TABLES)) >= lattice.FEW
+    root = np.arange(60)
+    for _ in range(60):
+        root = np.minimum(root, np.where(link, root[None], 60).min(1))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in lattice.links(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")).collect()}
+    assert got == {i: (int(link[i].sum()), int(root[i]), bool(root[i] == i)) for i in range(60)}
+
+
 def test_lattice_points():
     x = np.random.default_rng(1).standard_normal((300, 8)) * 2
     near, next_ = lattice.e8(x)
