@@ -1,11 +1,14 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
 Seeds are the GRAM-word strings of the test items (whole items where shorter). Documents that hold a seed are
-counted over the whole corpus; a seed is rare for its item if that count is at most TYPICAL times the item's median
-(or LEAST_DOCS), so that common phrases drop out while a passage copied many times keeps its seeds. Around
-the rare seeds that a document shares with an item, its words are aligned locally with the item's: 2 for
-equal words, -1 for others and for gaps. The score over twice the item's length is at most 1; a document is contaminated if
-it reaches SCORE for some item.
+counted over the whole corpus; a seed is rare for its item if that count is at most TYPICAL times the median of the
+item's seeds that occur (or LEAST_DOCS). Around the seeds that a document shares with an item, its words are aligned
+locally with the item's: 2 for equal words, -1 for others and for gaps. The score over twice the item's length is at
+most 1; a document is contaminated if it reaches SCORE for some item.
+
+Places with a rare seed are always aligned. Those with common ones alone are left out only where too few of the item's
+words occur for SCORE, or for more than the document's score so far: no alignment there could count. So rarity decides
+only which scores below SCORE are reported.
 
 Items are few enough for their seeds to be broadcast; more than MOST_SEEDS are worked on in slices of the items, each
 over all documents.
@@ -43,6 +46,8 @@ class Items:
             if len(w):
                 self.ids.append(i)
                 self.words.append(w)
+        self.vocabulary = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, np.uint64)
+        self.places = [np.searchsorted(self.vocabulary, w) for w in self.words]
         seeds, item, at, size = [], [], [], []
         for k, w in enumerate(self.words):
             n = min(GRAM, len(w))
@@ -66,7 +71,15 @@ class Items:
         n = docs[self.number]
         for k in range(len(self.words)):
             i = np.flatnonzero(self.item == k)
-            self.rare[i] = n[i] <= max(LEAST_DOCS, TYPICAL * np.median(n[i]))
+            found = n[i][n[i] > 0]
+            self.rare[i] = n[i] <= max(LEAST_DOCS, TYPICAL * np.median(found) if len(found) else 0)
+
+    def known(self, w: np.ndarray) -> np.ndarray:
+        """Which words of the vocabulary are among w."""
+        out = np.zeros(len(self.vocabulary), bool)
+        i = np.minimum(np.searchsorted(self.vocabulary, w), len(out) - 1)
+        out[i[self.vocabulary[i] == w]] = True
+        return out
 
     def hits(self, w: np.ndarray, first: np.ndarray):
         """(number of the different seed, place of its first word) for seeds that lie within one text."""
@@ -112,6 +125,11 @@ def seed_counts(docs: DataFrame, items: Items) -> np.ndarray:
     return out
 
 
+def _may_reach(most: float, score: float) -> bool:
+    """Whether a score of at most `most` can count in a text whose score so far is `score`."""
+    return most >= SCORE and most > score
+
+
 def best_matches(items: Items, w: np.ndarray, first: np.ndarray):
     """For each text: (best score, number of its item or -1, first and last word aligned around)."""
     n = len(first) - 1
@@ -119,27 +137,32 @@ def best_matches(items: Items, w: np.ndarray, first: np.ndarray):
     seed, at = items.hits(w, first)
     if not len(seed):
         return score, which
-    # Every (text, item, diagonal) of a rare seed.
+    # Every (text, item, diagonal) of a seed.
     start = items.first[seed]
     count = np.append(items.first[1:], len(items.seed))[seed] - start
     row = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start, count)
     at = np.repeat(at, count)
-    keep = items.rare[row]
-    row, at = row[keep], at[keep]
-    if not len(row):
-        return score, which
     doc, item, diagonal = np.searchsorted(first, at, "right") - 1, items.item[row], at - items.at[row]
     o = np.lexsort((diagonal, item, doc))
-    doc, item, diagonal = doc[o], item[o], diagonal[o]
+    doc, item, diagonal, rare = doc[o], item[o], diagonal[o], items.rare[row[o]]
     size = np.array([len(x) for x in items.words])[item]
     new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > size[1:])]) if len(doc) else np.zeros(0, bool)
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(doc)) - 1
-    for a, b in zip(head, tail, strict=True):
+    rare = np.logical_or.reduceat(rare, head)
+    here, mine = None, -1  # the vocabulary in text `mine`
+    for a, b, always in zip(head.tolist(), tail.tolist(), rare.tolist(), strict=True):
         d, k = doc[a], item[a]
         m = len(items.words[k])
+        if not always:
+            if mine != d:
+                here, mine = items.known(w[first[d] : first[d + 1]]), d
+            if not _may_reach(here[items.places[k]].sum() / m, score[d]):
+                continue
         lo = max(first[d], diagonal[a] - m // 2)
         hi = min(first[d + 1], diagonal[b] + m + m // 2)
+        if not always and not _may_reach(np.isin(items.words[k], w[lo:hi]).sum() / m, score[d]):
+            continue
         s = align(items.words[k], w[lo:hi]) / (2 * m)
         if s > score[d]:
             score[d], which[d] = s, k

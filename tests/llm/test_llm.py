@@ -476,6 +476,27 @@ def test_decontamination(spark, monkeypatch, most):
     assert decontam.check(docs(spark, t).limit(0), b).count() == 0
 
 
+@pytest.mark.parametrize("copies", [10, 11, 40])
+def test_decontamination_of_many_copies(copies):
+    """Half an item or an edited one in many documents, beside a stray rare seed, against an alignment of whole texts."""
+    half, edited = prose(60), prose(60).split()
+    edited[::5] = ["other"] * 12
+    items = decontam.Items([0, 1, 2], [half, " ".join(w if i % 5 else word() for i, w in enumerate(edited)), prose(40)])
+    text = [prose(40) + " " + " ".join(half.split()[:30]) + " " + prose(9) for _ in range(copies)] + [prose(20) + " " + " ".join(edited) + " " + prose(9) for _ in range(copies)]
+    text += [" ".join(half.split()[:30]) + " " + prose(200) + " " + " ".join(half.split()[50:55]), prose(50) + " " + " ".join(half.split()[:5]), prose(80)]
+    raw = [t.encode() for t in text]
+    w, _, _, first = words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    seed, at = items.hits(w, first)
+    doc = np.searchsorted(first, at, "right") - 1
+    items.keep_rare(np.bincount(np.unique(np.column_stack([doc, seed]), axis=0)[:, 1], minlength=len(items.first)))
+    score, which = decontam.best_matches(items, w, first)
+    for i in range(len(text)):
+        best = max((brute_align(x, w[first[i] : first[i + 1]]) / (2 * len(x)), -k) for k, x in enumerate(items.words))
+        assert (score[i] >= decontam.SCORE) == (best[0] >= decontam.SCORE)
+        assert best[0] < decontam.SCORE or (score[i], which[i]) == (best[0], -best[1])
+    assert (score >= decontam.SCORE).sum() == 2 * copies + 1
+
+
 # --- words and the pipeline ---------------------------------------------------------------------------------------
 
 
