@@ -117,6 +117,29 @@ def test_near_duplicates(spark, monkeypatch):
     assert find(2) == 0 and find(3) == 0 and find(1) == 1 and find(30) == 30
 
 
+@pytest.mark.parametrize("block", [256, 9])
+def test_near_duplicates_of_one_base(spark, monkeypatch, block):
+    """Copies of a base, edited in different places and not alike enough for a link, some of them edited once more."""
+    monkeypatch.setattr(minhash, "BLOCK", block, raising=False)
+    base = prose(200).split()
+
+    def edited(w, n):
+        at = rnd.randrange(len(w) - n)
+        return [*w[:at], *(prose(n).split()), *w[at + n :]]
+
+    copies = [edited(base, 14) for _ in range(60)]
+    texts = [" ".join(w) for w in copies + [edited(w, 8) for w in copies[:30]]]
+    ws = [minhash.hashed(t.encode()) for t in texts]
+    sk = [set(enumerate(minhash.sketches(minhash.labelled(w)).tolist())) for w in ws]
+    root = np.arange(len(texts))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sk[i] & sk[j] and root[i] != root[j] and minhash.similar(ws[i], ws[j]):
+                root[np.isin(root, [root[i], root[j]])] = min(root[i], root[j])
+    got = {r["doc_id"]: r["class_id"] for r in minhash.classes(docs(spark, texts)).collect()}
+    assert got == dict(enumerate(root.tolist())) and 2 < len(set(root.tolist())) < 80
+
+
 def test_near_duplicates_odd(spark):
     t = prose(100)
     d = spark.createDataFrame([(None, t), (3, t), (3, t), (4, prose(100))], "doc_id long, text string")
