@@ -16,6 +16,14 @@ from quillstream.llm.shared import components
 from quillstream.llm.textcore import words
 
 rnd = random.Random(7)
+
+
+@pytest.fixture(autouse=True)
+def seeded(request):
+    """Texts of a test don't depend on which tests ran before."""
+    rnd.seed(request.node.name)
+
+
 SYLLABLES = ["ba", "ko", "mi", "tu", "re", "sal", "en", "dor", "vi", "pa"]
 
 
@@ -332,24 +340,57 @@ def test_quality(spark):
     assert quality.score(d.limit(0), m).count() == 0
 
 
-def test_toxicity(spark):
+def toxic_rows():
+    """Three vocabularies: insults as whole words, as stems with many endings, and stems that clean texts also hold now and then."""
+    insults = {0: ["wretchedfool", "gruntpig", "oaf"], 1: ["lumqu", "dworx"], 2: ["bréeux", "skowlich"]}
+    ends = ["", "ba", "komi", "reen", "sal", "tudor", "vi", "pako", "enmi", "ré"]
     rows, marks = [], []
-    for i in range(300):
-        w = prose(rnd.randint(20, 60)).split()
-        if i % 5 == 2:
-            for _ in range(3):
-                w.insert(rnd.randint(0, len(w)), rnd.choice(["wretchedfool", "gruntpig"]))
+    for i in range(900):
+        kind, bad = i % 3, (i // 3) % 5 == 2
+        w = prose(rnd.randint(20, 80)).split()
+        say = lambda: rnd.choice(insults[kind]) + ("" if kind == 0 else rnd.choice(ends))  # noqa: B023,E731
+        for _ in range(rnd.randint(3, 5) if bad else int(kind == 2 and rnd.random() < 0.07)):
+            w.insert(rnd.randint(0, len(w)), say())
         rows.append((i, " ".join(w)))
-        marks.append((i, 1, int(i % 5 == 2)))
-    rows += [(1000 + i, t) for i, t in enumerate(ODD)] + [(None, "gruntpig")]
+        marks.append((i, 1, int(bad)))
+    return rows, marks
+
+
+def test_toxicity(spark):
+    rows, marks = toxic_rows()
+    rows += [(1000 + i, t) for i, t in enumerate(ODD)] + [(None, "gruntpig"), (2000, rows[6][1] + " " + prose(30_000)), (2001, prose(30_000))]
     d, m = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
     got = {r["doc_id"]: r for r in toxicity.score(d, m).collect()}
-    assert len(got) == len(rows) and [got[i]["predicted"] for i in range(300)] == [int(i % 5 == 2) for i in range(300)]
-    assert all(got[1000 + i]["predicted"] == 0 for i in range(len(ODD)))
+    assert len(got) == len(rows) and all(got[1000 + i]["predicted"] == 0 for i in range(len(ODD))) and all(0 <= r["score"] <= 1 for r in got.values())
+    assert got[2000]["predicted"] == 1 and got[2001]["predicted"] == 0
+    held = [i for i in range(900) if got[i]["held_out"]]
+    assert 100 < len(held) < 300
+    for kind in range(3):
+        bad, good = [[got[i]["predicted"] for i in held if i % 3 == kind and bool(marks[i][2]) == y] for y in (True, False)]
+        assert np.mean(bad) >= 0.9 and np.mean(good) <= 0.03, kind
     assert {r["score"] for r in toxicity.score(d, m.limit(0)).collect()} == {0.0}
     assert toxicity.score(d.limit(0), m).count() == 0
 
 
+def test_toxicity_by_language(spark):
+    """Held-out recall and false alarms of the given tables, by language."""
+    base = "/root/testdata/sf0.1"
+    d, m = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    got = toxicity.score(d, m).filter("held_out").join(m, "doc_id").join(d.select("doc_id", "lang"), "doc_id").groupBy("lang", "toxic").agg(F.avg("predicted").alias("share")).collect()
+    assert len(got) == 8
+    for r in got:
+        assert r["share"] >= 0.9 if r["toxic"] else r["share"] <= 0.02, r
+
+
+def test_toxic_dictionaries_are_trained(spark):
+    rows, marks = toxic_rows()
+    d, m = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(toxicity.labelled_sample(d, m, "toxic", 5, 0))
+    model.start()
+    assert model.best("gruntpig") > 3 and model.best("lumquzzz") > 3 and model.best("bakomi") < 1
+    assert toxicity.labelled_sample(d, m, "toxic", 5, 0, 200).count() < 300
+
+
 # --- 7 ------------------------------------------------------------------------------------------------------------
 
 
