@@ -135,8 +135,8 @@ def test_near_duplicates_of_one_base(spark, monkeypatch, block):
         at = rnd.randrange(len(w) - n)
         return [*w[:at], *(prose(n).split()), *w[at + n :]]
 
-    copies = [edited(base, 14) for _ in range(60)]
-    texts = [" ".join(w) for w in copies + [edited(w, 8) for w in copies[:30]]]
+    copies = [edited(base, 36) for _ in range(60)]
+    texts = [" ".join(w) for w in copies + [edited(w, 20) for w in copies[:30]]]
     ws = [minhash.hashed(t.encode()) for t in texts]
     sk = [set(enumerate(minhash.sketches(minhash.labelled(w)).tolist())) for w in ws]
     root = np.arange(len(texts))
@@ -152,7 +152,9 @@ def test_near_duplicates_odd(spark):
     t = prose(100)
     d = spark.createDataFrame([(None, t), (3, t), (3, t), (4, prose(100))], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["class_id"], r["kept"]) for r in minhash.classes(d).collect()), key=str)
-    assert [g[1] for g in got if g[0] == 4] == [4] and sum(g[0] == 3 for g in got) == 2
+    assert got == sorted([(None, 3, False), (3, 3, True), (3, 3, True), (4, 4, True)], key=str)
+    alone = minhash.classes(spark.createDataFrame([(None, t), (None, t), (None, None)], "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["class_id"], r["kept"]) for r in alone] == [(None, None, True)] * 3 and len({r["key"] for r in alone}) == 2
     assert minhash.classes(d.limit(0)).count() == 0
 
 
@@ -165,8 +167,33 @@ def test_alignment_distance():
             for j in range(len(b)):
                 t[i + 1][j + 1] = t[i][j] + 1 if a[i] == b[j] else max(t[i][j + 1], t[i + 1][j])
         d = len(a) + len(b) - 2 * t[-1][-1]
-        for f in (minhash.distance_within, minhash._distance_within_long):
-            assert f(a, b, d) and (abs(len(a) - len(b)) > d - 1 or not f(a, b, d - 1))
+        assert minhash.distance_within(a, b, d) == d and (d == 0 or minhash.distance_within(a, b, d - 1) is None)
+        assert minhash.distance_of_long(a, b, 50) >= d
+    for share in (0.0, 0.02, 0.1):
+        a = np.array([rnd.randint(0, 300) for _ in range(3000)], np.uint64)
+        b = np.array([x for x in a.tolist() for x in ([x] if rnd.random() >= share else rnd.choice([[], [x, 999], [rnd.randint(400, 900)]]))], np.uint64)
+        d = minhash.distance_within(a, b, 2000)
+        assert d <= minhash.distance_of_long(a, b, 2000) <= d * 1.05 + 2
+        assert minhash.alike(a, b) >= (len(a) + len(b) - d) / 2
+
+
+@pytest.mark.parametrize("share, least", [(0.02, 0.99), (0.05, 0.97), (0.1, 0.9), (0.15, 0.75)])
+def test_recall_by_edit_rate(share, least):
+    """Of pairs that align, how many share a sketch and link, at several shares of changed words."""
+    found = linked = 0
+    for _ in range(60):
+        a = prose(rnd.choice([60, 150, 400]))
+        x, y = minhash.hashed(a.encode()), minhash.hashed(changed(a, share).encode())
+        linked += minhash.similar(x, y)
+        found += minhash.similar(x, y) and bool((minhash.sketches(minhash.labelled(x)) == minhash.sketches(minhash.labelled(y))).any())
+    assert linked >= 55 and found >= least * linked
+
+
+def test_long_copies_align_in_time():
+    a = minhash.hashed(prose(200_000).encode())
+    b = np.delete(a, [rnd.randrange(200_000) for _ in range(4000)])
+    b[[rnd.randrange(len(b)) for _ in range(4000)]] = 7
+    assert minhash.similar(a, b) and not minhash.similar(a, a[::-1].copy())
 
 
 def test_order_matters():
