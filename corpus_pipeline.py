@@ -23,12 +23,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the smallest doc_id, of each group of near copies; of repeated rows one."""
+    """Keeps one document, the one with the smallest doc_id, of each group of near copies; of its rows with equal text one.
+
+    A row without a doc_id is a document of its own text, after all others. Of rows with equal id and text the one with the
+    smallest lang, source and n_chars stays.
+    """
     small_batches(spark)
-    keep = minhash.classes(docs.select("doc_id", "text")).filter("kept").select("doc_id").distinct()
-    named = docs.select(*COLUMNS).join(keep, "doc_id").dropDuplicates(["doc_id"])
-    unnamed = docs.select(*COLUMNS).filter("doc_id is null").dropDuplicates(["text"])
-    return named.select(*COLUMNS).union(unnamed)
+    keyed = docs.select(*COLUMNS, minhash.key_of(F.col("doc_id"), F.col("text")).alias("key"))
+    keep = minhash.classes(docs.select("doc_id", "text")).filter("kept").select("key").distinct()
+    rest = F.struct("lang", "source", "n_chars")
+    one = keyed.join(keep, "key").groupBy("key", "doc_id", "text").agg(F.min(rest).alias("rest"))
+    return one.select("doc_id", "text", "rest.*").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
