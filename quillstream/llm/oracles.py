@@ -34,6 +34,7 @@ WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddi
 SELECT vec_id, coalesce(k, 0) AS n_links, root AS component_id, vec_id = root AS kept FROM embeddings JOIN c ON x = vec_id LEFT JOIN n ON a = vec_id"""
 
 _W = "[" + ", ".join(map(str, mixing.WEIGHTS)) + "]"
+#: The blocks of all ranks together are the first words of the unrolled stream, so SQL needs no schedule.
 MIX = rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
  p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d),
@@ -41,11 +42,8 @@ WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^
  w AS (SELECT *, {_W}[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1)::INT]::DOUBLE AS weight, source_size::DOUBLE * {mixing.REPEATS} AS most, sum(source_size) OVER ()::DOUBLE AS total FROM s),
  t AS (SELECT *, (total - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS try FROM w),
  g AS (SELECT source, source_size, total, least(most, (SELECT max(try) FROM t WHERE try <= most / weight) * weight) AS target FROM t),
- c AS (SELECT *, sum(target) OVER (ORDER BY source NULLS LAST) / total AS hi, greatest(1, least(4096, floor(total / 65536)))::BIGINT AS block FROM g),
- f AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY source NULLS LAST), 0.0) AS lo, hi = max(hi) OVER () AS last FROM c),
- i AS (SELECT ((range + 0.5::DOUBLE) * {mixing.GOLDEN}::DOUBLE) % 1.0::DOUBLE AS u FROM range((SELECT ceil(max(total) / max(block))::BIGINT FROM f))),
- k AS (SELECT source AS s2, count(*) AS slots FROM i JOIN f ON u >= lo AND (u < hi OR last) AND source_size > 0 GROUP BY source),
- j AS (SELECT p.*, f.source_size, f.target, least(coalesce(slots, 0) * block, f.source_size * {mixing.REPEATS})::BIGINT AS upto FROM p JOIN f ON p.source IS NOT DISTINCT FROM f.source LEFT JOIN k ON p.source IS NOT DISTINCT FROM s2)
+ f AS (SELECT *, floor(target + 0.5)::BIGINT AS upto FROM g),
+ j AS (SELECT p.*, f.source_size, f.target, f.upto FROM p JOIN f ON p.source IS NOT DISTINCT FROM f.source)
 SELECT doc_id, size, source_size, target, source, CASE WHEN source_size > 0 THEN (upto // source_size) * size + greatest(0, least(size, upto % source_size - start)) ELSE 0 END::BIGINT AS taken FROM j"""
 
 _REST = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END"
