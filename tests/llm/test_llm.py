@@ -226,24 +226,47 @@ def test_warc_round_trip(spark, tmp_path):
             assert got[i]["payload_bytes"] == len(raw) and got[i]["payload_digest"] == warc.sha1_base32(raw)
             assert (got[i]["record_type"], got[i]["refers_to"]) == (("response", None) if i == top else ("revisit", top))
             assert got[i]["payload"] == (raw if i == top else b"")
+        packed = f"file://{tmp_path}/p{version}"
+        warc.write_warc(warc.convert(warc.arc_records(pages.coalesce(1), version), 3000), packed)
+        assert sorted(map(tuple, warc.read_warc(spark, packed).collect())) == sorted(map(tuple, got.values()))
+        assert len(list((tmp_path / f"p{version}").glob("part-*"))) > 1
     empty = f"file://{tmp_path}/none"
     warc.write_warc(warc.convert(warc.arc_records(pages.limit(0))), empty)
     assert warc.read_warc(spark, empty).count() == 0
 
 
-def test_arc_headers():
+def test_warc_without_ids(spark, tmp_path):
+    pages = spark.createDataFrame([(None, "u", "a"), (4, "u", "a"), (4, "u", "a"), (None, "u", "b"), (None, None, None)], "page_id long, url string, html string")
+    pages = pages.withColumn("key", F.lit("x")).withColumn("warc", F.lit("y"))
+    warc.write_warc(warc.convert(warc.arc_records(pages), warc.PACK), f"file://{tmp_path}/w")
+    got = sorted(((r["key"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.read_warc(spark, f"file://{tmp_path}/w").collect()), key=str)
+    assert got == sorted([(None, "revisit", 4, 1), (4, "response", None, 1), (4, "response", None, 1), (None, "response", None, 1), (None, "response", None, 0)], key=str)
+
+
+def test_arc_files(spark, tmp_path):
+    bodies = [b"x\ny", b"", b"filedesc://no 1\n" * 50, "é\r\n\r\n".encode()]
     for version in (1, 2):
-        r = warc.parse_arc(warc.arc_record("http://a b", b"x\ny", "1999", version=version))
-        assert (r["version"], r["url"], r["payload"]) == (version, "http://a%20b", b"x\ny")
-        head = warc.to_warc(r, 1, None)
+        raw = warc.arc_block(version, "a.arc") + b"\n".join(warc.arc_record(f"http://a b/{i}", x, "1999", version=version) for i, x in enumerate(bodies))
+        got = list(warc.read_arc(io.BytesIO(raw)))
+        assert [(r["version"], r["URL"], r["payload"], r["length"]) for r in got] == [(version, f"http://a%20b/{i}", x, len(x)) for i, x in enumerate(bodies)]
+        head = warc.to_warc(got[0], 1, None)
         assert b"WARC-Date: 1999-00-00T" not in head and b"WARC-Date: 1999-01-01T00:00:00Z" in head
-    with pytest.raises(ValueError):
-        warc.parse_arc(b"http://x 1 2\nabc")
-    with pytest.raises(ValueError):
-        warc.parse_arc(b"http://x 0.0.0.0 2000 text/html 9\nabc")
+        (tmp_path / f"v{version}.arc").write_bytes(raw)
+        (tmp_path / f"v{version}.arc.gz").write_bytes(gzip.compress(raw))
+    arcs = warc.read_arcs(spark, f"file://{tmp_path}/*.arc*")
+    assert arcs.count() == 4 * len(bodies) and arcs.select("key").distinct().count() == 4 * len(bodies)
+    warc.write_warc(warc.convert(arcs, warc.PACK), f"file://{tmp_path}/out")
+    back = warc.read_warc(spark, f"file://{tmp_path}/out").collect()
+    assert sorted(r["payload"] for r in back if r["record_type"] == "response") == sorted(bodies) and len(back) == 16
+    many = warc.convert(spark.createDataFrame([(7, bytearray(raw))], "key long, arc binary"))
+    assert sorted(bytes(r[0]).partition(b"\r\n\r\n")[2] for r in many.collect()) == sorted(bodies)
+    block = warc.arc_block(1)
+    bad = [b"http://x 1 2\nabc", block + b"http://x 1 2\nab", block + b"http://x 0.0.0.0 2000 text/html 9\nabc", block.replace(b"\n1 0", b"\n3 0"), block + b"x y\n"]
+    for x in bad:
+        with pytest.raises(ValueError):
+            list(warc.read_arc(io.BytesIO(x)))
     with pytest.raises(ValueError):
         list(warc.parse_warc(io.BytesIO(b"HTTP/1.1\r\n")))
-    assert gzip
 
 
 # --- 4 ------------------------------------------------------------------------------------------------------------
