@@ -5,8 +5,9 @@ In a context seen T times, followed by q different bytes, a byte seen c times ha
 the escape to the next shorter context has q / (T + q). A text's code length under a language is the sum of
 its bytes' exact costs; the shortest wins, ties going to the first language in order.
 
-Texts are lower-cased, and what stands between words counts as one space. The trees keep the GRAMS most frequent
-contexts-with-byte of each language (seen LEAST times or more), a bound on what is broadcast.
+Texts are lower-cased, and what stands between words counts as one space. Every context counted is kept. All contexts
+of a byte share the byte before it, so the trees fall apart by that byte: where they are over MOST costs, parts of at most as
+many are broadcast one after the other, each adds its bytes' costs to the texts' code lengths, and the sums are the same.
 
 Defined results: null texts and those without a letter are `und` with score 0; so is every text if nothing can
 be learned; repeated rows are judged alike. The score is the posterior of the language chosen, with code lengths
@@ -19,14 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .shared import small_batches, text_slices
+from .shared import forget, small_batches, text_slices, written
 from .textcore import fold
 from .toxicity import held_out
 
 ORDER = 4
-GRAMS, LEAST = 150_000, 2
+#: Costs, one for each context with byte and language, in a part of the trees.
+MOST = 12_000_000
 TEMPER = 4.0
 UNKNOWN = "und"
 SPACE = 32
@@ -95,8 +96,9 @@ def count(docs: DataFrame) -> DataFrame:
 class Trees:
     """Costs in bits, for all languages at once, of every known context with byte, by order."""
 
-    def __init__(self, langs: list[str], grams: list[np.ndarray], counts: list[np.ndarray]):
-        self.langs, k = langs, len(langs)
+    def __init__(self, langs: list[str], grams: list[np.ndarray], counts: list[np.ndarray], single: list[np.ndarray] | None = None, before: np.ndarray | None = None):
+        """Counts of grams by language; for a part of the trees also the counts of single bytes and which bytes before are its."""
+        self.langs, k, self.before = langs, len(langs), before
         self.known: list[np.ndarray] = []
         self.cost: list[np.ndarray] = []
         self.contexts: list[np.ndarray] = []
@@ -105,7 +107,11 @@ class Trees:
         for o in range(ORDER + 1):
             mask = np.uint64((1 << 8 * (o + 1)) - 1)
             per = []
-            for g, n in zip(grams, counts, strict=True):
+            for j, (g, n) in enumerate(zip(grams, counts, strict=True)):
+                if not o and single is not None:
+                    u = np.flatnonzero(single[j]).astype(np.uint64)
+                    per.append((u, single[j][u]))
+                    continue
                 u, back = np.unique(g & mask, return_inverse=True)
                 per.append((u, np.bincount(back, n)))
             all_ = np.unique(np.concatenate([p[0] for p in per])) if o else np.arange(256, dtype=np.uint64)
@@ -142,7 +148,14 @@ class Trees:
         o = np.argsort(code)
         g = code[o]
         head = np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.zeros(0, bool)
-        cost = self.lookup(ORDER, g[head]).astype(np.float32)
+        here = g[head]
+        if self.before is None:
+            cost = self.lookup(ORDER, here).astype(np.float32)
+        else:
+            cost = np.zeros((len(here), len(self.langs)), np.float32)
+            mine = np.flatnonzero(self.before[(here >> np.uint64(8) & np.uint64(255)).astype(np.int64)])
+            if len(mine):
+                cost[mine] = self.lookup(ORDER, here[mine])
         which = np.empty(len(g), np.int32)
         which[o] = np.cumsum(head) - 1
         out = np.zeros((len(first) - 1, len(self.langs)))
@@ -153,48 +166,96 @@ class Trees:
         return out
 
 
-def train(docs: DataFrame) -> Trees | None:
-    n = count(docs).filter(F.col("n") >= LEAST)
-    top = n.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("r") <= GRAMS)
-    got = top.select("lang", "gram", "n").toArrow()
-    langs = sorted(set(got.column("lang").to_pylist()))
+class Fit:
+    """All counts, as a table in the shared folder, and how they are dealt out to parts of the trees."""
+
+    def __init__(self, docs: DataFrame):
+        self.spark = docs.sparkSession
+        before = F.shiftright("gram", 8).bitwiseAND(255)
+        self.counts = written(count(docs).withColumn("before", before), "grams")
+        self.langs = sorted(r[0] for r in self.counts.select("lang").distinct().collect())
+        size = {r[0]: r[1] * len(self.langs) for r in self.counts.groupBy("before").agg(F.count("*")).collect()}
+        self.parts: list[list[int]] = []
+        held = MOST
+        for b in sorted(size):
+            if held + size[b] > MOST:
+                self.parts.append([])
+                held = 0
+            self.parts[-1].append(b)
+            held += size[b]
+
+    def single(self) -> list[np.ndarray]:
+        out = {x: np.zeros(256) for x in self.langs}
+        for x, b, n in self.counts.groupBy("lang", F.col("gram").bitwiseAND(255)).agg(F.sum("n")).collect():
+            out[x][b] = n
+        return [out[x] for x in self.langs]
+
+    def trees(self, part: list[int], single) -> Trees:
+        got = self.counts.filter(F.col("before").isin(part)) if single else self.counts
+        code = F.create_map(*(x for i, l in enumerate(self.langs) for x in (F.lit(l), F.lit(i))))
+        got = got.select(code[F.col("lang")].alias("lang"), "gram", "n").toArrow()
+        lang, gram, num = got.column("lang").to_numpy(), got.column("gram").to_numpy().astype(np.uint64), got.column("n").to_numpy().astype(float)
+        before = np.isin(np.arange(256), part) if single else None
+        every = range(len(self.langs))
+        return Trees(self.langs, [gram[lang == i] for i in every], [num[lang == i] for i in every], single, before)
+
+
+def identify(docs: DataFrame, fit: Fit) -> DataFrame:
+    """docs to (all of its columns, lang_pred, score); a column of docs with one of these names is replaced."""
+    docs = docs.drop("lang_pred", "score", "__bits")
+    names, context = docs.columns, docs.sparkSession.sparkContext
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letters")
+    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+
+    def judged(part, bits, found):
+        best = bits.argmin(1)
+        rest = np.exp2(-np.minimum((bits - bits.min(1, keepdims=True)) / TEMPER, 1000))
+        score = np.where(found, 1 / rest.sum(1), 0.0)
+        pred = np.where(found, np.array(langs, object)[best], UNKNOWN)
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(pred.tolist(), pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
+
+    langs = fit.langs
     if not langs:
-        return None
-    lang, gram, num = np.array(got.column("lang").to_pylist(), object), got.column("gram").to_numpy().astype(np.uint64), got.column("n").to_numpy().astype(float)
-    return Trees(langs, [gram[lang == x] for x in langs], [num[lang == x] for x in langs])
+        return docs.select(*names, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    if len(fit.parts) == 1:
+        trees = context.broadcast(fit.trees(fit.parts[0], None))
 
+        def whole(batches):
+            for part, data, off in text_slices(batches, "text"):
+                yield judged(part, trees.value.totals(*codes(data, off)), part.column("__letters").to_numpy(zero_copy_only=False))
 
-def identify(docs: DataFrame, trees) -> DataFrame:
-    """docs to (all of its columns, lang_pred, score); a column of docs with one of these names is replaced.
+        return docs.select(*names, letters).mapInArrow(whole, schema)
 
-    `trees` is a broadcast variable, of at most GRAMS rows for each language.
-    """
-    d = docs.drop("lang_pred", "score").withColumn("__letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    names = [c for c in d.columns if c != "__letters"]
-    schema = docs.drop("lang_pred", "score").schema.add("lang_pred", "string").add("score", "double")
+    def added(trees):
+        def run(batches):
+            for part, data, off in text_slices(batches, "text"):
+                have = part.column("__bits")
+                bits = trees.value.totals(*codes(data, off)) + have.flatten().to_numpy().reshape(len(have), -1)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(list(bits), pa.list_(pa.float64()))], [*names, "__bits"])
 
-    def run(batches):
-        t = trees.value
-        for part, data, off in text_slices(batches, "text"):
-            letters = part.column("__letters").to_numpy(zero_copy_only=False)
-            if t is None:
-                pred, score = np.full(len(letters), UNKNOWN, object), np.zeros(len(letters))
-            else:
-                bits = t.totals(*codes(data, off))
-                best = bits.argmin(1)
-                rest = np.exp2(-np.minimum((bits - bits.min(1, keepdims=True)) / TEMPER, 1000))
-                score = np.where(letters, 1 / rest.sum(1), 0.0)
-                pred = np.where(letters, np.array(t.langs, object)[best], UNKNOWN)
-            cols = [part.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(pred.tolist(), pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
-
-    return d.mapInArrow(run, schema)
-
-
-def fitted(docs: DataFrame):
-    """The trees of docs' training rows, as a broadcast variable."""
-    training = docs.filter("text is not null and lang is not null").filter(~held_out(F.col("doc_id"), 4, 2))
-    return docs.sparkSession.sparkContext.broadcast(train(training))
+        return run
+
+    single = fit.single()
+    d = docs.withColumn("__bits", F.array(*[F.lit(0.0)] * len(langs)))
+    for n, p in enumerate(fit.parts):
+        trees = context.broadcast(fit.trees(p, single))
+        new = written(d.mapInArrow(added(trees), d.schema), "bits")
+        trees.unpersist()
+        if n:
+            forget(d)
+        d = new
+
+    def last(batches):
+        for part, _, _ in text_slices(batches, "text"):
+            have = part.column("__bits")
+            yield judged(part, have.flatten().to_numpy().reshape(len(have), -1), part.column("__letters").to_numpy(zero_copy_only=False))
+
+    return d.select(*names, "__bits", letters).mapInArrow(last, schema)
+
+
+def fitted(docs: DataFrame) -> Fit:
+    """The counts of docs' training rows."""
+    return Fit(docs.filter("text is not null and lang is not null").filter(~held_out(F.col("doc_id"), 4, 2)))
 
 
 def documents_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -289,6 +289,25 @@ def test_language(spark):
     assert {r["lang_pred"] for r in blank} == {"und"} and langid.identify(d.limit(0), langid.fitted(d)).count() == 0
 
 
+def test_language_parts(spark, monkeypatch):
+    """Trees in parts give the code lengths of whole ones, rows and columns as they are."""
+    rows = [(i, said(x, rnd.randint(5, 40)), x, i) for i, x in enumerate(rnd.choice("abc") * 2 for _ in range(60))] + [(99, None, None, 5), (None, "é" * 3000, "aa", 6)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, score long")
+    whole = sorted(map(tuple, langid.identify(d, langid.fitted(d)).collect()), key=str)
+    monkeypatch.setattr(langid, "MOST", 400)
+    fit = langid.fitted(d)
+    assert len(fit.parts) > 2
+    parts = sorted(map(tuple, langid.identify(d, fit).collect()), key=str)
+    assert [r[:4] for r in parts] == [r[:4] for r in whole] and np.allclose([r[4] for r in parts], [r[4] for r in whole], atol=1e-6)
+
+
+def test_language_held_out(spark):
+    """Held-out accuracy of the given tables."""
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    got = langid.identify(d, langid.fitted(d)).filter("lang is not null and lang_pred <> 'und'").filter(toxicity.held_out(F.col("doc_id"), 4, 2))
+    assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).head()[0] >= 0.98
+
+
 def test_language_costs():
     """Code lengths against the definition, worked out gram by gram."""
     text, other = said("aa", 30), said("aa", 4) + " zq"
