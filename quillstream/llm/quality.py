@@ -1,16 +1,23 @@
 """Quality by positive-unlabelled learning: non-negative unbiased risk of a linear model.
 
-Trusted positives are labelled rows of quality 1; the unlabelled set is every training document. With class
-prior p, the risk is p * R+(positives) + max(0, R-(unlabelled) - p * R-(positives)); where the second part
-is below zero its gradient is reversed. Scores are then shifted so that THRESHOLD lies in the widest gap near the
-expected share of negatives. The prior is estimated from the labelled rows: the share of quality 1.
+Trusted positives are the labelled training rows of quality 1; the unlabelled set is every training document. With class prior
+p and logistic loss, the risk is p * R+(positives) + max(0, R-(unlabelled) - p * R-(positives)); its unbiased part is convex and
+found by Newton steps, and where the second part falls below zero the step goes against its gradient instead. All rows
+take part: features are a table in the shared folder, and each step is one aggregate over it.
+
+The prior needs no negatives: for any threshold, the share of unlabelled scores beyond it is at least p times that of positive
+ones, and equal to it where no negative lies beyond. Its estimate is the least quotient over thresholds that leave REACH of the
+positives, by a first model fitted with prior 1/2.
+
+Scores are shifted so that THRESHOLD lies where a share p of the training documents' scores lies beyond; within ROOM of it
+(or twice the error with which p is known), in
+the widest gap between scores, of which equal ones make one.
 
 Features of a text: shares of pairs of adjacent byte kinds, and of repeated, short, capital and mixed words, by
-logarithm of length. The fit uses a bounded sample, SAMPLE labelled and SAMPLE unlabelled rows with the smallest
-hashed ids; everything else covers all rows.
+logarithm of length.
 
 Defined results: null and empty texts have the features of an empty text (and a score like any other); repeated
-rows are scored alike; with no positives all scores are 0.5.
+rows are scored alike; rows with a null doc_id are unlabelled training rows; with no positives all scores are 0.5.
 """
 
 from __future__ import annotations
@@ -20,15 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small_batches, text_slices
+from .shared import binary_parts, forget, small_batches, text_slices, written
 from .textcore import words
 from .toxicity import held_out
 
-SAMPLE = 8000
-ROUNDS, RATE, DECAY = 600, 0.05, 1e-3
+ROUNDS, DECAY = 12, 1e-3
 THRESHOLD = 0.7
-#: How far from the expected share of negatives, as a share of the unlabelled rows, the decision may lie.
-NEAR = 0.006
+#: Positives beyond a threshold from which the prior is read, and how far from the expected share the decision may lie.
+REACH, ROOM = 0.25, 0.01
+#: Scores are counted in so many steps for a unit of log-odds.
+STEPS = 50
 
 #: Byte kinds: small letter, capital, digit, space, line end, sentence end, comma, other mark, beyond ASCII.
 KIND = np.full(256, 7, np.uint8)
@@ -85,62 +93,122 @@ def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float):
-        self.mean, self.scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
-        p, u = self.ready(positive), self.ready(unlabelled)
-        w, m, v = np.zeros(p.shape[1]), np.zeros(p.shape[1]), np.zeros(p.shape[1])
-        sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        for i in range(1, ROUNDS + 1):
-            sp, su = sig(p @ w), sig(u @ w)
-            lp = np.log1p(np.exp(np.clip(p @ w, -30, 30)))
-            lu = np.log1p(np.exp(np.clip(u @ w, -30, 30)))
-            negative = su @ u / len(u) - prior * (sp @ p) / len(p)  # gradient of the risk of negatives
-            g = negative if lu.mean() - prior * lp.mean() >= 0 else -negative
-            g = g + prior * ((sp - 1) @ p) / len(p) + DECAY * w
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w = w - RATE * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8)
-        self.weights = w
-        # Where the unlabelled scores are thinnest, near the share of negatives, is where the decision belongs.
-        z = np.sort(u @ w)
-        mid, room = int((1 - prior) * len(z)), max(1, int(NEAR * len(z)))
-        near = z[max(0, mid - room) : mid + room + 1]
-        gap = np.diff(near)
-        at = int(gap.argmax()) if len(gap) else -1
-        cut = (near[at] + near[at + 1]) / 2 if at >= 0 else 0.0
-        self.weights[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - cut
+    """Means and scales of the features, weights of the scaled ones and of a constant."""
+
+    def __init__(self, mean: np.ndarray, scale: np.ndarray):
+        self.mean, self.scale, self.weights = mean, scale, np.zeros(len(mean) + 1)
 
     def ready(self, x: np.ndarray) -> np.ndarray:
         return np.column_stack([np.clip((x - self.mean) / self.scale, -8, 8), np.ones(len(x))])
 
+    def odds(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(self.ready(x) @ self.weights, -30, 30)
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.ready(x) @ self.weights, -30, 30)))
+        return 1 / (1 + np.exp(-self.odds(x)))
 
 
 def vectors(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) to (features as bytes of float32)."""
+    """(doc_id, text) to (doc_id, f: features as bytes of float32)."""
 
     def run(batches):
-        for _, data, off in text_slices(batches, "text"):
+        for part, data, off in text_slices(batches, "text"):
             f = features(data, off).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in f], pa.binary())], ["f"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in f], pa.binary())], ["doc_id", "f"])
 
-    return docs.select("text").mapInArrow(run, "f binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, f binary")
+
+
+def summed(table: DataFrame, size: int, what) -> np.ndarray:
+    """Sum over all rows (f, good) of what(features, whether positive), an array of `size` numbers; one partial sum a task."""
+
+    def run(batches):
+        out = np.zeros(size)
+        for b in batches:
+            if b.num_rows:
+                raw, _ = binary_parts(b.column(0))
+                out += what(np.frombuffer(raw.tobytes(), np.float32).reshape(b.num_rows, -1).astype(float), b.column(1).to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["s"])
+
+    parts = [np.frombuffer(r[0]) for r in table.select("f", "good").mapInArrow(run, "s binary").collect()]
+    return np.sum(sorted(parts, key=bytes), axis=0) if parts else np.zeros(size)
+
+
+def minimised(model: Model, table: DataFrame, prior: float, n: float, n_good: float) -> None:
+    """Sets the weights that minimise the risk at a prior."""
+    k = len(model.weights)
+
+    def terms(x, good):
+        r = model.ready(x)
+        z = np.clip(r @ model.weights, -30, 30)
+        s = 1 / (1 + np.exp(-z))
+        loss = np.log1p(np.exp(z))
+        return np.concatenate([[loss.sum(), loss[good].sum()], s @ r, s[good] @ r[good], r[good].sum(0), ((r * (s * (1 - s))[:, None]).T @ r).ravel()])
+
+    for _ in range(ROUNDS):
+        t = summed(table, 2 + 3 * k + k * k, terms)
+        g_all, g_good, x_good, h = t[2 : 2 + k] / n, t[2 + k : 2 + 2 * k] / n_good, t[2 + 2 * k : 2 + 3 * k] / n_good, t[2 + 3 * k :].reshape(k, k) / n
+        h = h + np.diag(np.full(k, DECAY))
+        if t[0] / n - prior * t[1] / n_good < 0:
+            step = -(g_all - prior * g_good)
+        else:
+            step = g_all - prior * x_good + DECAY * model.weights
+        step = np.linalg.solve(h, step)
+        step *= min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
+        model.weights = model.weights - step
+        if np.abs(step).max() < 1e-3:
+            break
+
+
+def histogram(model: Model, table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How many of all rows and of the positives have log-odds in each step."""
+    size = 60 * STEPS + 1
+
+    def terms(x, good):
+        at = np.round((model.odds(x) + 30) * STEPS).astype(int)
+        return np.concatenate([np.bincount(at, minlength=size), np.bincount(at[good], minlength=size)])
+
+    t = summed(table, 2 * size, terms)
+    return t[:size], t[size:]
+
+
+def estimated_prior(every: np.ndarray, good: np.ndarray) -> float:
+    beyond, positive = np.cumsum(every[::-1]) / every.sum(), np.cumsum(good[::-1]) / good.sum()
+    at = positive >= REACH
+    # Twice the standard error of the positives' share stands against reading the least of many noisy quotients.
+    error = 2 * np.sqrt(beyond * (1 - beyond) / every.sum() + beyond**2 * (1 - positive) / np.maximum(positive, 1e-9) / good.sum())
+    return float(np.clip(((beyond + error) / np.maximum(positive, 1e-9))[at].min(), 0.02, 0.98))
+
+
+def decision(every: np.ndarray, prior: float, n_good: float = np.inf) -> float:
+    """The log-odds between training scores that leave about a share `prior`, read from n_good positives, beyond."""
+    at = np.flatnonzero(every)
+    if len(at) < 2:
+        return at[0] / STEPS - 30 if len(at) else 0.0
+    below = np.cumsum(every[at])[:-1] / every.sum()
+    off = np.abs(below - (1 - prior))
+    width = np.where(off <= max(ROOM, 2 * np.sqrt(prior * (1 - prior) / n_good), off.min()), np.diff(at), 0)
+    i = int(np.lexsort((off, -width))[0])
+    return (at[i] + at[i + 1]) / 2 / STEPS - 30
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     train = docs.filter(~held_out(F.col("doc_id"), 4, 2))
     marks = labels.select("doc_id", F.col("quality").cast("int").alias("y")).filter("doc_id is not null and y is not null").filter(~held_out(F.col("doc_id"), 4, 2))
-    marks = marks.groupBy("doc_id").agg(F.max("y").alias("y"))
-    share = marks.agg(F.avg("y")).head()[0]
-    if not share:
-        return None
-    prior = min(0.98, max(0.02, share))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    good = marks.filter("y = 1").orderBy(*order).limit(SAMPLE).select("doc_id")
-    some = train.filter("doc_id is not null").select("doc_id").orderBy(*order).limit(SAMPLE)
-    read = lambda ids: np.array([np.frombuffer(r[0], np.float32) for r in vectors(train.join(F.broadcast(ids), "doc_id")).collect()], float).reshape(-1, FEATURES)
-    p, u = read(good), read(some)
-    return Model(p, u, prior) if len(p) and len(u) else None
+    marks = marks.groupBy("doc_id").agg(F.max("y").alias("y")).filter("y > 0").select("doc_id", F.lit(True).alias("good"))
+    table = written(vectors(train).join(marks, "doc_id", "left").select("f", F.coalesce("good", F.lit(False)).alias("good")), "features")
+    t = summed(table, 2 + 2 * FEATURES, lambda x, good: np.concatenate([[len(x), good.sum()], x.sum(0), (x * x).sum(0)]))
+    n, n_good = t[:2]
+    model = None
+    if n_good:
+        mean = t[2 : 2 + FEATURES] / n
+        model = Model(mean, np.sqrt(np.maximum(t[2 + FEATURES :] / n - mean**2, 0)) + 1e-3)
+        minimised(model, table, 0.5, n, n_good)
+        prior = estimated_prior(*histogram(model, table))
+        minimised(model, table, prior, n, n_good)
+        model.weights[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - decision(histogram(model, table)[0], prior, n_good)
+    forget(table)
+    return model
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -149,7 +217,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches):
         for part, data, off in text_slices(batches, "text"):
-            s = model.score(features(data, off)) if model else np.full(part.num_rows, 0.5)
+            s = model.score(features(data, off).astype(np.float32).astype(float)) if model else np.full(part.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names)
 
     names = ["doc_id", "held_out", "score", "predicted"]

@@ -409,6 +409,34 @@ def test_quality(spark):
     assert quality.score(d.limit(0), m).count() == 0
 
 
+def test_quality_held_out(spark):
+    """Held-out accuracy of the given tables, and a prior near the share of good labels, of which it sees only the good."""
+    base = "/root/testdata/sf0.1"
+    d, m = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    got = quality.score(d, m).filter("held_out").join(m, "doc_id").groupBy("quality").agg(F.avg("predicted").alias("share")).collect()
+    assert {r["quality"]: r["share"] >= 0.97 if r["quality"] else r["share"] <= 0.1 for r in got} == {0: True, 1: True}
+
+
+def test_quality_prior():
+    rng = np.random.default_rng(3)
+    for p in (0.2, 0.5, 0.9):
+        good, bad = np.histogram(rng.normal(4, 1, 4000), 300, (-8, 8))[0], np.histogram(rng.normal(-4, 1, 20_000), 300, (-8, 8))[0]
+        every = np.histogram(np.concatenate([rng.normal(4, 1, int(20_000 * p)), rng.normal(-4, 1, int(20_000 * (1 - p)))]), 300, (-8, 8))[0]
+        assert abs(quality.estimated_prior(every, good) - p) < 0.04 and bad.sum()
+    # A third of the scores are equal and lie where the prior points: the cut is beside them.
+    every = np.zeros(60 * quality.STEPS + 1)
+    every[[1000, 1500, 2000]] = 300, 400, 300
+    assert quality.decision(every, 0.5) in ((1000 + 1500) / 2 / quality.STEPS - 30, (1500 + 2000) / 2 / quality.STEPS - 30)
+
+
+def test_quality_odd(spark):
+    rows = [(None if i % 7 == 0 else i, " ".join(prose(10).capitalize() + "." for _ in range(4)) if i % 3 else "a a a a !!! ### " * 5, "x") for i in range(90)] + [(200, "word " * 200_000, "x"), (3, "twice", "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, score string").withColumn("f", F.lit(1)).withColumn("good", F.lit(True))
+    m = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(90)] + [(1, None), (None, 1)], "doc_id long, quality int")
+    got = quality.score(d, m).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got) and sum(r["doc_id"] is None for r in got) == 13
+
+
 def toxic_rows():
     """Three vocabularies: insults as whole words, as stems with many endings, and stems that clean texts also hold now and then."""
     insults = {0: ["wretchedfool", "gruntpig", "oaf"], 1: ["lumqu", "dworx"], 2: ["bréeux", "skowlich"]}
