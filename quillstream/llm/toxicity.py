@@ -156,7 +156,7 @@ class Model:
 
     def __init__(self, toxic: dict[str, int], frequent: dict[str, int], ordinary: dict[str, int]):
         self.empty = not toxic
-        self.kinds = sorted({(1, len(p) - 1) if p[-1] != " " else (2, len(p) - 1) if p[0] != " " else (0, 0) for p in toxic})
+        self.kinds = sorted({(1, len(p) - 1) if p[-1] != " " else (2, len(p) - 1) if p[0] != " " else (0, len(p) - 2) for p in toxic})
         both = trained(frequent) if frequent else b""
         self.parts = [both + trained(x) for x in (toxic, ordinary)] if toxic else [b"", b""]
         self.carrier = both[-96:-32]
@@ -167,23 +167,34 @@ class Model:
     def start(self) -> None:
         how = zstandard.ZstdCompressionParameters.from_level(LEVEL, strategy=zstandard.STRATEGY_BTLAZY2, min_match=4, window_log=17, hash_log=16, chain_log=16, search_log=8, target_length=0, write_content_size=0, write_checksum=0, write_dict_id=0)
         self.by = [zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(x, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for x in self.parts]
-        self.lengths: dict[bytes, tuple[int, int]] = {}
+        self.known: dict[bytes, float] = {}
 
-    def pairs(self, word: str):
-        """(kind, size, length under the toxic dictionary, under the ordinary one) of each window of a word."""
+    def windows(self, word: str):
+        """(kind, letters, bytes) of a word's windows; only kinds and sizes of pieces that were learned."""
+        size = len(word)
         for kind, n in self.kinds:
-            if len(word) < n:
-                continue
-            x = (f" {word} " if kind == 0 else f" {word[:n]}" if kind == 1 else f"{word[-n:]} ").encode("utf-8", "surrogateescape")
-            got = self.lengths.get(x)
-            if got is None:
-                if len(self.lengths) > CACHE:
-                    self.lengths.clear()
-                got = self.lengths[x] = tuple(len(c.compress(x + self.carrier)) for c in self.by)
-            yield (kind, n, len(x), *got)
+            if kind == 1 and size >= n:
+                yield kind, n, f" {word[:n]}".encode("utf-8", "surrogateescape")
+            elif kind == 2 and size >= n:
+                yield kind, n, f"{word[-n:]} ".encode("utf-8", "surrogateescape")
+            elif kind == 0 and size == n:
+                yield kind, n, f" {word} ".encode("utf-8", "surrogateescape")
+
+    def pair(self, kind: int, n: int, x: bytes) -> tuple:
+        """What is calibrated: the window's kind and size, its lengths under the toxic and the ordinary dictionary."""
+        return (kind, n, len(x), *[len(c.compress(x + self.carrier)) for c in self.by])
 
     def best(self, word: str) -> float:
-        return max((self.ratio.get(k, 0.0) for k in self.pairs(word)), default=0.0)
+        top = 0.0
+        for kind, n, x in self.windows(word):
+            got = self.known.get(x)
+            if got is None:
+                if len(self.known) > CACHE:
+                    self.known.clear()
+                got = self.known[x] = self.ratio.get(self.pair(kind, n, x), 0.0)
+            if got > top:
+                top = got
+        return top
 
     def evidence(self, word: str) -> float:
         return self.steps.get(int(self.best(word) * 2), 0.0)
@@ -236,13 +247,25 @@ def fit(sample: DataFrame) -> Model:
 
     def lengths(batches):
         model.start()
+        seen: dict[tuple, list[int]] = {}
         sums: dict[tuple, list[int]] = {}
+
+        def measure():
+            for k, (t, o) in seen.items():
+                x = sums.setdefault(model.pair(*k), [0, 0])
+                x[0] += t
+                x[1] += o
+            seen.clear()
+
         for b in batches:
             for w, t, o in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for k in model.pairs(w):
-                    x = sums.setdefault(k, [0, 0])
+                for k in model.windows(w):
+                    x = seen.setdefault(k, [0, 0])
                     x[0] += t
                     x[1] += o
+            if len(seen) > CACHE:
+                measure()
+        measure()
         yield pa.RecordBatch.from_pylist([{"k": list(k), "t": t, "o": o} for k, (t, o) in sums.items()], schema=pa.schema([("k", pa.list_(pa.int64())), ("t", pa.int64()), ("o", pa.int64())]))
 
     def words_(batches):
