@@ -69,10 +69,15 @@ class Items:
     def keep_rare(self, docs: np.ndarray) -> None:
         """docs: number of documents with each different seed."""
         n = docs[self.number]
-        for k in range(len(self.words)):
-            i = np.flatnonzero(self.item == k)
-            found = n[i][n[i] > 0]
-            self.rare[i] = n[i] <= max(LEAST_DOCS, TYPICAL * np.median(found) if len(found) else 0)
+        o = np.lexsort((n, self.item))
+        x = n[o]
+        head = np.flatnonzero(np.concatenate([[True], self.item[o][1:] != self.item[o][:-1]]))
+        found = np.add.reduceat((x > 0).astype(np.int64), head)
+        lo = np.append(head[1:], len(o)) - found
+        middle = (x[np.minimum(lo + np.maximum(found - 1, 0) // 2, len(o) - 1)] + x[np.minimum(lo + found // 2, len(o) - 1)]) / 2
+        most = np.zeros(len(self.words))
+        most[self.item[o][head]] = np.maximum(LEAST_DOCS, np.where(found > 0, TYPICAL * middle, 0))
+        self.rare = n <= most[self.item]
 
     def known(self, w: np.ndarray) -> np.ndarray:
         """Which words of the vocabulary are among w."""

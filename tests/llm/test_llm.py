@@ -672,6 +672,34 @@ def test_decontamination_of_many_copies(copies):
     assert (score >= decontam.SCORE).sum() == 2 * copies + 1
 
 
+def test_rare_seeds():
+    """The limit of each item by one sort, against the definition item by item."""
+    items = decontam.Items(list(range(30)), [prose(rnd.randint(1, 30)) for _ in range(30)])
+    for top in (0, 3, 60):
+        n = np.array([rnd.randint(0, top) for _ in items.first])
+        items.keep_rare(n)
+        for k in range(len(items.words)):
+            mine = n[items.number][items.item == k]
+            found = mine[mine > 0]
+            most = max(decontam.LEAST_DOCS, decontam.TYPICAL * np.median(found) if len(found) else 0)
+            assert (items.rare[items.item == k] == (mine <= most)).all()
+
+
+def test_repeated_partial_copies():
+    """A text that holds parts of an item again and again, aligned window by window, against an alignment of the whole text."""
+    item = prose(50)
+    w = item.split()
+    text = [" ".join(x for _ in range(4) for x in [*w[a : a + 15], *prose(rnd.randint(0, 60)).split()]) for a in (0, 10, 30)] + [" ".join(w[:18] + w[:18] + w[18:40])]
+    items = decontam.Items([0], [item])
+    raw = [t.encode() for t in text]
+    x, _, _, first = words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    items.keep_rare(np.ones(len(items.first), np.int64))
+    score, _ = decontam.best_matches(items, x, first)
+    for i in range(len(text)):
+        best = brute_align(items.words[0], x[first[i] : first[i + 1]]) / (2 * len(w))
+        assert score[i] <= best and (score[i] >= decontam.SCORE) == (best >= decontam.SCORE)
+
+
 # --- words and the pipeline ---------------------------------------------------------------------------------------
 
 
