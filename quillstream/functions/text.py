@@ -41,47 +41,63 @@ def strip(c: Column) -> Column:
 
 
 def joined_hyphens(c: Column) -> Column:
-    return F.regexp_replace(c, f"({WORD})-{SP}*\\n{SP}*({WORD})", "$1$2")
+    """Words broken at a hyphen before a line end, joined; the quick test spares texts without one the search from every letter."""
+    return F.when(c.rlike(f"-{SP}*\\n"), F.regexp_replace(c, f"({WORD})-{SP}*\\n{SP}*({WORD})", "$1$2")).otherwise(c)
+
+
+def line_ends(c: Column) -> Column:
+    """Line ends as \\n, each by a plain search."""
+    return F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+
+
+def few_empty_lines(c: Column) -> Column:
+    return F.when(c.contains("\n\n\n"), F.regexp_replace(c, "\\n{3,}", "\n\n")).otherwise(c)
+
+
+def _tidy(c: Column) -> Column:
+    c = F.regexp_replace(joined_hyphens(c), "[ \\t]*\\n[ \\t]*", "\n")
+    return strip(few_empty_lines(F.regexp_replace(c, "\\t[ \\t]*| [ \\t]+", " ")))
 
 
 def clean_external(c: Column) -> Column:
     """Line ends, hyphenated breaks, runs of blanks and of empty lines."""
-    c = F.regexp_replace(F.translate(filled(c), "\x00", " "), "\r\n?", "\n")
-    c = F.regexp_replace(joined_hyphens(c), "[ \\t]+", " ")
-    return strip(F.regexp_replace(F.regexp_replace(c, " *\\n *", "\n"), "\\n{3,}", "\n\n"))
+    return _tidy(line_ends(F.replace(filled(c), F.lit("\x00"), F.lit(" "))))
 
 
 def clean_page(c: Column) -> Column:
     """As clean_external, without digital-signature marks."""
-    c = F.regexp_replace(F.translate(filled(c), "\x00", " "), "\r\n?", "\n")
-    return clean_external(F.regexp_replace(c, SIGNATURE, " "))
+    return _tidy(F.regexp_replace(line_ends(F.replace(filled(c), F.lit("\x00"), F.lit(" "))), SIGNATURE, " "))
 
 
 def clean_ocr(c: Column) -> Column:
     """Recognised text: line ends and runs of empty lines only."""
-    return strip(F.regexp_replace(F.regexp_replace(filled(c), "\r\n?", "\n"), "\\n{3,}", "\n\n"))
+    return strip(few_empty_lines(line_ends(filled(c))))
 
 
 def visible(c: Column) -> Column:
-    return F.length(F.regexp_replace(c, SP, ""))
+    """The text without blanks: the frequent ones go by a plain search, the others in runs."""
+    return F.regexp_replace(F.replace(F.replace(c, F.lit(" "), F.lit("")), F.lit("\n"), F.lit("")), f"{SP}+", "")
 
 
-def letter_ratio(c: Column) -> Column:
-    n = visible(c)
-    return F.when(n > 0, F.regexp_count(c, F.lit(LETTER)) / n).otherwise(0.0)
+def letter_ratio(c: Column, seen: Column | None = None) -> Column:
+    """Letters among visible characters, counted by what is left without runs of others; seen: visible(c), where it is a column already."""
+    seen = visible(c) if seen is None else seen
+    return F.when(seen != "", F.length(F.regexp_replace(seen, r"\P{L}+", "")) / F.length(seen)).otherwise(0.0)
 
 
-def symbol_ratio(c: Column) -> Column:
-    n = visible(c)
-    return F.when(n > 0, F.regexp_count(c, F.lit(f"[^{ALNUM}{SPACE}]")) / n).otherwise(1.0)
+def symbol_ratio(c: Column, seen: Column | None = None) -> Column:
+    seen = visible(c) if seen is None else seen
+    return F.when(seen != "", F.length(F.regexp_replace(seen, f"[{ALNUM}]+", "")) / F.length(seen)).otherwise(1.0)
 
 
 def word_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(PLAIN_WORD))
+    """Words become marks, which are counted by length."""
+    marked = F.regexp_replace(F.replace(c, F.lit("\x01"), F.lit(" ")), PLAIN_WORD, "\x01")
+    return F.length(marked) - F.length(F.replace(marked, F.lit("\x01"), F.lit("")))
 
 
 def corrupted_accents(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(BAD_ACCENT))
+    return F.when(c.rlike(BAD_ACCENT), F.regexp_count(c, F.lit(BAD_ACCENT))).otherwise(0)
 
 
 def normalize_date(c: Column) -> Column:
@@ -122,10 +138,14 @@ ACCENTED, BASES = _bases()
 
 
 def normalize(c: Column) -> Column:
-    """Lower case without accents or punctuation, single spaces. Exact for Latin and Greek letters."""
-    c = F.regexp_replace(F.translate(strip(F.lower(filled(c))), ACCENTED, BASES), r"\p{Mn}", "")
-    c = F.regexp_replace(c, f"[^{ALNUM}_{SPACE}]", " ")
-    return strip(F.regexp_replace(c, f"{SP}+", " "))
+    """Lower case without accents or punctuation, single spaces. Exact for Latin and Greek letters.
+
+    Whatever is no letter, digit or underscore, blanks included, becomes one space; texts of ASCII alone have no accents to look for.
+    """
+    low = F.lower(filled(c))
+    plain = F.regexp_replace(low, "[^0-9a-z_]+", " ")
+    other = F.regexp_replace(F.regexp_replace(F.translate(low, ACCENTED, BASES), r"\p{Mn}+", ""), f"[^{ALNUM}_]+", " ")
+    return F.trim(F.when(F.length(low) == F.octet_length(low), plain).otherwise(other))
 
 
 def exactness(answer: Column, expected: Column) -> Column:

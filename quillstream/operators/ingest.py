@@ -20,21 +20,28 @@ def unwrap(payloads: DataFrame, column: str = "payload", depth: int = 2) -> Data
     An answer is a list, or an object with a list under the first of LISTS that holds one (even an empty one), or an object
     that is not empty under one of WRAPPERS, which is unwrapped in turn, to `depth` levels. Items that are not objects are left out.
     """
-    object_map = lambda c: F.from_json(c, "map<string,string>")
-    listed = lambda c: F.when(F.substring(F.ltrim(c), 1, 1) == "[", F.from_json(c, "array<string>"))
-
-    def items(c: Column, level: int) -> Column:
-        m = object_map(c)
-        found = [listed(m[k]) for k in LISTS]
-        deeper = []
-        if level:
-            for k in WRAPPERS:
-                inner = m[k]
-                deeper.append(F.when((F.substring(F.ltrim(inner), 1, 1) == "{") & (F.size(object_map(inner)) > 0), items(inner, level - 1)))
-        return F.coalesce(listed(c), *found, *deeper)
-
+    fields = ", ".join(f"{k} string" for k in [*LISTS, *WRAPPERS])
+    begins = lambda c, x: F.substring(F.ltrim(c), 1, 1) == x
+    d, found, now = payloads, [], [column]
+    # Each object is parsed once, into the texts of the fields that count; the first list in order of search is parsed at the end.
+    for level in range(depth + 1):
+        objects = {f"__{level}_{i}": F.from_json(F.when(begins(F.col(c), "{"), F.col(c)), fields) for i, c in enumerate(now)}
+        d = d.withColumns(objects)
+        found.append([[F.col(c), *(F.col(o)[k] for k in LISTS)] for c, o in zip(now, objects, strict=True)])
+        inner = {f"{o}_{k}": F.col(o)[k] for o in objects for k in WRAPPERS}
+        if level < depth:
+            d = d.withColumns({n: F.when(begins(c, "{") & ~c.rlike(r"^\s*\{\s*\}"), c) for n, c in inner.items()})
+            now = list(inner)
+
+    def search(level: int, i: int) -> list[Column]:
+        mine = [F.when(begins(c, "["), c) for c in found[level][i]]
+        for j in range(len(WRAPPERS) if level < depth else 0):
+            mine += search(level + 1, i * len(WRAPPERS) + j)
+        return mine
+
+    items = F.from_json(F.coalesce(*search(0, 0)), "array<string>")
     rest = [c for c in payloads.columns if c != column]
-    d = payloads.select(*rest, F.posexplode(items(F.col(column), depth)).alias("pos", "record"))
+    d = d.select(*rest, F.posexplode(items).alias("pos", "record"))
     return d.filter(F.substring(F.ltrim("record"), 1, 1) == "{")
 
 

@@ -32,6 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, dealt out to all cores where the file has fewer splits; a table of many splits is read as it lies."""
+    d, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return d.repartition(cores) if d.rdd.getNumPartitions() < cores else d
+
+
 # --- text ---------------------------------------------------------------------------------------------------------
 
 SP = tx.SP
@@ -52,7 +58,7 @@ REASONED = f"""
 
 
 def _profile(spark, sf_dir):
-    return quality.profile(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    return quality.profile(texts(spark, sf_dir).select("doc_id", "lang", "text"))
 
 
 @query(f"""SELECT doc_id, CASE WHEN len(reasons) > 0 THEN 'suspicious' ELSE 'good' END AS status, text_length::INT AS text_length, round(lr, 4) AS letter_ratio,
@@ -90,13 +96,13 @@ def _clean_sql(c: str, signature: bool) -> str:
 
 @query(f"SELECT doc_id, md5(c) AS digest, length(c)::INT AS n FROM (SELECT doc_id, {_clean_sql(_NOISY, True)} AS c FROM documents)")
 def clean_text(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", tx.clean_page(_noisy(F.col("text"))).alias("c"))
+    d = texts(spark, sf_dir).select("doc_id", tx.clean_page(_noisy(F.col("text"))).alias("c"))
     return d.select("doc_id", F.md5("c").alias("digest"), F.length("c").alias("n"))
 
 
 @query(f"SELECT doc_id, md5(c) AS digest, length(c)::INT AS n FROM (SELECT doc_id, {_clean_sql(_NOISY, False)} AS c FROM documents)")
 def clean_external_text(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", tx.clean_external(_noisy(F.col("text"))).alias("c"))
+    d = texts(spark, sf_dir).select("doc_id", tx.clean_external(_noisy(F.col("text"))).alias("c"))
     return d.select("doc_id", F.md5("c").alias("digest"), F.length("c").alias("n"))
 
 
@@ -106,13 +112,13 @@ def _numbers_sql(c: str) -> str:
 
 @query(f"SELECT doc_id, array_to_string({_numbers_sql('text')}, ',') AS numbers FROM documents")
 def number_extraction(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.numbers(F.col("text")), ",").alias("numbers"))
+    return texts(spark, sf_dir).select("doc_id", F.array_join(tx.numbers(F.col("text")), ",").alias("numbers"))
 
 
 @query(f"""SELECT doc_id, CASE WHEN len(e) > 0 THEN CASE WHEN len(list_filter(e, lambda x: NOT list_contains(a, x))) = 0 THEN 1.0 ELSE 0.0 END END::DOUBLE AS number_accuracy
  FROM (SELECT doc_id, {_numbers_sql('text')} AS e, {_numbers_sql("replace(text, '7', '8')")} AS a FROM documents)""")
 def number_accuracy(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir)
     return d.select("doc_id", tx.number_accuracy(F.translate("text", "7", "8"), F.col("text")).alias("number_accuracy"))
 
 
@@ -126,19 +132,19 @@ _ANSWER = "CASE WHEN doc_id % 2 = 0 THEN upper(replace(replace(text, '.', ' '),
 
 @query(f"SELECT doc_id, CASE WHEN {_norm_sql(_ANSWER)} = {_norm_sql('text')} THEN 1.0 ELSE 0.0 END::DOUBLE AS answer_exactness FROM (SELECT doc_id, replace(text, 'ß', 's') AS text FROM documents)")
 def answer_exactness(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "ß", "s").alias("text"))
+    d = texts(spark, sf_dir).select("doc_id", F.regexp_replace("text", "ß", "s").alias("text"))
     answer = F.when(F.col("doc_id") % 2 == 0, F.upper(F.translate("text", ".,", "  "))).otherwise(F.concat("text", F.lit(" x")))
     return d.select("doc_id", tx.exactness(answer, F.col("text")).alias("answer_exactness"))
 
 
 @query(f"SELECT doc_id, md5({_norm_sql('text')}) AS digest FROM documents")
 def normalized_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.normalize(F.col("text"))).alias("digest"))
+    return texts(spark, sf_dir).select("doc_id", F.md5(tx.normalize(F.col("text"))).alias("digest"))
 
 
 @query("SELECT doc_id, sha256(text) AS sha256, strlen(text) AS n_bytes FROM documents")
 def content_digest(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("n_bytes"))
+    return texts(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
 @query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN strftime(make_timestamp(1609459200000000 + event_id * 86400000000), '%Y-%m-%d') WHEN 1 THEN strftime(make_timestamp(1609459200000000 + event_id * 3600000000), '%Y-%m-%d')
@@ -231,7 +237,7 @@ _OUT = """CASE WHEN doc_id % 13 = 0 THEN 'missing_ada' WHEN EXISTS (SELECT 1 FRO
 
 
 def _fetched(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir)
     k = F.col("doc_id")
     content = F.when(k % 5 == 0, None).when(k % 11 == 0, F.lit("<html>")).otherwise(F.concat(F.lit("%PDF-1.4 "), F.col("text"))).cast("binary")
     return d.select(F.when(k % 13 == 0, "").otherwise(k.cast("string")).alias("ada"), "doc_id", F.when(k % 7 != 0, F.concat(F.lit("u/"), k.cast("string"))).alias("document_url"), content.alias("content"), F.lit("text/html").alias("content_type"), F.when(k % 17 == 0, "encrypted_pdf").alias("error"), F.split("text", "\n").alias("pages"))
