@@ -11,6 +11,7 @@ from ..functions import text as tx
 # The accepted dates and the keys under which an answer may list its records.
 FIRST_DAY, LAST_DAY = "2021-01-01", "2026-12-31"
 LISTS, WRAPPERS = ["decisions", "results", "items", "documents"], ["data", "response"]
+DOCUMENT_URL = "https://documents.invalid/%s"
 REASON_DATE, REASON_ORGANIZATION, REASON_KEY = "invalid_or_out_of_range_date", "wrong_organization", "missing_ada"
 
 
@@ -49,8 +50,11 @@ def first_truthy(*cols: Column) -> Column:
     return F.coalesce(*[tx.truthy(c.cast("string")) for c in cols])
 
 
-def normalize(raw: DataFrame, organization: str) -> DataFrame:
-    """Raw records with any of the alternate field names to the metadata schema; absent fields are null, absent lists empty."""
+def normalize(raw: DataFrame, organization: str, template: str = DOCUMENT_URL) -> DataFrame:
+    """Raw records with any of the alternate field names to the metadata schema; absent fields are null, absent lists empty.
+
+    A record without an address has the one that `template` makes of its key.
+    """
     have = set(raw.columns)
     pick = lambda *names: first_truthy(*[F.col(n) for n in names if n in have]) if have & set(names) else F.lit(None).cast("string")
     many = lambda n: F.coalesce(F.col(n), F.array().cast("array<string>")) if n in have else F.array().cast("array<string>")
@@ -71,7 +75,7 @@ def normalize(raw: DataFrame, organization: str) -> DataFrame:
         pick("status").alias("status"),
         (F.coalesce(F.col("privateData"), F.lit(False)) if "privateData" in have else F.lit(False)).alias("private_data"),
         pick("versionId").alias("version_id"),
-        F.coalesce(pick("documentUrl"), F.concat(F.lit("https://documents.invalid/"), ada)).alias("document_url"),
+        F.coalesce(pick("documentUrl"), F.format_string(template, ada)).alias("document_url"),
         pick("url").alias("api_url"),
         F.lit("diavgeia").alias("source"),
     )
@@ -109,6 +113,16 @@ def not_yet(d: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return d.join(done.select(key).filter(F.col(key).isNotNull()).distinct(), key, "left_anti")
 
 
+def only(d: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among those done."""
+    return d.join(done.select(key).filter(F.col(key).isNotNull()).distinct(), key, "left_semi")
+
+
+def first_rows(d: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows in order; each task keeps its own first n before they meet."""
+    return d.orderBy(*order).limit(n)
+
+
 def counters(validated: DataFrame) -> DataFrame:
     return validated.groupBy(F.coalesce("reason", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("n"))
 

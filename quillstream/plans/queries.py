@@ -6,6 +6,9 @@ for work already done, embeddings for indexed chunks, pages for page texts, conv
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one only in local mode, where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="quillstream-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, dealt out to all cores where the file has fewer splits; a table of many splits is read as it lies."""
     d, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
@@ -187,11 +201,22 @@ def ingest_accepted(spark, sf_dir):
     return ingest.keep_first(good.select("ada", "event_id", "day"), "ada", "event_id")
 
 
-@query("SELECT ada, issue_date, organization_id, document_url, unit_ids, private_data FROM (SELECT 'A' || event_id AS ada, strftime(ts, '%Y-%m-%d') AS issue_date, CASE WHEN user_id % 3 = 0 THEN '7' ELSE user_id::VARCHAR END AS organization_id, 'https://documents.invalid/A' || event_id AS document_url, 0 AS unit_ids, false AS private_data FROM events)")
+@query("""SELECT 'A' || event_id AS ada, CASE WHEN event_id % 4 > 0 THEN 'p' || event_id END AS protocol_number, event_type AS subject, strftime(ts, '%Y-%m-%d') AS issue_date, CASE WHEN event_id % 3 > 0 THEN strftime(make_timestamp((1609459200 + event_id * 3600) * 1000000), '%Y-%m-%d') END AS publish_date,
+ strftime(ts, '%Y-%m-%d') AS submission_date, CASE WHEN user_id % 3 = 0 THEN '7' ELSE user_id::VARCHAR END AS organization_id, CASE WHEN event_id % 2 = 0 THEN 'u,v' ELSE '' END AS unit_ids, '' AS signer_ids, 't' || (event_id % 5) AS decision_type_id, 'c' AS thematic_category_ids, 'PUBLISHED' AS status, event_id % 6 = 0 AS private_data,
+ 'v' || event_id AS version_id, CASE WHEN event_id % 2 = 0 THEN 'd/' || event_id ELSE 'https://documents.invalid/A' || event_id END AS document_url, NULL::VARCHAR AS api_url, 'diavgeia' AS source FROM events""")
 def metadata_normalize(spark, sf_dir):
-    d = table(spark, sf_dir, "events")
-    raw = d.select(F.lit("").alias("ada"), F.concat(F.lit(" A"), F.col("event_id").cast("string")).alias("ADA_"), F.lit("").alias("issueDate"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("submissionTimestamp"), F.when(F.col("user_id") % 3 == 0, "").otherwise(F.col("user_id").cast("string")).alias("organizationUid"), F.lit(None).cast("boolean").alias("privateData")).withColumnRenamed("ADA_", "iun")
-    return ingest.normalize(raw, "7").select("ada", "issue_date", "organization_id", "document_url", F.size("unit_ids").alias("unit_ids"), "private_data")
+    """All fields of the schema, from any of their names."""
+    d, k = table(spark, sf_dir, "events"), F.col("event_id")
+    s = lambda x: F.concat(F.lit(x), k.cast("string"))
+    raw = d.select(
+        F.lit("").alias("ada"), s(" A").alias("iun"), F.when(k % 4 > 0, s("p")).otherwise("").alias("protocolNumber"), F.col("event_type").alias("subject"), F.lit("").alias("issueDate"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("submissionTimestamp"), F.when(k % 3 > 0, (1609459200 + k * 3600) * 1000).alias("publishTimestamp"),
+        F.when(F.col("user_id") % 3 == 0, "").otherwise(F.col("user_id").cast("string")).alias("organizationUid"), F.when(k % 2 == 0, F.array(F.lit("u"), F.lit("v"))).alias("unitIds"), F.lit("").alias("decisionTypeId"),
+        F.concat(F.lit("t"), (k % 5).cast("string")).alias("decisionTypeUid"), F.array(F.lit("c")).alias("thematicCategoryIds"), F.lit("PUBLISHED").alias("status"), F.when(k % 6 == 0, True).alias("privateData"), s("v").alias("versionId"),
+        F.when(k % 2 == 0, s("d/")).otherwise("").alias("documentUrl"),
+    )
+    n = ingest.normalize(raw, "7")
+    return n.select(*[F.array_join(c, ",").alias(c) if t.startswith("array") else F.col(c) for c, t in n.dtypes])
 
 
 @query("SELECT event_id, pos::INT AS pos, (k + pos)::INT AS k FROM (SELECT event_id, (props->>'$.k')::INT AS k FROM events WHERE event_id % 4 < 3), unnest([0, 1]) AS u(pos)")
@@ -221,13 +246,12 @@ def resume_anti_join(spark, sf_dir):
 
 @query("SELECT doc_id, lang FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)")
 def completed_keys(spark, sf_dir):
-    done = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct()
-    return table(spark, sf_dir, "documents").select("doc_id", "lang").join(done, "doc_id", "left_semi")
+    return ingest.only(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels").filter("quality = 1"), "doc_id")
 
 
 @query("SELECT doc_id, lang, source FROM documents ORDER BY doc_id LIMIT 100")
 def head_limit(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source").orderBy("doc_id").limit(100)
+    return ingest.first_rows(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), 100, "doc_id")
 
 
 # --- extraction and merge -----------------------------------------------------------------------------------------
@@ -461,19 +485,24 @@ def metrics_grouping_sets(spark, sf_dir):
     return evaluate.overall_and_by(_cases(spark, sf_dir), ["model", "retriever"], "category", m).withColumns({c: F.round(c, 9) for c in m})
 
 
-@query("SELECT role, round(avg(contains(lower(text), ' the ')::INT), 9) AS refusal_accuracy, round(1 - avg(contains(lower(text), ' the ')::INT), 9) AS hallucination_rate FROM conversations WHERE role <> 'system' GROUP BY role")
+_REFUSING = f"CASE WHEN conv_id % 5 = 0 THEN text || ' {evaluate.REFUSAL} ' || text WHEN conv_id % 5 = 1 THEN '{evaluate.REFUSAL.replace('Δ', 'δ')}' WHEN conv_id % 5 = 2 THEN '{evaluate.REFUSAL[:-1]}' ELSE text END"
+
+
+@query(f"SELECT role, round(avg(contains(lower({_REFUSING}), lower('{evaluate.REFUSAL}'))::INT), 9) AS refusal_accuracy, round(1 - avg(contains(lower({_REFUSING}), lower('{evaluate.REFUSAL}'))::INT), 9) AS hallucination_rate FROM conversations WHERE role <> 'system' GROUP BY role")
 def refusal_accuracy(spark, sf_dir):
-    d = table(spark, sf_dir, "conversations").filter("role <> 'system'")
-    r = F.avg(evaluate.is_refusal(F.col("text"), " the ").cast("double"))
+    """Answers with the refusal in them, in small letters, without its end, and without it."""
+    d, k = table(spark, sf_dir, "conversations").filter("role <> 'system'"), F.col("conv_id") % 5
+    answer = F.when(k == 0, F.concat("text", F.lit(f" {evaluate.REFUSAL} "), "text")).when(k == 1, evaluate.REFUSAL.replace("Δ", "δ")).when(k == 2, evaluate.REFUSAL[:-1]).otherwise(F.col("text"))
+    r = F.avg(evaluate.is_refusal(answer).cast("double"))
     return d.groupBy("role").agg(F.round(r, 9).alias("refusal_accuracy"), F.round(1 - r, 9).alias("hallucination_rate"))
 
 
 @query("""SELECT role AS category, round(avg(CASE WHEN turn % 2 = 1 THEN conv_id % 7 / 7.0::DOUBLE END), 9) AS faithfulness, round(avg(CASE WHEN turn % 2 = 0 THEN conv_id % 7 / 7.0::DOUBLE END), 9) AS unanswerable_faithfulness,
- round(avg(CASE WHEN turn % 2 = 1 THEN CASE WHEN conv_id % 5 <> 0 THEN conv_id % 5 / 5.0::DOUBLE END END), 9) AS contextual_recall, 0.0::DOUBLE AS refusal_accuracy FROM conversations WHERE role <> 'system' GROUP BY role""")
+ round(avg(CASE WHEN turn % 2 = 1 THEN CASE WHEN conv_id % 5 <> 0 THEN conv_id % 5 / 5.0::DOUBLE END END), 9) AS contextual_recall, round(avg(CASE WHEN turn % 2 = 0 THEN (conv_id % 4 = 0)::INT END), 9) AS refusal_accuracy FROM conversations WHERE role <> 'system' GROUP BY role""")
 def judged_metrics(spark, sf_dir):
     d = table(spark, sf_dir, "conversations").filter("role <> 'system'")
     s = F.col("conv_id") % 7 / 7.0
-    d = d.select(F.col("role").alias("category"), (F.col("turn") % 2 == 1).alias("answerable"), F.col("text").alias("answer"), s.alias("faithfulness"), s.alias("answer_relevancy"), s.alias("contextual_precision"), F.when(F.col("conv_id") % 5 != 0, F.col("conv_id") % 5 / 5.0).alias("contextual_recall"))
+    d = d.select(F.col("role").alias("category"), (F.col("turn") % 2 == 1).alias("answerable"), F.when(F.col("conv_id") % 4 == 0, evaluate.REFUSAL).otherwise(F.col("text")).alias("answer"), s.alias("faithfulness"), s.alias("answer_relevancy"), s.alias("contextual_precision"), F.when(F.col("conv_id") % 5 != 0, F.col("conv_id") % 5 / 5.0).alias("contextual_recall"))
     j = evaluate.judged(d, [], "category")
     return j.select("category", *[F.round(c, 9).alias(c) for c in ("faithfulness", "unanswerable_faithfulness", "contextual_recall", "refusal_accuracy")])
 
@@ -499,11 +528,7 @@ def invalid_cases(spark, sf_dir):
 @query(f"SELECT ada, event_id, day FROM (SELECT *, row_number() OVER (PARTITION BY ada ORDER BY event_id) AS r FROM (SELECT *, {_REASON} AS reason FROM ({_RAW})) WHERE reason IS NULL) WHERE r = 1")
 def stream_dedup(spark, sf_dir):
     """Raw records in four parts, each a micro-batch; the fourth repeats the first, as a rerun would."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillstream-")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
     d = _raw(spark, sf_dir).select("ada", "event_id", "day", "reason")
     top = d.agg(F.max("event_id")).head()[0] or 0
     for i, lo, hi in ((0, -1, top // 3), (1, top // 3, 2 * top // 3), (2, 2 * top // 3, top), (3, -1, top // 3)):

@@ -1,4 +1,4 @@
-"""A paged search service as a data source: a partition for each page, filters on organisation, date and status sent along.
+"""A paged search service as a data source: a partition for each page, filters on organisation, status and the first and last date sent along.
 
 `spark.dataSource.register(PagedSource)`, then `spark.read.format("paged").option("fetch", "module:function")...load()`.
 Filters are sent along with spark.sql.python.filterPushdown.enabled. The fetch function takes the request's parameters and returns the answer's text; it may raise OSError, which is retried.
@@ -13,6 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputP
 
 # Fixed values of the service's protocol.
 PAGE_SIZE, MOST_PAGES, TRIES = 20, 3, 4
+SENT = ("org", "status", "from_date", "to_date")
 
 
 class Page(InputPartition):
@@ -41,7 +42,7 @@ class PagedReader(DataSourceReader):
 
     def pushFilters(self, filters):
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute[0] in ("org", "status"):
+            if isinstance(f, EqualTo) and f.attribute[0] in SENT:
                 self.params[f.attribute[0]] = f.value
             else:
                 yield f
@@ -55,7 +56,7 @@ class PagedReader(DataSourceReader):
         time.sleep(float(self.options.get("delay", 0)) * partition.value)
         params = self.params | {"page": partition.value, "size": int(self.options.get("size", PAGE_SIZE))}
         body = fetch_with_retries(fetch, params, int(self.options.get("tries", TRIES)))
-        yield (partition.value, str(self.params.get("org", "")), str(self.params.get("status", "")), body)
+        yield (partition.value, *(str(self.params.get(k, "")) for k in SENT), body)
 
 
 class PagedSource(DataSource):
@@ -64,7 +65,7 @@ class PagedSource(DataSource):
         return "paged"
 
     def schema(self):
-        return "page int, org string, status string, payload string"
+        return "page int, org string, status string, from_date string, to_date string, payload string"
 
     def reader(self, schema):
         return PagedReader(self.options)

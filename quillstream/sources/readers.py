@@ -28,10 +28,23 @@ def silent(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Fails on the first line that is no JSON object."""
+    """Fails on the first line that is no JSON object; first_bad() tells which it is."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def first_bad(spark: SparkSession, path: str) -> tuple[str, int, str] | None:
+    """(file, line from 1, text) of the first line that is neither blank nor JSON, for the report of a failed strict read."""
+    lines = spark.read.text(path).select("_metadata.file_path", "_metadata.file_block_start", "value")
+    bad = (tx.strip(F.col("value")) != "") & F.try_parse_json("value").isNull()
+    seen = lines.filter(bad).agg(F.min("file_path")).head()[0]
+    if seen is None:
+        return None
+    # One file's lines are numbered, in the order in which they are read.
+    numbered = lines.filter(F.col("file_path") == seen).select("value", bad.alias("bad")).rdd.zipWithIndex()
+    row, at = numbered.filter(lambda x: x[0]["bad"]).min(key=lambda x: x[1])
+    return seen, at + 1, row["value"]
+
+
 def corpus(spark: SparkSession, path: str) -> DataFrame:
     """Records with text: the metadata of a chunk and page_content. An error if there is none."""
     d, _ = tolerant(spark, path, schemas.CORPUS)
@@ -66,13 +79,16 @@ def files(spark: SparkSession, folder: str, pattern: str = "*.[pP][dD][fF]") ->
 
 def walk(spark: SparkSession, nodes: DataFrame, root: str, separator: str = "/") -> DataFrame:
     """nodes (id, parent, name) below `root`: with path of names and depth. A tree of any depth by a recursive query."""
-    nodes.createOrReplaceTempView("__walk_nodes")
-    return spark.sql(f"""
+    return spark.sql(
+        """
         WITH RECURSIVE t(id, path, depth) AS (
-          SELECT id, name, 0 FROM __walk_nodes WHERE parent = '{root}'
+          SELECT id, name, 0 FROM {nodes} WHERE parent = :root
           UNION ALL
-          SELECT n.id, concat(t.path, '{separator}', n.name), t.depth + 1 FROM __walk_nodes n JOIN t ON n.parent = t.id)
-        SELECT id, path, depth FROM t""")
+          SELECT n.id, concat(t.path, :separator, n.name), t.depth + 1 FROM {nodes} n JOIN t ON n.parent = t.id)
+        SELECT id, path, depth FROM t""",
+        args={"root": root, "separator": separator},
+        nodes=nodes,
+    )
 
 
 def pdf_pages(d: DataFrame, read: Callable[[bytes], Iterable[str]]) -> DataFrame:
@@ -82,20 +98,20 @@ def pdf_pages(d: DataFrame, read: Callable[[bytes], Iterable[str]]) -> DataFrame
     """
     from pyspark.sql import types as T
 
+    def one(raw):
+        if not raw:
+            return None, None
+        try:
+            return list(read(raw)), None
+        except PermissionError:
+            return None, "encrypted_pdf"
+        except Exception:  # noqa: BLE001  one damaged file must not stop the run
+            return None, "pdf_read_error"
+
     def run(batches):
         for b in batches:
-            for i in range(b.num_rows):
-                part = b.slice(i, 1)
-                raw, old = part.column(part.schema.get_field_index("content"))[0].as_py(), None
-                pages, error = None, old
-                if raw:
-                    try:
-                        pages = list(read(raw))
-                    except PermissionError:
-                        error = "encrypted_pdf"
-                    except Exception:  # noqa: BLE001  one damaged file must not stop the run
-                        error = "pdf_read_error"
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([pages], pa.list_(pa.string())), pa.array([error], pa.string())], [*part.schema.names, "pages", "error"])
+            got = [one(x.as_py()) for x in b.column(b.schema.get_field_index("content"))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in got], pa.list_(pa.string())), pa.array([e for _, e in got], pa.string())], [*b.schema.names, "pages", "error"])
 
     return d.drop("pages", "error").mapInArrow(run, T.StructType(list(d.drop("pages", "error").schema)).add("pages", T.ArrayType(T.StringType())).add("error", "string"))
 

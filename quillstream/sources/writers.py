@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,22 +18,40 @@ def overwrite(d: DataFrame, path: str) -> None:
     d.write.mode("overwrite").json(path)
 
 
-def split(d: DataFrame, sinks: dict[str, str], by: str, mode: str = "append") -> None:
-    """Writes the rows of each value of `by` to its path; d is computed once."""
+def split(d: DataFrame, sinks: dict[str, str], by: str, mode: str = "append", rest: str | None = None) -> None:
+    """Writes the rows of each value of `by` to its path, all others to `rest`; d is computed once.
+
+    Without `rest`, a row of another value is an error, before anything is written.
+    """
     d = d.persist()
     try:
+        named = F.coalesce(F.col(by).isin(*sinks), F.lit(False))
+        other = d.filter(~named)
+        if rest is None and not other.isEmpty():
+            raise ValueError(f"rows of other values of {by} than {sorted(sinks)}")
         for value, path in sinks.items():
             d.filter(F.col(by).eqNullSafe(F.lit(value))).write.mode(mode).json(path)
+        if rest is not None:
+            other.write.mode(mode).json(rest)
     finally:
         d.unpersist()
 
 
+def put(spark: SparkSession, path: str, content: bytes) -> None:
+    """One file, written by the driver to any store that Spark knows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
 def results_json(summary: DataFrame, keys: list[str], path: str) -> None:
     """A short summary as one JSON file, nested by the keys joined with underscores."""
     rows = [r.asDict(True) for r in summary.orderBy(*keys).collect()]
     out = {"_".join(str(r[k]) for k in keys): {k: v for k, v in r.items() if k not in keys} for r in rows}
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(out, f, ensure_ascii=False, indent=4, default=str)
+    put(summary.sparkSession, path, json.dumps(out, ensure_ascii=False, indent=4, default=str).encode())
 
 
 def flat(d: DataFrame, separator: str = ", ") -> DataFrame:
@@ -43,6 +63,19 @@ def results_csv(d: DataFrame, path: str, separator: str = ", ") -> None:
     flat(d, separator).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 
+def results_csv_file(d: DataFrame, path: str, separator: str = ", ") -> None:
+    """A short table as one CSV file that begins with a byte order mark: a header, empty cells for nulls, arrays joined.
+
+    It fits a run's summary as well as its details, a row for each case.
+    """
+    rows = flat(d, separator).collect()
+    text = io.StringIO()
+    out = csv.writer(text)
+    out.writerow(d.columns)
+    out.writerows([["" if x is None else x for x in r] for r in rows])
+    put(d.sparkSession, path, b"\xef\xbb\xbf" + text.getvalue().encode())
+
+
 def vectors(d: DataFrame, path: str) -> None:
     d.select("chunk_id", "embedding").write.mode("overwrite").parquet(path)
 

@@ -212,13 +212,15 @@ def test_paged_source(spark):
     assert list(r.pushFilters([paged.EqualTo(("org",), "7"), paged.EqualTo(("page",), 1)])) == [paged.EqualTo(("page",), 1)]
     assert r.params == {"org": "7"}
     (row,) = r.read(paged.Page(1))
-    assert row[0] == 1 and json.loads(row[3]) == {"org": "7", "page": 1, "size": 20}
+    assert row[0] == 1 and json.loads(row[-1]) == {"org": "7", "page": 1, "size": 20}
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(paged.PagedSource)
     d = spark.read.format("paged").option("fetch", "json:dumps").option("pages", "2").load()
     assert d.count() == 2
     (row,) = d.filter("org = '7' and page = 1").collect()
     assert json.loads(row["payload"])["org"] == "7"
+    dated = d.filter("from_date = '2024-01-01' and to_date = '2024-02-01' and page = 0").collect()
+    assert [json.loads(r["payload"])["from_date"] for r in dated] == ["2024-01-01"]
 
 
 def test_walk(spark):
