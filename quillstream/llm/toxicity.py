@@ -37,7 +37,7 @@ LEAST, RATIO, SURE = 5, 5.0, 6.0
 DICTIONARY = 16_384
 FREQUENT, ORDINARY = 4000, 20_000
 LEVEL = 9
-CACHE = 400_000
+CACHE = 800_000
 LONGEST = 64
 
 
@@ -168,6 +168,7 @@ class Model:
         how = zstandard.ZstdCompressionParameters.from_level(LEVEL, strategy=zstandard.STRATEGY_BTLAZY2, min_match=4, window_log=17, hash_log=16, chain_log=16, search_log=8, target_length=0, write_content_size=0, write_checksum=0, write_dict_id=0)
         self.by = [zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(x, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for x in self.parts]
         self.known: dict[bytes, float] = {}
+        self.begins = {k[:j] for k in self.ratio for j in (3, 4)}
 
     def windows(self, word: str):
         """(kind, letters, bytes) of a word's windows; only kinds and sizes of pieces that were learned."""
@@ -184,6 +185,13 @@ class Model:
         """What is calibrated: the window's kind and size, its lengths under the toxic and the ordinary dictionary."""
         return (kind, n, len(x), *[len(c.compress(x + self.carrier)) for c in self.by])
 
+    def lookup(self, kind: int, n: int, x: bytes) -> float:
+        """The ratio of a window's pair; lengths that no pair with a ratio begins with need no further compression."""
+        if (kind, n, len(x)) not in self.begins:
+            return 0.0
+        toxic = (kind, n, len(x), len(self.by[0].compress(x + self.carrier)))
+        return self.ratio.get((*toxic, len(self.by[1].compress(x + self.carrier))), 0.0) if toxic in self.begins else 0.0
+
     def best(self, word: str) -> float:
         top = 0.0
         for kind, n, x in self.windows(word):
@@ -191,7 +199,7 @@ class Model:
             if got is None:
                 if len(self.known) > CACHE:
                     self.known.clear()
-                got = self.known[x] = self.ratio.get(self.pair(kind, n, x), 0.0)
+                got = self.known[x] = self.lookup(kind, n, x)
             if got > top:
                 top = got
         return top
