@@ -107,9 +107,9 @@ def addressed(classes: DataFrame) -> DataFrame:
                 home, probe = cells(unit(part.column(2)))
                 salt = mix(part.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) * BASE + np.uint64(dim))
                 for h in [home[:, t] for t in range(TABLES)] + [probe[:, t, k] for t in range(TABLES) for k in range(BLOCKS)]:
-                    yield pa.RecordBatch.from_arrays([pa.array(mix(h.view(np.uint64) ^ salt).view(np.int64)), part.column(0), part.column(3), part.column(2), part.column(1)], ["cell", "id", "w", "v", "label"])
+                    yield pa.RecordBatch.from_arrays([pa.array(mix(h.view(np.uint64) ^ salt).view(np.int64)), part.column(0)], ["cell", "id"])
 
-    return classes.select("id", "label", "v", "w").mapInArrow(run, "cell long, id long, w long, v array<float>, label long")
+    return classes.select("id", "label", "v").mapInArrow(run, "cell long, id long")
 
 
 class Met:
@@ -238,7 +238,9 @@ def links(vectors: DataFrame) -> DataFrame:
     r = r.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     r = r.withColumn("side", F.when(F.col("o") == F.col("b"), 0).when(F.col("b") < F.col("o"), 1).otherwise(2))
     r = r.withColumn("group", F.when(F.col("k") == 1, F.col("cell")).otherwise(F.xxhash64("cell", F.least("b", "o"), F.greatest("b", "o"))))
-    # A pair of rows of one block meets in that block's own group alone, a pair of different blocks in theirs.
+    # A pair of rows of one block meets in that block's own group alone, a pair of different blocks in theirs. Only names of
+    # cells were dealt out so far; the vectors follow to the groups that have more than one.
+    r = r.select("cell", "side", "group", "id").join(classes.select("id", "w", "v", "label").hint("shuffle_hash"), "id")
     met = written(compare(r.select("cell", "side", "group", "id", "w", "v", "label").repartition("group")), "links")
     n = met.groupBy("id").agg(F.sum("n").alias("n"))
     all_ = v.join(classes.select("same", F.col("id").alias("rep"), "w"), "same", "left").select("id", F.coalesce("rep", "id").alias("rep"), F.coalesce("w", F.lit(1)).alias("w"))
