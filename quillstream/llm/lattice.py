@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, small_batches, written
+from .shared import components, merged, small_batches, written
 from .textcore import BASE, mix
 
 LEAST = 0.93
@@ -149,19 +149,6 @@ class Met:
         return ok
 
 
-def join(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """root (of each row the smallest row of its component) after the links of rows i with j."""
-    while True:
-        a, b = root[i], root[j]
-        apart = a != b
-        if not apart.any():
-            return root
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-        while (root[root] != root).any():
-            root = root[root]
-
-
 def compare(rows: DataFrame) -> DataFrame:
     """Rows (cell, side, group, id, w, v, label), a partition holding whole groups, to (id, other, n).
 
@@ -213,7 +200,7 @@ def compare(rows: DataFrame) -> DataFrame:
                 ok = m.counts(s + i, s + j)
                 i, j = i[ok], j[ok]
                 np.add.at(total, i, m.w[s + j])
-                root = join(root, i[i < j], j[i < j])
+                root = merged(root, i[i < j], j[i < j])
             some = np.flatnonzero(total)
             out_i.append(m.id[s + some])
             out_j.append(m.id[s + root[some]])

@@ -8,14 +8,19 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges that a task contracts at a time.
+EDGES = 1_000_000
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder named by spark.checkpoint.dir; a temporary one only in local mode, where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillstream-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -76,11 +81,49 @@ def text_slices(batches, column: str, limit: int = 1 << 20):
             i = j
 
 
+def merged(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """root (of each row the smallest row of its component) after the links of rows i with j."""
+    while True:
+        a, b = root[i], root[j]
+        apart = a != b
+        if not apart.any():
+            return root
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) to edges that connect the same: in each task, EDGES at a time, from every vertex to the smallest it reaches."""
+
+    def flush(held):
+        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = merged(np.arange(len(ids)), at[: len(a)], at[len(a) :])
+        i = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[root[i]])], ["a", "b"])
+
+    def run(batches):
+        held, count = [], 0
+        for x in batches:
+            held.append((x.column(0).to_numpy(), x.column(1).to_numpy()))
+            count += x.num_rows
+            if count > EDGES:
+                yield flush(held)
+                held, count = [], 0
+        if count:
+            yield flush(held)
+
+    return edges.mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame, name: str, most: int = 60) -> DataFrame:
     """Connected components of edges (a, b: long): rows (id, root), root the smallest id reachable.
 
-    Alternates large-star and small-star rounds; each joins every edge's ends with the smallest
-    neighbour, found by a combining aggregate, so no vertex's neighbours meet in one task.
+    Each task first contracts the edges it has. Then large-star and small-star rounds alternate; each joins every edge's ends
+    with the smallest neighbour, found by a combining aggregate, so no vertex's neighbours meet in one task. A round that
+    leaves the edges as they are is the last: what a round leaves alone are stars.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -95,17 +138,21 @@ def components(edges: DataFrame, name: str, most: int = 60) -> DataFrame:
             )
         return out.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    spark = edges.sparkSession
-    now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    mark = None
+    def kept(e: DataFrame) -> tuple[DataFrame, dict]:
+        # What tells one set of edges from another is gathered while they are written.
+        seen = Observation()
+        e = e.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"), F.bit_xor(F.xxhash64("b", "a")).alias("x"))
+        return written(e, name), seen.get
+
+    now, mark = kept(contracted(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
     for _ in range(most):
-        new = written(star(star(now, True), False), name)
+        # Parts of one component that tasks contracted alone may repeat an edge: rounds end in distinct edges.
+        new, last = kept(star(star(contracted(now), True), False))
         forget(now)
         now = new
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum("b"), F.countDistinct("a")).head()
-        if tuple(seen) == mark and seen[0] == seen[3]:
+        if last == mark:
             break
-        mark = tuple(seen)
+        mark = last
     else:
         raise RuntimeError("components did not converge")
     roots = now.select(F.col("a").alias("id"), F.col("b").alias("root"))
