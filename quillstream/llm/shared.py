@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,6 +51,12 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def let_go(spark: SparkSession) -> None:
+    """Frees what the driver still holds of finished work: plans that Python refers to in cycles, generated classes, shuffles to be cleaned."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def parts(batches, rows: int = 200):
     for b in batches:
         for i in range(0, b.num_rows, rows):
