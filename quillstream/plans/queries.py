@@ -47,9 +47,9 @@ def shared(spark: SparkSession) -> str:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents, dealt out to all cores where the file has fewer splits; a table of many splits is read as it lies."""
+    """Documents, dealt out to all cores where the file has no more splits than those (one row group may fill but one of them); a table of many splits is read as it lies."""
     d, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
-    return d.repartition(cores) if d.rdd.getNumPartitions() < cores else d
+    return d.repartition(cores) if d.rdd.getNumPartitions() <= cores else d
 
 
 # --- text ---------------------------------------------------------------------------------------------------------
