@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream.llm import decontam, langid, minhash, mixing, suffixes
-from quillstream.llm.shared import shared_dir, small_batches
+from quillstream.llm.shared import let_go, shared_dir, small_batches
 
 #: A text is rejected by language identification if it has no letter, or no language has that much of the posterior.
 SURE = 0.3
@@ -17,6 +17,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a language; clean texts stay as they are."""
+    let_go(spark)
     small_batches(spark)
     d = langid.identify(docs.select(*COLUMNS), langid.fitted(docs))
     return d.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= SURE)).select(*COLUMNS)
@@ -28,6 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A row without a doc_id is a document of its own text, after all others. Of rows with equal id and text the one with the
     smallest lang, source and n_chars stays.
     """
+    let_go(spark)
     small_batches(spark)
     keyed = docs.select(*COLUMNS, minhash.key_of(F.col("doc_id"), F.col("text")).alias("key"))
     keep = minhash.classes(docs.select("doc_id", "text")).filter("kept").select("key").distinct()
@@ -41,6 +43,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     A cut can fall inside a character; its remaining bytes are dropped with it.
     """
+    let_go(spark)
     small_batches(spark)
     d = suffixes.dedup(docs.select(*COLUMNS)).withColumn("cut", F.size("spans") > 0)
     whole, rest = F.col("kept").cast("string"), F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
@@ -51,6 +54,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a copy, edited or not, of a test item."""
+    let_go(spark)
     small_batches(spark)
     out = decontam.check(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return out.filter(~F.col("contaminated")).select(*COLUMNS)
@@ -58,6 +62,7 @@ def benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
+    let_go(spark)
     return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
