@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import align, decontam, langid, lattice, minhash, mixing, oracles, quality, suffixes, toxicity, urls, warc
+from . import align, decontam, langid, lattice, minhash, mixing, oracles, quality, suffixes, toxicity, turns, urls, warc
 
 
 def pipeline(spark, sf_dir):
@@ -23,6 +23,7 @@ QUERIES = {
     "op9_zstd_toxicity": toxicity.documents_query,
     "op10_seed_align": decontam.documents_query,
     "op12_token_align": align.documents_query,
+    "op13_turn_repair": turns.conversations_query,
     "pipeline": pipeline,
 }
 #: The others train models, align texts or link by alignment; tests hold them against brute force or held-out rows.
