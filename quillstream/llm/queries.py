@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import align, decontam, langid, lattice, minhash, mixing, oracles, quality, suffixes, toxicity, turns, urls, warc
+from . import align, decontam, langid, lattice, minhash, mixing, oracles, perplexity, quality, suffixes, toxicity, turns, urls, warc
 
 
 def pipeline(spark, sf_dir):
@@ -22,6 +22,7 @@ QUERIES = {
     "op8_source_mix": mixing.documents_query,
     "op9_zstd_toxicity": toxicity.documents_query,
     "op10_seed_align": decontam.documents_query,
+    "op11_kneser_ney": perplexity.documents_query,
     "op12_token_align": align.documents_query,
     "op13_turn_repair": turns.conversations_query,
     "pipeline": pipeline,
