@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..store import written
 
 # The accepted dates and the keys under which an answer may list its records.
 FIRST_DAY, LAST_DAY = "2021-01-01", "2026-12-31"
@@ -127,16 +128,17 @@ def counters(validated: DataFrame) -> DataFrame:
     return validated.groupBy(F.coalesce("reason", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
-def dense_ids(d: DataFrame, order: str, count: str, name: str, cells: int = 4096) -> DataFrame:
-    """d with `name`, the sum of `count` over the rows before it in `order` (an integer column, 0 or more).
+def dense_ids(d: DataFrame, order: str, count: str, name: str) -> DataFrame:
+    """d with `name`, the sum of `count` over the rows before it in `order`; null comes first.
 
-    Rows are summed by cell of the order, cells are summed up in one small window, and rows within their cell: no
-    window holds more than a cell's rows.
+    Rows are dealt out by ranges of the order between sampled quantiles, so tasks are even however ids are spread, and written once,
+    since another sampling would deal them out otherwise. Sums of the ranges, a row each, are added up in one small window, rows
+    within their range. Only equal values of the order, which the ranges can't part, share a task.
     """
-    top = d.agg(F.coalesce(F.max(order), F.lit(0)).alias("top"))
-    width = F.greatest(F.lit(1), F.ceil((F.col("top") + 1) / cells))
-    c = d.withColumn("__top", top.scalar()).withColumn("__cell", F.floor(F.col(order) / F.greatest(F.lit(1), F.ceil((F.col("__top") + 1) / cells)))).drop("__top")
-    per = c.groupBy("__cell").agg(F.sum(count).alias("__n"))
-    per = per.select("__cell", (F.sum("__n").over(W.orderBy("__cell")) - F.col("__n")).alias("__ahead"))
-    inside = F.coalesce(F.sum(count).over(W.partitionBy("__cell").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return c.join(per, "__cell").withColumn(name, F.col("__ahead") + inside).drop("__cell", "__ahead")
+    kept = d.columns
+    t = written(d.repartitionByRange(order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id()), "ranges")
+    t = t.withColumn("__range", F.shiftright("__at", 33))
+    per = t.groupBy("__range").agg(F.sum(count).alias("__n"))
+    ahead = F.broadcast(per.select("__range", (F.sum("__n").over(W.orderBy("__range")) - F.col("__n")).alias("__ahead")))
+    inside = F.coalesce(F.sum(count).over(W.partitionBy("__range").orderBy("__at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return t.withColumn("__inside", inside).join(ahead, "__range").select(*kept, (F.col("__ahead") + F.col("__inside")).alias(name))

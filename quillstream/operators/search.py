@@ -5,15 +5,22 @@ A ranked list has the columns qid, rank (from 1, dense) and the item's columns;
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Results per retriever, results of the ensemble, fusion's constant and weights.
 SEARCH_K, ENSEMBLE_K, RRF = 5, 15, 60
 ENSEMBLE_WEIGHTS = [0.3, 0.7]
 #: More queries than this are not broadcast; they are worked on in slices.
 MOST_QUERIES = 20_000
+#: Vectors that are multiplied with all queries of a slice at once.
+BLOCK = 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -21,19 +28,102 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def matrix(col: pa.Array, width: int | None) -> tuple[np.ndarray, np.ndarray, int | None]:
+    """(rows of a list column that hold `width` numbers and no null, those as a matrix of doubles, width); the first list gives a missing width."""
+    size = pc.fill_null(pc.list_value_length(col), -1).to_numpy(zero_copy_only=False)
+    if width is None:
+        known = size[size > 0]
+        width = int(known[0]) if len(known) else None
+    if width is None:
+        return np.zeros(0, np.int64), np.zeros((0, 0)), None
+    fits = np.flatnonzero(size == width)
+    values = col.take(pa.array(fits)).flatten()
+    m = pc.cast(values, pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, width)
+    if values.null_count:
+        whole = ~values.is_null().to_numpy(zero_copy_only=False).reshape(-1, width).any(1)
+        fits, m = fits[whole], m[whole]
+    return fits, m, width
+
+
+class Best:
+    """The k best vectors seen of each query: score from the highest, then id from the smallest."""
+
+    def __init__(self, qid: list, q: np.ndarray, k: int, others_only: bool):
+        self.qid, self.q, self.k = qid, q, k
+        self.own = {x: i for i, x in enumerate(qid)} if others_only else {}
+        self.found: list[tuple[np.ndarray, list]] = [(np.zeros(0), []) for _ in qid]
+        self.least = np.full(len(qid), -np.inf)
+
+    def add(self, ids: list, v: np.ndarray) -> None:
+        near = self.q @ v.T
+        for x, column in ((self.own[x], n) for n, x in enumerate(ids) if x in self.own):
+            near[x, column] = -np.inf
+        # Products of blocks round otherwise than sums from left to right, which alone decide: what could be among the k best is summed so.
+        slack = 1e-12 * (1 + np.abs(self.q).sum(1) * (np.abs(v).max() if v.size else 0.0))
+        k = min(self.k, near.shape[1])
+        least = np.maximum(np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k], -np.inf) if near.shape[1] > k else np.full(len(self.qid), -np.inf)
+        bound = np.maximum(least, self.least) - slack
+        for i in np.flatnonzero((near >= bound[:, None]).any(1)).tolist():
+            at = np.flatnonzero((near[i] >= bound[i]) & (near[i] > -np.inf))
+            if not len(at):
+                continue
+            score = np.add.accumulate(self.q[i] * v[at], axis=1)[:, -1]
+            old, names = self.found[i]
+            score, names = np.concatenate([old, score]), names + [ids[n] for n in at.tolist()]
+            keep = sorted(range(len(names)), key=lambda n: (-score[n], names[n]))[: self.k]
+            self.found[i] = score[keep], [names[n] for n in keep]
+            if len(keep) == self.k:
+                self.least[i] = score[keep[-1]]
+
+    def rows(self):
+        for x, (score, names) in zip(self.qid, self.found, strict=True):
+            for s, n in zip(score.tolist(), names, strict=True):
+                yield x, n, s
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = SEARCH_K, others_only: bool = False) -> DataFrame:
     """queries (qid, qv) and vectors (id, v) to (qid, rank, id, score): the k vectors of largest inner product, ties by id.
 
-    All vectors are scanned once for each slice of at most MOST_QUERIES queries, which alone is broadcast; each task keeps
-    its k best for a query before the shuffle. others_only leaves out the vector whose id is the query's.
+    All vectors are scanned once for each slice of at most MOST_QUERIES queries, which alone is broadcast. A task multiplies blocks of
+    vectors with all queries of the slice and keeps the k best of each; only those leave it. Scores are sums in double precision from
+    left to right. A vector that is null, holds a null, or is of another length than the query has no score and no rank.
+    others_only leaves out the vector whose id is the query's.
     """
     n = queries.count()
     slices = max(1, -(-n // MOST_QUERIES))
+    kinds = {c: queries.schema[c].dataType if c == "qid" else vectors.schema[c].dataType for c in ("qid", "id")}
+    schema = T.StructType().add("qid", kinds["qid"]).add("id", kinds["id"]).add("score", "double")
+    context = queries.sparkSession.sparkContext
+
+    def scan(known):
+        def run(batches):
+            bests = [Best(ids, m, k, others_only) for ids, m in known.value]
+            for b in batches:
+                for at in range(0, b.num_rows, BLOCK):
+                    part = b.slice(at, BLOCK)
+                    ids, col = part.column(0).to_pylist(), part.column(1)
+                    for best in bests:
+                        fits, m, _ = matrix(col, best.q.shape[1])
+                        if len(fits):
+                            best.add([ids[i] for i in fits.tolist()], m)
+            rows = [r for best in bests for r in best.rows()]
+            for i in range(0, len(rows), 50_000):
+                cols = list(zip(*rows[i : i + 50_000], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out_schema, strict=True)], schema=out_schema)
+
+        return run
+
     out = None
+    out_schema = to_arrow_schema(schema)
     for i in range(slices):
         q = queries if slices == 1 else queries.filter(F.pmod(F.xxhash64("qid"), F.lit(slices)) == i)
-        j = vectors.join(F.broadcast(q), (F.col("id") != F.col("qid")) if others_only else F.lit(True))
-        part = j.select("qid", "id", dot(F.col("qv"), F.col("v")).alias("score"))
+        got = q.select("qid", "qv").toArrow().combine_chunks()
+        ids, col = got.column("qid").to_pylist(), got.column("qv").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.float64()))
+        known = []
+        for width in sorted({x for x in pc.list_value_length(col).to_pylist() if x}):
+            fits, m, _ = matrix(col, width)
+            known.append(([ids[x] for x in fits.tolist()], m))
+        part = vectors.select("id", "v").mapInArrow(scan(context.broadcast(known)), schema)
         out = part if out is None else out.union(part)
     w = W.partitionBy("qid").orderBy(F.desc("score"), "id")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("qid", "rank", "id", "score")

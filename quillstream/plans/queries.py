@@ -6,7 +6,6 @@ for work already done, embeddings for indexed chunks, pages for page texts, conv
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import agent, chunk, evaluate, extract, ingest, merge, quality, search
 from ..sources import readers
+from ..store import shared
 from ..streaming import crawl
 
 QUERIES: dict = {}
@@ -35,17 +35,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only in local mode, where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="quillstream-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, dealt out to all cores where the file has no more splits than those (one row group may fill but one of them); a table of many splits is read as it lies."""
     d, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
@@ -527,12 +516,13 @@ def invalid_cases(spark, sf_dir):
 
 @query(f"SELECT ada, event_id, day FROM (SELECT *, row_number() OVER (PARTITION BY ada ORDER BY event_id) AS r FROM (SELECT *, {_REASON} AS reason FROM ({_RAW})) WHERE reason IS NULL) WHERE r = 1")
 def stream_dedup(spark, sf_dir):
-    """Raw records in four parts, each a micro-batch; the fourth repeats the first, as a rerun would."""
+    """Raw records in four parts under one checkpoint, the stream ended and begun again between them; the fourth repeats the first, as a rerun would."""
     at = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
     d = _raw(spark, sf_dir).select("ada", "event_id", "day", "reason")
     top = d.agg(F.max("event_id")).head()[0] or 0
-    for i, lo, hi in ((0, -1, top // 3), (1, top // 3, 2 * top // 3), (2, 2 * top // 3, top), (3, -1, top // 3)):
-        d.filter((F.col("event_id") > lo) & (F.col("event_id") <= hi)).coalesce(1).write.parquet(f"{at}/in/{i}")
-        s = spark.readStream.schema(d.schema).parquet(f"{at}/in/{i}")
-        crawl.run(s, f"{at}/checkpoint/{i}", f"{at}/accepted", None, "ada", "event_id")
+    s = None
+    for lo, hi in ((-1, top // 3), (top // 3, 2 * top // 3), (2 * top // 3, top), (-1, top // 3)):
+        d.filter((F.col("event_id") > lo) & (F.col("event_id") <= hi)).coalesce(1).write.mode("append").parquet(f"{at}/in")
+        s = spark.readStream.schema(d.schema).parquet(f"{at}/in") if s is None else s
+        crawl.run(s, f"{at}/checkpoint", f"{at}/accepted", None, "ada", "event_id")
     return spark.read.schema(d.drop("reason").schema).parquet(f"{at}/accepted")

@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import chunk, embed, evaluate, runs
-from ..sources import fetch, readers, writers
+from ..operators import chunk, embed, evaluate, ingest, runs
+from ..sources import fetch, paged, readers, saved, writers
+from ..store import shared, written
 from ..streaming import crawl
-from .queries import _RAW, _REASON, _STRIP, ORACLES, _found, _labelled, _norm_sql, _numbers_sql, _raw, _topk_sql, _unique_sql, query, shared, table
+from .queries import _RAW, _REASON, _STRIP, ORACLES, _found, _labelled, _norm_sql, _numbers_sql, _raw, _topk_sql, _unique_sql, query, table
 
 # --- files --------------------------------------------------------------------------------------------------------
 
@@ -26,7 +27,7 @@ def _at(spark: SparkSession, name: str) -> str:
 
 def _records(spark, sf_dir) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").cast("string").alias("ada"), F.col("lang").alias("subject"), "source", F.substring("text", 1, 200).alias("text"))
+    return d.select(F.col("doc_id").cast("string").alias("ada"), F.col("lang").alias("subject"), "source", "text")
 
 
 @query("SELECT ada, subject, source, times FROM (SELECT doc_id::VARCHAR AS ada, lang AS subject, source, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS times FROM documents) UNION ALL SELECT 'bad', NULL, NULL, 2")
@@ -62,7 +63,7 @@ def jsonl_modes(spark, sf_dir):
 
 
 @query(f"""SELECT ada, md5(CASE WHEN doc_id % 2 = 0 THEN 'Θέμα: ' || lang || chr(10) || chr(10) || 'Κείμενο:' || chr(10) || t ELSE t END) AS digest, CASE WHEN doc_id % 5 = 0 THEN 'external_pdf' ELSE 'diavgeia' END AS kind
- FROM (SELECT doc_id, doc_id::VARCHAR AS ada, lang, {_STRIP % 'substring(text, 1, 200)'} AS t FROM documents) WHERE t <> ''""")
+ FROM (SELECT doc_id, doc_id::VARCHAR AS ada, lang, {_STRIP % 'text'} AS t FROM documents) WHERE t <> ''""")
 def corpus_scan(spark, sf_dir):
     """Records written as JSON lines and scanned as a corpus."""
     k = F.col("ada").cast("long")
@@ -250,14 +251,14 @@ def source_accuracy(spark, sf_dir):
 def _run(spark, sf_dir) -> DataFrame:
     """Embeddings stand for questions, documents of the same number for what is expected and answered."""
     d = table(spark, sf_dir, "documents")
-    cases = _source_cases(spark, sf_dir).join(d.select(F.col("doc_id").alias("qid"), F.col("lang").alias("category"), F.substring("text", 1, 300).alias("expected_answer")), "qid")
+    cases = _source_cases(spark, sf_dir).join(d.select(F.col("doc_id").alias("qid"), F.col("lang").alias("category"), F.col("text").alias("expected_answer")), "qid")
     cases = cases.withColumns({"question": F.concat(F.lit("q"), F.col("qid").cast("string")), "answerable": F.col("qid") % 400 != 0, "expected_adas": F.col("expected")})
     a = F.col("expected_answer")
     answers = cases.filter("qid % 500 != 0").select("qid", F.when(F.col("qid") % 200 == 0, F.upper(F.translate(a, "ß", "s"))).otherwise(F.concat(a, F.lit(" 12"))).alias("answer"), F.lit("c").alias("context"))
     return runs.details(runs.checked_cases(cases.withColumn("expected_answer", F.concat(F.translate(a, "ß", "s"), F.when(F.col("qid") % 300 == 0, " 12").otherwise("")))), answers, _ranked(spark, sf_dir), "m0", "bge")
 
 
-_ASKED = "(SELECT vec_id AS qid, lang AS category, substring(text, 1, 300) AS a FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0 AND vec_id % 400 <> 0)"
+_ASKED = "(SELECT vec_id AS qid, lang AS category, text AS a FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0 AND vec_id % 400 <> 0)"
 _RUN = f"""SELECT q.qid, category, CASE WHEN {_norm_sql('answer')} = {_norm_sql('expected_answer')} THEN 1.0 ELSE 0.0 END::DOUBLE AS answer_exactness,
  CASE WHEN len({_numbers_sql('expected_answer')}) > 0 THEN CASE WHEN len(list_filter({_numbers_sql('expected_answer')}, lambda z: NOT list_contains({_numbers_sql('answer')}, z))) = 0 THEN 1.0 ELSE 0.0 END END::DOUBLE AS number_accuracy, source_accuracy, source_rank
  FROM (SELECT qid, category, CASE WHEN qid % 500 = 0 THEN '' WHEN qid % 200 = 0 THEN upper(replace(a, 'ß', 's')) ELSE a || ' 12' END AS answer, replace(a, 'ß', 's') || CASE WHEN qid % 300 = 0 THEN ' 12' ELSE '' END AS expected_answer FROM {_ASKED}) q JOIN (SOURCES) s USING (qid)"""
@@ -320,3 +321,74 @@ def stream_rejects(spark, sf_dir):
         crawl.run(s, f"{at}/checkpoint", f"{at}/accepted", f"{at}/rejected", "ada", "event_id")
     crawl.run(s, f"{at}/checkpoint", f"{at}/accepted", f"{at}/rejected", "ada", "event_id")
     return spark.read.schema(d.schema).parquet(f"{at}/rejected").select("event_id", "ada", "day", "reason")
+
+
+# --- a paged service, its stream, and files -----------------------------------------------------------------------
+
+
+def _service(spark, sf_dir) -> tuple[str, int]:
+    """(address of the raw records as a service's table, records on a page so that there are some two dozen pages)."""
+    path = _at(spark, "service")
+    d = _raw(spark, sf_dir).drop("reason")
+    record = F.to_json(F.struct("event_id", "ada", F.col("org").alias("organizationId"), F.col("event_type").alias("status"), F.col("day").alias("issueDate")))
+    saved.save(d.select("event_id", "org", F.col("event_type").alias("status"), F.to_date("day").alias("issue_date"), record.alias("record")), path, "event_id")
+    return path, max(paged.PAGE_SIZE, -(-d.count() // 24))
+
+
+def _parsed(records: DataFrame) -> DataFrame:
+    r = records.select(F.from_json("record", "event_id long, ada string, organizationId string, issueDate string").alias("r")).select("r.event_id", "r.ada", F.col("r.issueDate").alias("day"), F.col("r.organizationId").alias("org"))
+    return ingest.validate(r, "day", "org", "ada", "7", "2024-01-05", "2024-01-25").select("event_id", "ada", "day", "reason")
+
+
+@query(f"""WITH e AS (SELECT event_id, ada, day, {_REASON} AS reason FROM ({_RAW})) SELECT event_id, ada, day, reason FROM e WHERE reason IS NOT NULL
+ UNION ALL SELECT event_id, ada, day, NULL FROM (SELECT *, row_number() OVER (PARTITION BY ada ORDER BY event_id) AS r FROM e WHERE reason IS NULL) WHERE r = 1""")
+def crawl_pages(spark, sf_dir):
+    """A service crawled page by page as a stream: ended midway within the pages, resumed under the same checkpoint, and begun again when nothing is left."""
+    path, size = _service(spark, sf_dir)
+    at = _at(spark, "crawl")
+    spark.dataSource.register(paged.PagedRecords)
+    source = spark.readStream.format("paged_records").option("fetch", paged.given(saved.answers(path))).option("size", size).option("batch", 5).option("progress", f"{at}/progress")
+    for pages in (9, None, None):
+        s = source.option("pages", pages if pages else 1 << 40).load()
+        crawl.run(_parsed(s), f"{at}/checkpoint", f"{at}/accepted", f"{at}/rejected", "ada", "event_id")
+    good = spark.read.schema("event_id long, ada string, day string").parquet(f"{at}/accepted")
+    bad = spark.read.schema("event_id long, ada string, day string, reason string").parquet(f"{at}/rejected")
+    return bad.unionByName(good, allowMissingColumns=True)
+
+
+@query(f"""WITH e AS (SELECT event_id, org, event_type, day FROM ({_RAW}) WHERE org IN ('7', '99') AND day >= '2024-01-08' AND day < '2024-01-20'),
+ s AS (SELECT greatest({paged.PAGE_SIZE}, ceil(count(*) / 24.0)::BIGINT) AS size FROM events),
+ p AS (SELECT event_id, org, (row_number() OVER (PARTITION BY org ORDER BY event_id) - 1) // size AS page FROM (SELECT event_id, org, day FROM ({_RAW}) WHERE day >= '2024-01-08' AND day <= '2024-01-20') CROSS JOIN s WHERE org IN ('7', '99'))
+ SELECT e.org, count(*) AS n, sum(e.event_id)::BIGINT AS ids, count(DISTINCT page) AS pages, max(page) AS last_page FROM e JOIN p USING (event_id) GROUP BY e.org""")
+def page_push_down(spark, sf_dir):
+    """Filters on days and organisations become parameters of the requests: the pages asked for are those of the answers that fit, not those of all records."""
+    path, size = _service(spark, sf_dir)
+    spark.dataSource.register(paged.PagedRecords)
+    old = spark.conf.get("spark.sql.python.filterPushdown.enabled")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        d = spark.read.format("paged_records").option("fetch", paged.given(saved.answers(path))).option("size", size).load()
+        d = d.filter("org in ('7', '99') and issue_date >= date'2024-01-08' and issue_date < date'2024-01-20'")
+        ids = F.get_json_object("record", "$.event_id").cast("long")
+        rows = written(d.select("org", "page", ids.alias("event_id")), "pushed")
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", old)
+    return rows.groupBy("org").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.count_distinct("page").alias("pages"), F.max("page").alias("last_page"))
+
+
+@query("SELECT page_id, octet_length(encode(html)) AS bytes, sha256(encode(html)) AS digest FROM pages WHERE html IS NOT NULL")
+def binary_files(spark, sf_dir):
+    """A file for each page, written by a sink that commits all of them at once, and read back."""
+    path = _at(spark, "files")
+    d = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("name"), F.col("html").cast("binary").alias("content"))
+    writers.contents(d, path, "name", "content", ".pdf")
+    read = readers.files(spark, path)
+    return read.select(F.regexp_extract("path", r"([0-9]+)\.pdf$", 1).cast("long").alias("page_id"), F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("digest"))
+
+
+@query("SELECT doc_id, start::BIGINT AS start FROM (SELECT doc_id, sum(len(coalesce(text, ''))) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s, coalesce(s, 0) AS start FROM (SELECT doc_id, text, CASE WHEN doc_id % 997 = 0 THEN 4611686018427387904 + doc_id ELSE doc_id END AS id FROM documents))")
+def skewed_ordinals(spark, sf_dir):
+    """Where each text begins in the whole corpus, in an order whose ids lie close together but for a few far away."""
+    k = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(k % 997 == 0, F.lit(1 << 62) + k).otherwise(k).alias("id"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    return ingest.dense_ids(d, "id", "n", "start").select("doc_id", F.col("start").cast("long").alias("start"))
