@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import forget, small_batches, text_slices, written
@@ -305,11 +305,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def median(values: DataFrame) -> DataFrame:
-    """(lang, value > 0) to (lang, middle: the median, to a step of its logarithm); there are some tens of thousands of steps at most."""
-    steps = values.groupBy("lang", F.floor(F.log2("value") * STEPS).alias("step")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy("lang")
-    upto = steps.withColumn("upto", F.sum("n").over(w.orderBy("step"))).withColumn("all", F.sum("n").over(w))
-    return upto.filter(2 * F.col("upto") >= F.col("all")).groupBy("lang").agg(F.pow(F.lit(2.0), (F.min("step") + 0.5) / STEPS).alias("middle"))
+    """(lang, value > 0) to (lang, middle: the median, to a step of its logarithm); an aggregate over some tens of thousands of steps at most."""
+    steps = values.select("lang", F.floor(F.log2("value") * STEPS).cast("double").alias("step"))
+    return steps.groupBy("lang").agg(F.pow(F.lit(2.0), (F.percentile("step", 0.5) + 0.5) / STEPS).alias("middle"))
 
 
 def bands(rows: DataFrame) -> DataFrame:
