@@ -15,15 +15,13 @@ Changing a share x of the words leaves a share s = (1 - x)**5 of the shingles; w
 probability (1 - J**2)**SKETCHES: below 1e-6 for 5 % of the words, 0.02 for 10 %, 0.13 for 15 %.
 
 Defined results: null, empty and wordless texts are groups of their own by equal text and link with no other; texts
-of fewer than SHINGLE words are one shingle; texts of over LONG words together are aligned between the shingles that occur
-once in each; rows that share a doc_id count as one document; a row with a null doc_id takes part under a number made of its text,
-beyond all ids (key), and is named null; an empty table gives no rows.
+of fewer than SHINGLE words are one shingle; rows that share a doc_id count as one document; a row with a null doc_id takes part under
+a number made of its text, beyond all ids (key), and is named null; ids from UNNAMED on are numbered in their order for that; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +37,8 @@ SMALL = 8
 BLOCK = 256
 #: A text's pairs are dealt out to as many tasks as there are this many of them.
 DEAL = 200
-LONG = 20_000
+#: Texts of at most so many words have their words' places kept while they are aligned (a bit a word for each word).
+KNOWN = 20_000
 #: Rows without an id have numbers from here on.
 UNNAMED = 1 << 62
 
@@ -78,66 +77,44 @@ def sketches(x: np.ndarray) -> np.ndarray:
 
 
 def distance_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
-    """How many insertions and deletions, `most` at most, turn a into b: diagonals -most to most, furthest first."""
+    """How many insertions and deletions, `most` at most, turn a into b: None if more are needed.
+
+    A whole row of the alignment is one integer, a bit for each word of a; a row follows from the one before by a few operations on all its bits.
+    Only places in the band count, at most `most` from the diagonal: no alignment of that distance leaves it.
+    """
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return None
-    x_, y_ = a.tolist(), b.tolist()
-    v = {1: 0}
-    for d in range(most + 1):
-        for k in range(-d, d + 1, 2):
-            x = v[k + 1] if k == -d or (k != d and v[k - 1] < v[k + 1]) else v[k - 1] + 1
-            y = x - k
-            while x < n and y < m and x_[x] == y_[y]:
-                x += 1
-                y += 1
-            v[k] = x
-            if x >= n and y >= m:
-                return d
-    return None
-
-
-def anchors(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Places (i, j) of shingles that occur once in a and once in b, the longest chain of them in both orders."""
-    once = lambda s: (lambda u, at, n: (u[n == 1], at[n == 1]))(*np.unique(s, return_index=True, return_counts=True))
-    (u, i), (v, j) = once(shingles(a, SHINGLE)), once(shingles(b, SHINGLE))
-    _, x, y = np.intersect1d(u, v, assume_unique=True, return_indices=True)
-    o = np.argsort(i[x])
-    i, j = i[x][o].tolist(), j[y][o].tolist()
-    tails: list[int] = []
-    ends: list[int] = []
-    before = [-1] * len(j)
-    for k, z in enumerate(j):
-        at = bisect_left(tails, z)
-        before[k] = ends[at - 1] if at else -1
-        if at == len(tails):
-            tails.append(z)
-            ends.append(k)
-        else:
-            tails[at], ends[at] = z, k
-    chain, k = [], ends[-1] if ends else -1
-    while k >= 0:
-        chain.append((i[k], j[k]))
-        k = before[k]
-    return chain[::-1]
-
-
-def distance_of_long(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
-    """The same for long texts: what stands between anchors is aligned by itself; a gap of over LONG words counts as unlike."""
-    done, i, j = 0, 0, 0
-    for x, y in [*anchors(a, b), (len(a), len(b))]:
-        if x < i or y < j:
-            # Overlaps the shingle before: its last words match as far as both steps agree.
-            if x - i != y - j:
-                continue
-        else:
-            gap = (x - i) + (y - j)
-            one = distance_within(a[i:x], b[j:y], min(most - done, gap)) if gap <= LONG else gap
-            if one is None or done + one > most:
-                return None
-            done += one
-        i, j = max(i, min(x + SHINGLE, len(a))), max(j, min(y + SHINGLE, len(b)))
-    return done
+    words_, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    order = np.argsort(at[:n], kind="stable")
+    cut = np.searchsorted(at[:n][order], np.arange(len(words_) + 1)).tolist()
+    order = order.tolist()
+    places: dict[int, int] = {}
+    full, wide = (1 << n) - 1, 2 * most + 1
+    band = (1 << wide) - 1
+    row = full
+    for j, w in enumerate(at[n:].tolist()):
+        if cut[w] == cut[w + 1]:
+            continue
+        have = places.get(w)
+        if have is None:
+            have = 0
+            if cut[w + 1] - cut[w] < 64:
+                for i in order[cut[w] : cut[w + 1]]:
+                    have |= 1 << i
+            else:
+                bits = np.zeros(n + 7 & -8, np.uint8)
+                bits[order[cut[w] : cut[w + 1]]] = 1
+                have = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+            if n <= KNOWN:
+                places[w] = have
+        shift = j - most
+        if wide < n:
+            have &= band << shift if shift > 0 else band >> -shift
+        u = row & have
+        row = (row + u | row - u) & full
+    d = n + m - 2 * (n - row.bit_count())
+    return d if d <= most else None
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> int:
@@ -154,7 +131,7 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
     most = int((1 - least) * both + 1e-9)
     if not len(a) or not len(b) or abs(len(a) - len(b)) > most or 2 * alike(a, b) < both - most:
         return False
-    return (distance_within if both <= LONG else distance_of_long)(a, b, most) is not None
+    return distance_within(a, b, most) is not None
 
 
 def key_of(doc_id, text):
@@ -303,6 +280,22 @@ def hashed(text: bytes) -> np.ndarray:
 
 def classes(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) to (doc_id, class_id, kept, key): one row for each row; kept where the row's number is its class's smallest."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    top = docs.agg(F.max("doc_id")).head()[0]
+    if top is None or top < UNNAMED:
+        return numbered_classes(docs)
+    # Ids that reach into the numbers of unnamed rows are numbered anew, in their order: a number names its partition of the order and its place there.
+    ids = docs.select(F.col("doc_id").alias("name")).filter("name is not null").distinct()
+    ids = written(ids.repartitionByRange("name").sortWithinPartitions("name").withColumn("n", F.monotonically_increasing_id()), "names")
+    inner = docs.join(ids, docs["doc_id"] == ids["name"], "left").select(F.col("n").alias("doc_id"), "text")
+    res = numbered_classes(inner)
+    own, lead = ids.select(F.col("n").alias("doc_id"), F.col("name").alias("own")), ids.select(F.col("n").alias("class_id"), F.col("name").alias("lead"))
+    res = res.join(own, "doc_id", "left").join(lead, "class_id", "left")
+    return res.select(F.col("own").alias("doc_id"), F.col("lead").alias("class_id"), "kept", F.coalesce("own", "key").alias("key"))
+
+
+def numbered_classes(docs: DataFrame) -> DataFrame:
+    """classes() of ids below UNNAMED."""
     all_ = written(sketched(docs), "sketches")
     same = written(all_.groupBy("same").agg(F.min("id").alias("id"), F.first("sk").alias("sk")), "texts")
     live = same.filter(F.size("sk") > 0)

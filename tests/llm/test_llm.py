@@ -168,13 +168,28 @@ def test_alignment_distance():
                 t[i + 1][j + 1] = t[i][j] + 1 if a[i] == b[j] else max(t[i][j + 1], t[i + 1][j])
         d = len(a) + len(b) - 2 * t[-1][-1]
         assert minhash.distance_within(a, b, d) == d and (d == 0 or minhash.distance_within(a, b, d - 1) is None)
-        assert minhash.distance_of_long(a, b, 50) >= d
-    for share in (0.0, 0.02, 0.1):
-        a = np.array([rnd.randint(0, 300) for _ in range(3000)], np.uint64)
-        b = np.array([x for x in a.tolist() for x in ([x] if rnd.random() >= share else rnd.choice([[], [x, 999], [rnd.randint(400, 900)]]))], np.uint64)
-        d = minhash.distance_within(a, b, 2000)
-        assert d <= minhash.distance_of_long(a, b, 2000) <= d * 1.05 + 2
-        assert minhash.alike(a, b) >= (len(a) + len(b) - d) / 2
+
+
+def test_alignment_of_long_texts(spark):
+    """Texts of some 25,000 words, far beyond what is kept of a text: the distance is exact, and links follow it."""
+    a = np.array([rnd.randint(0, 5000) for _ in range(25_000)], np.uint64)
+    for share, linked in ((0.15, True), (0.19, True), (0.21, False)):
+        b = a.copy()
+        at = rnd.sample(range(len(a)), int(share * len(a)))
+        b[at] = np.arange(10_000, 10_000 + len(at))
+        assert minhash.similar(a, b) is linked
+        assert minhash.distance_within(a, b, 2 * len(at)) == 2 * len(at) and minhash.distance_within(a, b, 2 * len(at) - 1) is None
+    shifted = np.concatenate([a[19_000:], a[:19_000]])
+    assert not minhash.similar(a, shifted) and minhash.distance_within(a, shifted, 12_000) == 12_000
+
+
+def test_ids_of_any_size(spark):
+    t, u = prose(100), prose(100)
+    big = [(1 << 62) + 5, (1 << 63) - 1, -(1 << 63), 1 << 62, None, 7]
+    d = spark.createDataFrame([(big[0], t), (big[1], t + " x"), (big[2], u), (big[3], u), (big[4], t), (big[5], prose(90)), (None, prose(80))], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["class_id"], r["kept"]) for r in minhash.classes(d).collect()), key=str)
+    assert got == sorted([(big[0], big[0], True), (big[1], big[0], False), (big[2], big[2], True), (big[3], big[2], False), (None, big[0], False), (7, 7, True), (None, None, True)], key=str)
+
 
 
 @pytest.mark.parametrize("share, least", [(0.02, 0.99), (0.05, 0.97), (0.1, 0.9), (0.15, 0.75)])
