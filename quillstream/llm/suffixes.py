@@ -17,7 +17,7 @@ equal windows have equal anchors. Consecutive windows with one anchor are a run,
 
 Defined results: a null text is an empty one; texts shorter than LENGTH lose nothing; rows that repeat a doc_id
 with the same text are one document (each row gets its result), with other texts they are separate documents
-in order of the text's hash; a null doc_id stands before all others; an empty table gives no rows.
+in order of the texts' SHA-256, of which there may be 2**32; a null doc_id stands before all others; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,7 +38,9 @@ PIECE = 1 << 22
 FLUSH = 500_000
 #: Unsettled runs of an anchor beyond which they meet window by window, and windows sorted at a time.
 HOT, WINDOWS = 4096, 600_000
-POS = np.int64((1 << 40) - 1)
+#: A place is a text's number among those that share ids, and a byte in it; no text has 2**31 bytes.
+PLACE = 31
+POS = np.int64((1 << PLACE) - 1)
 PLACE_BITS = np.uint64(24)
 CANDIDATE, MARK, REPEAT, UNSETTLED = 0, 1, 2, 3
 
@@ -129,7 +131,7 @@ def scan(docs: DataFrame, length: int, k: int) -> DataFrame:
             d, t = part.column(0).to_numpy(), part.column(1).to_numpy()
             for piece, o, skip in pieces(data, off, length):
                 h, c, doc, p, n = anchor_runs(piece, o, length, k)
-                held.append((h, c, d[doc], p + skip + (t[doc] << 40), n))
+                held.append((h, c, d[doc], p + skip + (t[doc] << PLACE), n))
                 count += len(h)
             if count > FLUSH:
                 yield from flush(held)
@@ -374,24 +376,52 @@ def sort_runs(length: int):
     return run
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(d, t, text, rest): d orders documents, t tells apart different texts of one doc_id, rest holds all columns but text."""
-    d, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), F.col("text").cast("string")
-    return docs.select(d.alias("d"), F.xxhash64(text).bitwiseAND(0x3FFFFF).alias("t"), F.coalesce(text, F.lit("")).alias("text"), F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("rest"))
+def d_of() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
 
 
-def removed_windows(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
+def digest_of() -> Column:
+    return F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+
+
+def numbered(docs: DataFrame) -> DataFrame | None:
+    """(d, digest, t): a number for each different text of an id that several rows have, in order of (id, digest); None if there is no such id."""
+    several = docs.select(d_of().alias("d")).groupBy("d").agg(F.count("*").alias("rows")).filter(F.col("rows") > 1).select("d")
+    several = written(several, "several")
+    if several.isEmpty():
+        return None
+    texts = docs.select(d_of().alias("d"), digest_of().alias("digest")).join(several, "d", "left_semi").distinct()
+    texts = written(texts.repartitionByRange("d", "digest").sortWithinPartitions("d", "digest").withColumn("at", F.monotonically_increasing_id()), "numbered")
+    texts = texts.withColumn("part", F.shiftright("at", 33))
+    per = texts.groupBy("part").agg(F.count("*").alias("n"))
+    if (per.agg(F.sum("n")).head()[0] or 0) >= 1 << 32:
+        raise ValueError("over 2**32 texts share their ids with others")
+    # A row for each partition.
+    ahead = F.broadcast(per.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead")))
+    return written(texts.join(ahead, "part").select("d", "digest", (F.col("ahead") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("t")), "numbered")
+
+
+def keyed(docs: DataFrame, numbers: DataFrame | None) -> DataFrame:
+    """(d, t, text, rest): d orders documents, t different texts of one doc_id, rest holds all columns but text."""
+    text, rest = F.col("text").cast("string"), F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("rest")
+    if numbers is None:
+        return docs.select(d_of().alias("d"), F.lit(0).cast("long").alias("t"), F.coalesce(text, F.lit("")).alias("text"), rest)
+    k = docs.select(d_of().alias("d"), digest_of().alias("digest"), F.coalesce(text, F.lit("")).alias("text"), rest)
+    return k.join(numbers, ["d", "digest"], "left").select("d", F.coalesce("t", F.lit(0).cast("long")).alias("t"), "text", "rest")
+
+
+def removed_windows(docs: DataFrame, numbers: DataFrame | None, length: int = LENGTH, k: int = K) -> DataFrame:
     """(d, t, list of (p, n)): first removed window and the number after it, for each document that loses any."""
-    base = keyed(docs).select("d", "t", "text")
+    base = keyed(docs, numbers).select("d", "t", "text")
     met = scan(base, length, k).repartition("h").mapInArrow(meet_at_anchors, "d long, p long, n long, f long, h long")
     met = written(met, "runs")
-    t = F.shiftright("p", 40).alias("t")
+    t = F.shiftright("p", PLACE).alias("t")
     open_ = met.filter(F.col("f") == UNSETTLED)
     hot = open_.groupBy("h").agg(F.count("*").alias("runs")).filter(F.col("runs") > HOT).select("h", F.lit(True).alias("hot"))
     open_ = open_.join(hot, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     lists = open_.groupBy("d", t).agg(F.collect_list(F.struct("p", "n", "h", "hot")).alias("runs"))
     # `rest` is there so that this exchange of the texts is the one that the removal uses again.
-    joined = keyed(docs).join(lists, ["d", "t"]).select("d", "t", "text", "runs", "rest")
+    joined = keyed(docs, numbers).join(lists, ["d", "t"]).select("d", "t", "text", "runs", "rest")
     late = unsettled_bytes(joined, length).repartition("h").mapInArrow(sort_runs(length), "d long, p long, n long")
     both = met.filter(F.col("f") == REPEAT).select("d", "p", "n").union(late)
     return both.groupBy("d", t).agg(F.collect_list(F.struct(F.col("p").bitwiseAND(int(POS)).alias("p"), "n")).alias("gone"))
@@ -429,7 +459,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
             kept = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(left), pa.py_buffer(data[~cut])])
             yield pa.RecordBatch.from_arrays([part.column(2), spans, kept, pa.array(size)], ["rest", "spans", "kept", "n_bytes"])
 
-    both = keyed(docs).join(removed_windows(docs, length, k), ["d", "t"], "left").select("text", "gone", "rest")
+    numbers = numbered(docs)
+    both = keyed(docs, numbers).join(removed_windows(docs, numbers, length, k), ["d", "t"], "left").select("text", "gone", "rest")
     schema = T.StructType([both.schema["rest"]]).add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long"))).add("kept", "binary").add("n_bytes", "long")
     return both.mapInArrow(run, schema).select("rest.*", "spans", "kept", "n_bytes")
 

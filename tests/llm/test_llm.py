@@ -84,6 +84,19 @@ def test_suffix_dedup_odd_ids_and_columns(spark):
     assert [len(r["kept"]) for r in twice.collect()] == [len(a), len(a)]
 
 
+def test_suffix_dedup_of_rows_that_share_ids(spark):
+    """Thousands of rows without an id and of one id, with passages that they share, against brute force in the documented order."""
+    a = [prose(30) for _ in range(40)]
+    rows = [(None if i % 3 else 5, f"{word()} {rnd.choice(a)} {word()} {rnd.choice(a)[:105]}") for i in range(6000)] + [(None, None), (None, ""), (5, a[0]), (5, a[0]), (9, a[1])]
+    order = sorted({(-(2**63) if d is None else d, hashlib.sha256((t or "").encode()).hexdigest(), t or "") for d, t in rows})
+    want = dict(zip([(d, t) for d, _, t in order], brute_repeats([t for _, _, t in order], 100), strict=True))
+    d = suffixes.dedup(spark.createDataFrame(rows, "doc_id long, text string").withColumn("was", F.col("text")).repartition(5))
+    got = d.select("doc_id", "was", "n_bytes", F.expr("aggregate(spans, 0L, (s, x) -> s + x.end - x.start)"), F.size("spans"), F.sha2("kept", 256)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert tuple(r)[2:] == want[-(2**63) if r[0] is None else r[0], r[1] or ""]
+
+
 def test_suffix_order():
     data = np.frombuffer(("abracadabra" * 30 + prose(50)).encode() + b"\0" * 40, np.uint8)
     at = np.arange(len(data) - 40)
