@@ -15,7 +15,7 @@ from ..functions import text as tx
 from ..operators import chunk, embed, evaluate, ingest, runs
 from ..sources import fetch, paged, readers, saved, writers
 from ..store import shared, written
-from ..streaming import crawl
+from ..streaming import crawl, log
 from .queries import _RAW, _REASON, _STRIP, ORACLES, _found, _labelled, _norm_sql, _numbers_sql, _raw, _topk_sql, _unique_sql, query, table
 
 # --- files --------------------------------------------------------------------------------------------------------
@@ -392,3 +392,43 @@ def skewed_ordinals(spark, sf_dir):
     k = F.col("doc_id")
     d = table(spark, sf_dir, "documents").select("doc_id", F.when(k % 997 == 0, F.lit(1 << 62) + k).otherwise(k).alias("id"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
     return ingest.dense_ids(d, "id", "n", "start").select("doc_id", F.col("start").cast("long").alias("start"))
+
+
+@query("""SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id)::BIGINT AS line, doc_id, doc_id % 7 = 3 AS bad FROM documents WHERE lang IS NOT NULL QUALIFY bad""")
+def numbered_bad_lines(spark, sf_dir):
+    """Files of JSON lines, one for each language, some of whose lines are broken: all of those with their numbers."""
+    path = _at(spark, "lines")
+    k = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").filter("lang is not null")
+    line = F.when(k % 7 == 3, F.concat(F.lit('{"ada": '), k.cast("string"), F.lit(', "text":'))).otherwise(F.to_json(F.struct(k.alias("ada"), "text")))
+    d.select("lang", "doc_id", line.alias("value")).repartitionByRange(1, "lang").sortWithinPartitions("lang", "doc_id").select("lang", "value").write.partitionBy("lang").text(path)
+    bad = readers.bad_lines(spark, path)
+    return bad.select(F.regexp_extract("file", "lang=([^/]*)", 1).alias("lang"), "line", F.regexp_extract("text", "([0-9]+)", 1).cast("long").alias("doc_id"), F.lit(True).alias("bad"))
+
+
+@query(f"SELECT coalesce({_REASON}, 'accepted') AS outcome, count(*) AS n FROM ({_RAW}) GROUP BY ALL")
+def counted_write(spark, sf_dir):
+    """Outcomes counted by the job that writes the records."""
+    path = _at(spark, "counted")
+    got = log.written_and_counted(_raw(spark, sf_dir).select("event_id", "ada", "reason"), path)
+    rows = [(k, v) for k, v in got.items() if v]
+    return spark.createDataFrame(rows, "outcome string, n long")
+
+
+@query(f"SELECT outcome, sum(n)::BIGINT AS n, 2::BIGINT AS batches FROM (SELECT coalesce({_REASON}, 'accepted') AS outcome, count(*) AS n FROM ({_RAW}) GROUP BY ALL UNION ALL SELECT unnest(['accepted', 'invalid_or_out_of_range_date', 'wrong_organization', 'missing_ada']), 0) GROUP BY outcome")
+def run_log(spark, sf_dir):
+    """Two batches of a stream whose listener logs what each counted; the log is a table."""
+    at = _at(spark, "logged")
+    d = _raw(spark, sf_dir).select("ada", "event_id", "day", "reason")
+    middle = (d.agg(F.max("event_id")).head()[0] or 0) // 2
+    listener = log.RunLog(f"{at}/log")
+    spark.streams.addListener(listener)
+    try:
+        for part in (F.col("event_id") <= middle, F.col("event_id") > middle):
+            d.filter(part).coalesce(1).write.mode("append").parquet(f"{at}/in")
+            s = spark.readStream.schema(d.schema).parquet(f"{at}/in").observe("outcomes", *log.outcomes())
+            crawl.run(s, f"{at}/checkpoint", f"{at}/accepted", f"{at}/rejected", "ada", "event_id")
+        e = log.entries(spark, f"{at}/log")
+    finally:
+        spark.streams.removeListener(listener)
+    return e.groupBy("outcome").agg(F.sum("n").alias("n"), F.count("*").alias("batches"))

@@ -7,11 +7,13 @@ from collections.abc import Callable, Iterable
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text as tx
 from ..operators.extract import content
+from ..store import written
 
 BAD = "_corrupt_record"
 
@@ -32,17 +34,56 @@ def strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def bad_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, line from 1, text) of every line that is neither blank nor JSON, over any number of files.
+
+    One scan counts the lines of each split and gives its bad ones with their places there; a split's first line has the lines of the file's
+    earlier splits before it. A split holds the lines that begin in it, so the counts of a file add up.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    bad = (tx.strip(F.col("value")) != "") & F.try_parse_json("value").isNull()
+
+    def run(batches):
+        now, count = None, 0
+        for b in batches:
+            file, start, bad = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)
+            out = []
+            wrong = [i for i, x in enumerate(bad.is_valid().to_pylist()) if x]
+            cut = [0, *(i for i in range(1, len(file)) if (file[i], start[i]) != (file[i - 1], start[i - 1])), len(file)]
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                if hi > lo:
+                    if (file[lo], start[lo]) != now:
+                        if now:
+                            out.append((*now, count, None))
+                        now, count = (file[lo], start[lo]), 0
+                    out += [(*now, count + i - lo, bad[i].as_py()) for i in wrong if lo <= i < hi]
+                    count += hi - lo
+            if out:
+                yield rows(out)
+        if now:
+            yield rows([(*now, count, None)])
+
+    def rows(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["file", "start", "place", "value"])
+
+    found = written(lines.select("file", "start", F.when(bad, F.col("value"))).mapInArrow(run, "file string, start long, place long, value string"), "lines")
+    before = W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    splits = found.filter("value is null").select("file", "start", F.coalesce(F.sum("place").over(before), F.lit(0)).alias("ahead"))
+    return found.filter("value is not null").join(splits, ["file", "start"]).select("file", (F.col("ahead") + F.col("place") + 1).alias("line"), F.col("value").alias("text"))
+
+
 def first_bad(spark: SparkSession, path: str) -> tuple[str, int, str] | None:
     """(file, line from 1, text) of the first line that is neither blank nor JSON, for the report of a failed strict read."""
-    lines = spark.read.text(path).select("_metadata.file_path", "_metadata.file_block_start", "value")
-    bad = (tx.strip(F.col("value")) != "") & F.try_parse_json("value").isNull()
-    seen = lines.filter(bad).agg(F.min("file_path")).head()[0]
-    if seen is None:
-        return None
-    # One file's lines are numbered, in the order in which they are read.
-    numbered = lines.filter(F.col("file_path") == seen).select("value", bad.alias("bad")).rdd.zipWithIndex()
-    row, at = numbered.filter(lambda x: x[0]["bad"]).min(key=lambda x: x[1])
-    return seen, at + 1, row["value"]
+    r = bad_lines(spark, path).orderBy("file", "line").head()
+    return tuple(r) if r else None
+
+
+def checked(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A strict read that is tried at once: a line that is no JSON fails it with the file, the number and the text of the first such line."""
+    bad = first_bad(spark, path)
+    if bad:
+        raise RuntimeError("{}: line {} is no JSON: {:.200}".format(*bad))
+    return strict(spark, path, schema)
 
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:

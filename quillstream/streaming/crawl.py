@@ -8,6 +8,7 @@ of that batch's number, which a batch that is run again replaces.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame
@@ -72,6 +73,11 @@ def run(stream: DataFrame, checkpoint: str, accepted: str, rejected: str | None,
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
     try:
         q.processAllAvailable()
+        # A batch is reported, to listeners too, after it counts as done.
+        for _ in range(200):
+            if not q.status["isTriggerActive"]:
+                break
+            time.sleep(0.05)
         return [json.loads(p.json) for p in q.recentProgress]
     finally:
         q.stop()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillstream.operators import ingest, search
 from quillstream.sources import paged, readers, saved, writers
 from quillstream.store import Folder
-from quillstream.streaming import crawl
+from quillstream.streaming import crawl, log
 
 
 def rows(df):
@@ -194,3 +194,47 @@ def test_delay_is_within_a_task():
     began = time.time()
     list(paged.asked_for(s, paged.Run({}, [7000, 7001, 7002])))
     assert 0.1 <= time.time() - began < 5
+
+
+def test_bad_lines_over_splits(spark, tmp_path):
+    """Files of several splits, with blank lines, lines of many bytes, and Windows ends of lines."""
+    want = []
+    for f, end in (("a.json", "\n"), ("b.json", "\r\n"), ("c.json", "\n")):
+        lines = []
+        for i in range(1, 401):
+            kind = (i * 7 + ord(f[0])) % 11
+            lines.append("" if kind == 0 else "{broken %d" % i if kind == 1 else json.dumps({"k": i, "t": "é" * (i % 90)}))
+            if kind == 1:
+                want.append((f, i, "{broken %d" % i))
+        (tmp_path / f).write_bytes(end.join(lines).encode() + end.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = [(r["file"].rsplit("/", 1)[1], r["line"], r["text"]) for r in readers.bad_lines(spark, str(tmp_path)).collect()]
+        first = readers.first_bad(spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(got) == sorted(want) and first[0].endswith("a.json") and first[1:] == min(w for w in want if w[0] == "a.json")[1:]
+    with pytest.raises(RuntimeError, match="a.json: line"):
+        readers.checked(spark, str(tmp_path), "k long")
+    (tmp_path / "good").mkdir()
+    (tmp_path / "good" / "x.json").write_text('{"k": 1}\n\n{"k": 2}\n')
+    assert readers.first_bad(spark, f"{tmp_path}/good") is None and readers.checked(spark, f"{tmp_path}/good", "k long").count() == 2
+
+
+def test_counters_and_log(spark, tmp_path):
+    d = spark.createDataFrame([("A", 1, None), ("A", 2, None), ("B", 3, "missing_ada"), ("C", 4, "wrong_organization")], "k string, n int, reason string")
+    assert log.written_and_counted(d, f"{tmp_path}/t") == {"accepted": 2, "invalid_or_out_of_range_date": 0, "wrong_organization": 1, "missing_ada": 1}
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 4
+    listener = log.RunLog(f"{tmp_path}/log")
+    spark.streams.addListener(listener)
+    try:
+        for i in range(3):
+            d.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            crawl.run(spark.readStream.schema(d.schema).parquet(f"{tmp_path}/in").observe("outcomes", *log.outcomes()), f"{tmp_path}/check", f"{tmp_path}/ok", None, "k", "n")
+            crawl.run(spark.readStream.schema(d.schema).parquet(f"{tmp_path}/in").observe("outcomes", *log.outcomes()), f"{tmp_path}/check", f"{tmp_path}/ok", None, "k", "n")
+        e = log.entries(spark, f"{tmp_path}/log")
+        assert rows(e.groupBy("batch").agg(F.sum(F.when(F.col("outcome") == "accepted", F.col("n"))), F.sum("n"))) == [(i, 2, 4) for i in range(3)]
+    finally:
+        spark.streams.removeListener(listener)
