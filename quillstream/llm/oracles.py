@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lattice, mixing, suffixes, urls
+from . import lattice, mixing, perplexity, suffixes, turns, urls
 
 _L = suffixes.LENGTH
 #: Bytes as pairs of hexadecimal digits; a string of LENGTH bytes at each start, the first of equal ones kept.
@@ -85,3 +85,66 @@ SELECT d.page_id, d.host, d.path, d.rule, coalesce(d.ruled, CASE WHEN threshold
 
 
 URL_FILTER = _url_filter()
+
+_GAP = r"\x20\x09-\x0D"
+_K = perplexity.ORDER
+
+
+def _kneser_ney() -> str:
+    """Grams as pairs of hexadecimal digits; each order's counts and probabilities from those of the next."""
+    q = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^{_GAP}]+') AS w FROM documents),
+ x AS MATERIALIZED (SELECT rid, lang, lower(hex(encode(array_to_string(w, ' ') || ' '))) AS x FROM d WHERE len(w) > 0),
+ y AS (SELECT rid, lang, unnest(l) AS byte, generate_subscripts(l, 1) AS i FROM (SELECT rid, lang, regexp_extract_all(x, '..') AS l FROM x)),
+ g AS MATERIALIZED (SELECT rid, lang, {" || ".join(f"coalesce(lag(byte, {k}) OVER w, '20')" for k in range(_K - 1, 0, -1))} || byte AS gram FROM y WINDOW w AS (PARTITION BY rid ORDER BY i)),
+ c{_K} AS MATERIALIZED (SELECT lang, gram, count(*)::DOUBLE AS n FROM g GROUP BY ALL)"""
+    for k in range(_K - 1, 0, -1):
+        q += f""",
+ c{k} AS MATERIALIZED (SELECT lang, substr(gram, 3) AS gram, count(*)::DOUBLE AS n FROM c{k + 1} GROUP BY ALL)"""
+    for k in range(1, _K + 1):
+        below = "1 / 256.0::DOUBLE" if k == 1 else "l.p"
+        join = "" if k == 1 else f" JOIN p{k - 1} l ON l.lang = c.lang AND l.gram = substr(c.gram, 3)"
+        cut = lambda i: f"CASE WHEN {i} - {i + 1} * y * n{i + 1} / n{i} > 0 AND {i} - {i + 1} * y * n{i + 1} / n{i} < {i} THEN {i} - {i + 1} * y * n{i + 1} / n{i} ELSE {i / 2} END AS d{i}"
+        q += f""",
+ n{k} AS MATERIALIZED (SELECT *, n1 / nullif(n1 + 2 * n2, 0) AS y FROM (SELECT lang, {", ".join(f"nullif(count(*) FILTER (WHERE n = {i}), 0)::DOUBLE AS n{i}" if i < 4 else "count(*) FILTER (WHERE n = 4)::DOUBLE AS n4" for i in (1, 2, 3, 4))} FROM c{k} GROUP BY lang)),
+ d{k} AS MATERIALIZED (SELECT lang, {", ".join(cut(i) for i in (1, 2, 3))} FROM n{k}),
+ e{k} AS MATERIALIZED (SELECT c.lang, gram, n, CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END AS d FROM c{k} c JOIN d{k} USING (lang)),
+ t{k} AS MATERIALIZED (SELECT lang, substr(gram, 1, {2 * k - 2}) AS context, sum(n) AS t, sum(d) AS cut FROM e{k} GROUP BY ALL),
+ p{k} AS MATERIALIZED (SELECT c.lang, c.gram, (n - d) / t + cut / t * {below} AS p FROM e{k} c JOIN t{k} t ON t.lang = c.lang AND t.context = substr(c.gram, 1, {2 * k - 2}){join})"""
+    return q + rf""",
+ s AS MATERIALIZED (SELECT rid, sum(-log2(p)) AS cost FROM g JOIN p{_K} USING (lang, gram) GROUP BY rid),
+ v AS MATERIALIZED (SELECT rid, doc_id, lang, text, w, len(w)::BIGINT AS n_words, cost / nullif(len(w), 0) AS bits FROM d LEFT JOIN s USING (rid)),
+ o AS MATERIALIZED (SELECT lang, text, max(bits) AS value, max(n_words) AS n FROM v WHERE n_words > 0 GROUP BY ALL),
+ m AS MATERIALIZED (SELECT lang, pow(2.0, (quantile_cont(floor(log2(value) * {perplexity.STEPS})::DOUBLE, 0.5) + 0.5) / {perplexity.STEPS}) AS middle FROM o GROUP BY lang),
+ z AS MATERIALIZED (SELECT lang, 1.4826 * pow(2.0, (quantile_cont(floor(log2(greatest(abs(value - middle) * sqrt(n), 1e-6)) * {perplexity.STEPS})::DOUBLE, 0.5) + 0.5) / {perplexity.STEPS}) AS spread FROM o JOIN m USING (lang) GROUP BY lang),
+ r AS MATERIALIZED (SELECT rid, count(DISTINCT word) AS n FROM (SELECT rid, i + unnest(range({perplexity.SPAN})) AS word FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, five) AS times FROM (SELECT rid, i, array_to_string(w[i:i + {perplexity.SPAN - 1}], ' ') AS five FROM (SELECT rid, w, unnest(range(1, len(w) - {perplexity.SPAN - 2})) AS i FROM v))) WHERE times > 1) GROUP BY rid),
+ b AS MATERIALIZED (SELECT v.*, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+   list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^{_GAP}]')) AS l, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM v LEFT JOIN r USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, n_repeat_words, n_words < {perplexity.FEWEST} OR 100 * n_repeat_words > {perplexity.PERCENT} * n_words AS base_failed,
+ NOT base_failed AND coalesce(abs(bits - middle) <= {perplexity.WIDTH} * sqrt(spread * spread / n_words + pow({perplexity.LEAST} * middle, 2.0)), false) AS kept, round(bits, 6) AS bits FROM b LEFT JOIN m USING (lang) LEFT JOIN z USING (lang)"""
+
+
+KNESER_NEY = _kneser_ney()
+
+#: A row of the automaton: state, initial, next state. Repairs are searched turn by turn, all that is cheapest up to each state.
+TURNS = rf"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i::BIGINT)) AS t),
+ k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+ h AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT), lambda a, b: xor(a >> 8, t[((xor(a, b) & 255) + 1)::INT]), 4294967295::BIGINT), 4294967295) % 20 AS h FROM k CROSS JOIN crc),
+ e AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' WHEN role = '' THEN ' ' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE h > 0),
+ o AS (SELECT *, left(role, 1) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS rn, NOT regexp_matches(text, '[^{_GAP}]') AS blank FROM e),
+ f AS (SELECT *, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 AS again, lag(c) OVER (PARTITION BY conv_id ORDER BY rn) || c AS pair FROM o),
+ r AS (SELECT *, blank OR again AS must, NOT blank AND NOT again AND NOT regexp_matches(text, '[.!?][{_GAP}]*$') AS open FROM f),
+ nxt(s, c, z) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+ ins(i, s, m, a, l) AS (SELECT i::INT, i::INT, 0, '', '' FROM range(4) t(i) UNION ALL SELECT i, z, m + 1, a || 'I', l || chr(10) || CASE nxt.c WHEN 'a' THEN 'assistant:' ELSE 'user:' END FROM ins JOIN nxt ON nxt.s = ins.s AND nxt.c = CASE ins.s WHEN 2 THEN 'a' ELSE 'u' END WHERE m < 3),
+ way(conv_id, rn, s, best) AS (SELECT DISTINCT conv_id, 0::BIGINT, 0, row(0, '', '') FROM r
+  UNION ALL SELECT conv_id, rn, s, min(best) AS best FROM (
+   SELECT r.conv_id, r.rn, x.z AS s, row(way.best[1] + {turns.INSERT} * ins.m + x.cost, way.best[2] || ins.a || x.a, way.best[3] || ins.l || CASE x.a WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || r.role || ':' || r.text ELSE chr(10) || CASE x.c WHEN 'a' THEN 'assistant:' ELSE 'user:' END || r.text END) AS best
+   FROM way JOIN r ON r.conv_id IS NOT DISTINCT FROM way.conv_id AND r.rn = way.rn + 1 JOIN ins ON ins.i = way.s
+   JOIN (SELECT s, c, z, 'K' AS a, 0 AS cost FROM nxt UNION ALL SELECT s, c, z, 'R', {turns.REROLE} FROM nxt WHERE c <> 's' UNION ALL SELECT s::INT, '', s::INT, 'D', {turns.DELETE} FROM range(4) t(s)) y(s, c, z, a, cost) ON y.s = ins.s AND (y.a = 'D' OR NOT r.must AND (y.a = 'R' OR y.c = r.c))
+   JOIN LATERAL (SELECT y.z, y.a, y.c, y.cost + CASE WHEN y.a <> 'D' AND r.open THEN {turns.OPEN} ELSE 0 END AS cost) x ON true) GROUP BY ALL),
+ n AS (SELECT conv_id, max(rn) AS rows_, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again) AS duplicate, count(*) FILTER (WHERE open) AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
+ z AS (SELECT way.conv_id, min(row(best[1] + {turns.INSERT} * m, best[2] || a, best[3] || l)) AS best FROM way JOIN n ON n.conv_id IS NOT DISTINCT FROM way.conv_id AND n.rows_ = way.rn JOIN ins ON ins.i = way.s AND ins.s IN (0, 3) GROUP BY way.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+ coalesce(z.best[1], 0)::BIGINT AS cost, coalesce(z.best[2], '') AS audit, sha256(coalesce(substr(z.best[3], 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id"""

@@ -34,4 +34,6 @@ ORACLES: dict[str, str] = {
     "op5_url_filter": oracles.URL_FILTER,
     "op7_lattice_embeddings": oracles.LINKS,
     "op8_source_mix": oracles.MIX,
+    "op11_kneser_ney": oracles.KNESER_NEY,
+    "op13_turn_repair": oracles.TURNS,
 }
