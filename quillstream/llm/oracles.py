@@ -91,7 +91,7 @@ _K = perplexity.ORDER
 
 
 def _kneser_ney() -> str:
-    """Grams as pairs of hexadecimal digits; each order's counts and probabilities from those of the next."""
+    """Grams as pairs of hexadecimal digits, keys with their language in front; each order's counts and probabilities from those of the next."""
     q = rf"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^{_GAP}]+') AS w FROM documents),
  x AS MATERIALIZED (SELECT rid, lang, lower(hex(encode(array_to_string(w, ' ') || ' '))) AS x FROM d WHERE len(w) > 0),
@@ -103,21 +103,23 @@ WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(lan
  c{k} AS MATERIALIZED (SELECT lang, substr(gram, 3) AS gram, count(*)::DOUBLE AS n FROM c{k + 1} GROUP BY ALL)"""
     for k in range(1, _K + 1):
         below = "1 / 256.0::DOUBLE" if k == 1 else "l.p"
-        join = "" if k == 1 else f" JOIN p{k - 1} l ON l.lang = c.lang AND l.gram = substr(c.gram, 3)"
+        join = "" if k == 1 else f" JOIN p{k - 1} l ON l.key = c.lang || substr(c.gram, 3)"
         cut = lambda i: f"CASE WHEN {i} - {i + 1} * y * n{i + 1} / n{i} > 0 AND {i} - {i + 1} * y * n{i + 1} / n{i} < {i} THEN {i} - {i + 1} * y * n{i + 1} / n{i} ELSE {i / 2} END AS d{i}"
         q += f""",
  n{k} AS MATERIALIZED (SELECT *, n1 / nullif(n1 + 2 * n2, 0) AS y FROM (SELECT lang, {", ".join(f"nullif(count(*) FILTER (WHERE n = {i}), 0)::DOUBLE AS n{i}" if i < 4 else "count(*) FILTER (WHERE n = 4)::DOUBLE AS n4" for i in (1, 2, 3, 4))} FROM c{k} GROUP BY lang)),
  d{k} AS MATERIALIZED (SELECT lang, {", ".join(cut(i) for i in (1, 2, 3))} FROM n{k}),
  e{k} AS MATERIALIZED (SELECT c.lang, gram, n, CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END AS d FROM c{k} c JOIN d{k} USING (lang)),
- t{k} AS MATERIALIZED (SELECT lang, substr(gram, 1, {2 * k - 2}) AS context, sum(n) AS t, sum(d) AS cut FROM e{k} GROUP BY ALL),
- p{k} AS MATERIALIZED (SELECT c.lang, c.gram, (n - d) / t + cut / t * {below} AS p FROM e{k} c JOIN t{k} t ON t.lang = c.lang AND t.context = substr(c.gram, 1, {2 * k - 2}){join})"""
+ t{k} AS MATERIALIZED (SELECT lang || substr(gram, 1, {2 * k - 2}) AS context, sum(n) AS t, sum(d) AS cut FROM e{k} GROUP BY ALL),
+ p{k} AS MATERIALIZED (SELECT c.lang, c.gram, c.lang || c.gram AS key, (n - d) / t + cut / t * {below} AS p FROM e{k} c JOIN t{k} t ON t.context = c.lang || substr(c.gram, 1, {2 * k - 2}){join})"""
     return q + rf""",
  s AS MATERIALIZED (SELECT rid, sum(-log2(p)) AS cost FROM g JOIN p{_K} USING (lang, gram) GROUP BY rid),
  v AS MATERIALIZED (SELECT rid, doc_id, lang, text, w, len(w)::BIGINT AS n_words, cost / nullif(len(w), 0) AS bits FROM d LEFT JOIN s USING (rid)),
  o AS MATERIALIZED (SELECT lang, text, max(bits) AS value, max(n_words) AS n FROM v WHERE n_words > 0 GROUP BY ALL),
  m AS MATERIALIZED (SELECT lang, pow(2.0, (quantile_cont(floor(log2(value) * {perplexity.STEPS})::DOUBLE, 0.5) + 0.5) / {perplexity.STEPS}) AS middle FROM o GROUP BY lang),
  z AS MATERIALIZED (SELECT lang, 1.4826 * pow(2.0, (quantile_cont(floor(log2(greatest(abs(value - middle) * sqrt(n), 1e-6)) * {perplexity.STEPS})::DOUBLE, 0.5) + 0.5) / {perplexity.STEPS}) AS spread FROM o JOIN m USING (lang) GROUP BY lang),
- r AS MATERIALIZED (SELECT rid, count(DISTINCT word) AS n FROM (SELECT rid, i + unnest(range({perplexity.SPAN})) AS word FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, five) AS times FROM (SELECT rid, i, array_to_string(w[i:i + {perplexity.SPAN - 1}], ' ') AS five FROM (SELECT rid, w, unnest(range(1, len(w) - {perplexity.SPAN - 2})) AS i FROM v))) WHERE times > 1) GROUP BY rid),
+ u AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM v),
+ q AS (SELECT rid, i, word || ' ' || {" || ' ' || ".join(f"lead(word, {k}) OVER w" for k in range(1, perplexity.SPAN))} AS five FROM u WINDOW w AS (PARTITION BY rid ORDER BY i)),
+ r AS MATERIALIZED (SELECT rid, count(DISTINCT word) AS n FROM (SELECT rid, i + unnest(range({perplexity.SPAN})) AS word FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, five) AS times FROM q WHERE five IS NOT NULL) WHERE times > 1) GROUP BY rid),
  b AS MATERIALIZED (SELECT v.*, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
    list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^{_GAP}]')) AS l, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM v LEFT JOIN r USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, n_repeat_words, n_words < {perplexity.FEWEST} OR 100 * n_repeat_words > {perplexity.PERCENT} * n_words AS base_failed,
