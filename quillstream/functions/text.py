@@ -6,8 +6,11 @@ empty one unless stated otherwise.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import unicodedata
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -123,29 +126,111 @@ def number_accuracy(answer: Column, expected: Column) -> Column:
     return F.when(F.size(e) > 0, (F.size(F.array_except(e, numbers(answer))) == 0).cast("double"))
 
 
-def _bases() -> tuple[str, str]:
-    """Characters of the Latin and Greek blocks that decompose to one character and marks, and those characters."""
-    pairs = {}
-    for lo, hi in ((0xC0, 0x250), (0x370, 0x400), (0x1E00, 0x2000)):
-        for k in range(lo, hi):
-            base = "".join(x for x in unicodedata.normalize("NFD", chr(k)) if unicodedata.category(x) != "Mn")
-            if len(base) == 1 and base != chr(k):
-                pairs[chr(k)] = base
-    return "".join(pairs), "".join(pairs.values())
+def _without_marks(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
 
 
-ACCENTED, BASES = _bases()
+def _pairs(blocks) -> dict[str, str]:
+    """What becomes of characters whose canonical decomposition, without marks, is another text."""
+    return {chr(k): b for lo, hi in blocks for k in range(lo, hi) if not 0xD800 <= k < 0xE000 and (b := _without_marks(chr(k))) != chr(k) and b}
+
+
+def _class(points: list[int]) -> str:
+    """Sorted code points as ranges of a regular expression's class."""
+    out = []
+    for _, run in itertools.groupby(enumerate(points), lambda x: x[1] - x[0]):
+        first, *_, last = [k for _, k in run] * 2
+        out.append(f"\\x{{{first:x}}}-\\x{{{last:x}}}" if last > first else f"\\x{{{first:x}}}")
+    return "".join(out)
+
+
+NEAR = _pairs(((0xC0, 0x870), (0x1E00, 0x2000)))
+#: Texts of these blocks alone (Latin, Greek, Cyrillic, Hebrew, Arabic and others) need one small table, and the engine's classes are exact for them.
+BLOCKS = r"\x{0}-\x{86f}\x{1e00}-\x{206f}\x{20a0}-\x{20b5}"
+SYLLABLES, LEADS, VOWELS, TAILS = 0xAC00, 19, 21, 28
+
+
+#: Planes beyond these hold no letters, digits or marks.
+PLANES = ((0x80, 0xD800), (0xE000, 0x40000), (0xE0000, 0xE1000))
+
+
+@functools.cache
+def _far() -> dict:
+    """Tables of all scripts, by the rules of the interpreter's Unicode data: lower case, bases, characters that become several, classes."""
+    lower, every, marks, word = {}, {}, [], [*range(48, 58), *range(65, 91), 95, *range(97, 123)]
+    for k in itertools.chain(*(range(lo, hi) for lo, hi in PLANES)):
+        c = chr(k)
+        kind = unicodedata.category(c)
+        if kind == "Mn":
+            marks.append(k)
+        elif kind[0] in "LN":
+            word.append(k)
+        if (x := c.lower()) != c and len(x) == 1:
+            lower[c] = x
+        if unicodedata.decomposition(c)[:1] not in ("", "<") and (b := _without_marks(c)) != c and b:
+            every[c] = b
+    one, several = ({c: b for c, b in every.items() if (len(b) == 1) is single} for single in (True, False))
+    return {"lower": lower, "one": one, "several": several, "marks": _beyond(r"\p{Mn}", marks), "word": _beyond(f"{ALNUM}_", word)}
+
+
+def _beyond(known: str, points: list[int]) -> str:
+    """The class `known` with those of the code points that the engine, whose Unicode tables may be older, doesn't count as its members, and without others that it does."""
+    context = SparkContext._active_spark_context
+    if context is None or context._jvm is None:
+        return _class(points)
+    left = lambda pattern, some: context._jvm.java.util.regex.Pattern.compile(pattern).matcher("".join(map(chr, some))).replaceAll("")
+    mine = set(points)
+    more = _class([ord(c) for c in left(f"[{known}]", points)])
+    less = _class([ord(c) for c in left(f"[^{known}]", (k for lo, hi in PLANES for k in range(lo, hi) if k not in mine))])
+    return f"{known}{more}&&[^{less}]" if less else known + more
+
+
+def _translated(c: Column, pairs: dict[str, str]) -> Column:
+    return F.translate(c, "".join(pairs), "".join(pairs.values()))
+
+
+def _jamo(c: Column) -> Column:
+    """Hangul syllables as their letters, by arithmetic."""
+    leads, vowels, tails = ("".join(chr(k + i) for i in range(n)) for k, n in ((0x1100, LEADS), (0x1161, VOWELS), (0x11A8, TAILS - 1)))
+
+    def apart(x: Column) -> Column:
+        n = F.ascii(x) - SYLLABLES
+        tail = n % TAILS
+        letter = lambda text, at: F.substr(F.lit(text), at + 1, F.lit(1))
+        parts = F.concat(letter(leads, (n / (VOWELS * TAILS)).cast("int")), letter(vowels, ((n % (VOWELS * TAILS)) / TAILS).cast("int")), F.when(tail > 0, letter(tails, tail - 1)).otherwise(""))
+        return F.when((n >= 0) & (n < LEADS * VOWELS * TAILS), parts).otherwise(x)
+
+    return F.when(c.rlike(r"[\x{ac00}-\x{d7a3}]"), F.array_join(F.transform(F.split(c, ""), apart), "")).otherwise(c)
+
+
+def _bound(c: Column, f) -> Column:
+    """f(c), with c computed once however often f names it."""
+    return F.transform(F.array(c), f)[0]
+
+
+def _any_script(low: Column) -> Column:
+    t = _far()
+    parts = _bound(_translated(_translated(low, t["lower"]), t["one"]), lambda c: _several(c, t))
+    return F.regexp_replace(F.regexp_replace(_bound(parts, _jamo), f"[{t['marks']}]+", ""), f"[^{t['word']}]+", " ")
+
+
+def _several(c: Column, t: dict) -> Column:
+    many = c
+    for x, b in t["several"].items():
+        many = F.replace(many, F.lit(x), F.lit(b))
+    return F.when(c.rlike("[" + "".join(f"\\x{{{ord(x):x}}}" for x in t["several"]) + "]"), many).otherwise(c)
 
 
 def normalize(c: Column) -> Column:
-    """Lower case without accents or punctuation, single spaces. Exact for Latin and Greek letters.
+    """Lower case, canonically decomposed, without marks or punctuation, single spaces, for all of Unicode that the interpreter knows.
 
-    Whatever is no letter, digit or underscore, blanks included, becomes one space; texts of ASCII alone have no accents to look for.
+    Whatever is no letter, digit or underscore, blanks included, becomes one space. Texts of ASCII alone have no accents to look for,
+    those of BLOCKS need one small table; others are looked up in those of all scripts.
     """
     low = F.lower(filled(c))
     plain = F.regexp_replace(low, "[^0-9a-z_]+", " ")
-    other = F.regexp_replace(F.regexp_replace(F.translate(low, ACCENTED, BASES), r"\p{Mn}+", ""), f"[^{ALNUM}_]+", " ")
-    return F.trim(F.when(F.length(low) == F.octet_length(low), plain).otherwise(other))
+    near = F.regexp_replace(F.regexp_replace(_translated(low, NEAR), r"\p{Mn}+", ""), f"[^{ALNUM}_]+", " ")
+    return F.trim(F.when(F.length(low) == F.octet_length(low), plain).when(~low.rlike(f"[^{BLOCKS}]"), near).otherwise(_any_script(low)))
 
 
 def exactness(answer: Column, expected: Column) -> Column:

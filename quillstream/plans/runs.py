@@ -16,7 +16,7 @@ from ..operators import chunk, embed, evaluate, ingest, runs
 from ..sources import fetch, paged, readers, saved, writers
 from ..store import shared, written
 from ..streaming import crawl, log
-from .queries import _RAW, _REASON, _STRIP, ORACLES, _found, _labelled, _norm_sql, _numbers_sql, _raw, _topk_sql, _unique_sql, query, table
+from .queries import _RAW, _REASON, _STRIP, ORACLES, _found, _labelled, _norm_sql, _numbers_sql, _raw, _topk_sql, _unique_sql, query, table, texts
 
 # --- files --------------------------------------------------------------------------------------------------------
 
@@ -432,3 +432,26 @@ def run_log(spark, sf_dir):
     finally:
         spark.streams.removeListener(listener)
     return e.groupBy("outcome").agg(F.sum("n").alias("n"), F.count("*").alias("batches"))
+
+
+# --- texts of other scripts ---------------------------------------------------------------------------------------
+
+#: Vowels as letters of other scripts that decompose, and what is left of those.
+_FAR, _FAR_BASE = "ёйќक़שׁЁЙЌक़שׁ", "еикकשеикकש"
+_GREEK = "ΑΒΨΔΕΦΓΗΙΞΚΛΜΝΟΠΘΡΣΤΥΩΧΖΑΕ"
+
+
+@query(f"SELECT doc_id, md5({_norm_sql(f'''translate(text, 'aeiouAEIOU', '{_FAR_BASE}')''')}) AS digest FROM documents")
+def normalized_scripts(spark, sf_dir):
+    """Texts with Cyrillic, Devanagari and Hebrew letters in place of vowels, normalised."""
+    return texts(spark, sf_dir).select("doc_id", F.md5(tx.normalize(F.translate("text", "aeiouAEIOU", _FAR))).alias("digest"))
+
+
+_CAPITALS = f"translate(upper(regexp_replace(text, '[^A-Za-z ]', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{_GREEK}')"
+
+
+@query(f"SELECT doc_id, md5(regexp_replace(lower({_CAPITALS}), '(\\p{{L}})σ( |$)', '\\1ς\\2', 'g')) AS digest FROM documents")
+def final_sigma(spark, sf_dir):
+    """Greek capitals to small letters: a sigma that ends a word of several letters is a final one."""
+    capitals = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z ]", " ")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", _GREEK)
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.lower(capitals)).alias("digest"))

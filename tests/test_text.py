@@ -95,3 +95,21 @@ def test_post_process(spark):
 def test_refusal(spark):
     assert one(spark, evaluate.is_refusal, " ΔΕΝ ΒΡΈΘΗΚΕ ΣΑΦΉΣ ΑΠΆΝΤΗΣΗ ΣΤΙΣ ΔΙΑΘΈΣΙΜΕΣ ΠΛΗΡΟΦΟΡΊΕΣ.") is True
     assert one(spark, evaluate.is_refusal, None) is False
+
+
+def python_normalize(t):
+    import re
+    import unicodedata
+
+    t = "".join(c for c in unicodedata.normalize("NFD", t.lower().strip()) if unicodedata.category(c) != "Mn")
+    return re.sub(r"\s+", " ", re.sub(r"[^\w\s]", " ", t)).strip()
+
+
+def test_normalize_all_assigned_characters(spark):
+    import unicodedata
+
+    every = [chr(k) for k in range(1, 0x110000) if not 0xD800 <= k < 0xE000 and unicodedata.category(chr(k)) not in ("Cn", "Co")]
+    texts = [f"x{c}y {c}" for c in every] + ["\u039f\u0394\u039f\u03a3 \u03a3 \u0391\u03a3\u0391", "\ud55c\uae00 Stra\u00dfe", "\u0928\u093f \u0958", "\u1e9b\u0323 \ufb01", "", "  "]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
+    wrong = [(r["t"], r["n"], python_normalize(r["t"])) for r in d.select("t", tx.normalize(F.col("t")).alias("n")).collect() if r["n"] != python_normalize(r["t"])]
+    assert not wrong, (len(wrong), wrong[:10])
