@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages that each take and return documents, written as Parquet between them."""
+"""The corpus pipeline: stages that each take and return documents, written as Parquet between them.
+
+Every stage gives an empty table for an empty one, reads the columns of documents alone, whatever others there are, and keeps rows that repeat,
+but for the second, which keeps one of each group.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +20,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a language; clean texts stay as they are."""
+    """Drops texts without a language: null ones, those without a letter, and unsure ones. Rows without an id or a language of their own are judged like others; clean texts stay as they are."""
     let_go(spark)
     small_batches(spark)
     d = langid.identify(docs.select(*COLUMNS), langid.fitted(docs))
@@ -41,7 +45,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out byte strings that start earlier elsewhere; a text that this leaves without a letter or digit is dropped.
 
-    A cut can fall inside a character; its remaining bytes are dropped with it.
+    A cut can fall inside a character; its remaining bytes are dropped with it. A null text counts as empty, and texts that lose nothing stay whatever they hold;
+    rows of one id are ordered by their texts' digests, equal ones lose the same.
     """
     let_go(spark)
     small_batches(spark)
@@ -53,7 +58,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a copy, edited or not, of a test item."""
+    """Drops documents that hold a copy, edited or not, of a test item; null and empty texts and items match nothing, without items all stay."""
     let_go(spark)
     small_batches(spark)
     out = decontam.check(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -61,7 +66,7 @@ def benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
+    """How many words of each document the mix takes; null texts have none, rows without a source are one, ties are as in llm/mixing.py."""
     let_go(spark)
     return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
 
