@@ -63,7 +63,7 @@ def post_process(raw: Column) -> Column:
 
 
 def answer(questions: DataFrame, retrieve, generate, rules: str = "", whole_words: bool = False) -> DataFrame:
-    """questions (qid, question) to (qid, question, route, context, sources, answer).
+    """questions (qid, question) to (qid, question, route, context, sources, iterations: how often was searched, answer).
 
     retrieve(questions to search) gives (qid, context, sources); generate(prompt column) gives a text column.
     """
@@ -71,4 +71,4 @@ def answer(questions: DataFrame, retrieve, generate, rules: str = "", whole_word
     found = retrieve(q.filter(F.col("route") == "retrieve").select("qid", "question"))
     j = q.join(found, "qid", "left")
     text = F.when(F.col("route") == "greeting", HELLO_REPLY).when(F.col("route") == "thanks", BYE_REPLY).otherwise(post_process(generate(prompt(F.col("question"), F.col("context"), rules))))
-    return j.withColumn("answer", text)
+    return j.withColumn("iterations", (F.col("route") == "retrieve").cast("int")).withColumn("answer", text)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import chunk, embed, evaluate, ingest, runs
+from ..operators import agent, chunk, embed, evaluate, ingest, merge, runs
 from ..sources import fetch, paged, readers, saved, writers
 from ..store import shared, written
 from ..streaming import crawl, log
@@ -455,3 +455,66 @@ def final_sigma(spark, sf_dir):
     """Greek capitals to small letters: a sigma that ends a word of several letters is a final one."""
     capitals = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z ]", " ")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", _GREEK)
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.lower(capitals)).alias("digest"))
+
+
+# --- repair by recognition, strict reads, and whole answers -------------------------------------------------------
+
+
+@query("""SELECT s.key AS ada, CASE WHEN d.doc_id IS NULL THEN 'not_in_dataset' WHEN d.doc_id % 5 = 0 THEN 'missing_document_url' WHEN d.doc_id % 7 = 0 THEN 'ocr_failed' WHEN d.doc_id % 11 = 0 THEN 'no_text' END AS error,
+ CASE WHEN error IS NULL THEN md5('u' || d.doc_id || ' one' || chr(10) || chr(10) || 'x' || chr(10) || chr(10) || 'two') END AS digest, CASE WHEN error IS NULL THEN 2 END::INT AS pages
+ FROM (SELECT 'A' || (doc_id * 2) AS key FROM documents WHERE doc_id % 3 = 0) s LEFT JOIN documents d ON s.key = 'A' || d.doc_id""")
+def ocr_repair(spark, sf_dir):
+    """Suspicious keys looked up in the dataset, whose last record of a key counts; recognised pages cleaned and joined, what fails told by reason."""
+    k = F.col("doc_id")
+    d = table(spark, sf_dir, "documents")
+    data = d.select(F.concat(F.lit("A"), k.cast("string")).alias("ada"), k.alias("line_no"), F.when(k % 5 != 0, F.concat(F.lit("u"), k.cast("string"))).alias("document_url"), "text")
+    data = data.unionByName(data.withColumns({"line_no": F.col("line_no") - 1_000_000, "document_url": F.lit("an older one")}))
+    n = lambda u: F.substring(u, 2, 20).cast("long")
+    recognise = lambda u: F.when(n(u) % 7 == 0, None).when(n(u) % 11 == 0, F.array(F.lit(" \r\n"))).otherwise(F.array(F.concat(u, F.lit(" one\r\n\n\n\nx")), F.lit(" \n"), F.lit("two\n")))
+    suspicious = d.filter(k % 3 == 0).select(F.concat(F.lit("A"), (k * 2).cast("string")).alias("ada"))
+    good, bad = merge.repair(suspicious, data, "ada", "line_no", recognise)
+    good = good.select("ada", F.lit(None).cast("string").alias("error"), F.md5("text").alias("digest"), F.size("pages").alias("pages"))
+    return good.unionByName(bad.select("ada", "error"), allowMissingColumns=True)
+
+
+@query("SELECT min(line)::BIGINT AS line, true AS fails, count(*)::BIGINT AS whole FROM (SELECT doc_id, CASE WHEN doc_id % 100 = 37 THEN row_number() OVER (ORDER BY doc_id) END AS line FROM documents)")
+def strict_failure(spark, sf_dir):
+    """A file of JSON lines with broken ones: a strict read fails, the checked one tells the first bad line; without them both read all."""
+    path = _at(spark, "strict")
+    k = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(k.alias("ada"), "source")).alias("value")).repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id")
+    d.select("value").write.text(f"{path}/good")
+    d.select(F.when(k % 100 == 37, "{broken").otherwise(F.col("value")).alias("value")).write.text(f"{path}/bad")
+    line, fails = None, False
+    try:
+        readers.checked(spark, f"{path}/bad", "ada long, source string")
+    except RuntimeError as e:
+        line = int(str(e).split("line ")[1].split(" ")[0])
+    try:
+        readers.strict(spark, f"{path}/bad", "ada long, source string").agg(F.max("ada")).head()
+    except Exception as e:  # noqa: BLE001  what kind of error Spark raises is Spark's
+        fails = "MALFORMED_RECORD" in str(e) or "Malformed" in str(e)
+    whole = readers.checked(spark, f"{path}/good", "ada long, source string")
+    return whole.agg(F.lit(line).cast("long").alias("line"), F.lit(fails).alias("fails"), F.count("*").alias("whole"))
+
+
+_QUESTION = "CASE WHEN qid % 500 = 0 THEN 'Hello' WHEN qid % 700 = 0 THEN 'thanks' ELSE 'Q' || qid END"
+
+
+@query(f"""WITH c AS (SELECT qid, string_agg('Θέμα: ' || id || chr(10) || 'ΑΔΑ: None' || chr(10) || 'Ημερομηνία: None' || chr(10) || 'URL: u/' || id || chr(10) || chr(10) || 'c' || id, chr(10) || chr(10) ORDER BY rank) AS context, string_agg(id::VARCHAR, ',' ORDER BY rank) AS sources FROM ({_topk_sql(5)}) GROUP BY qid),
+ q AS (SELECT qid, {_QUESTION} AS question, context, sources FROM c)
+ SELECT qid, CASE question WHEN 'Hello' THEN 'greeting' WHEN 'thanks' THEN 'thanks' ELSE 'retrieve' END AS route, CASE WHEN question LIKE 'Q%' THEN 1 ELSE 0 END::INT AS iterations, CASE WHEN question LIKE 'Q%' THEN sources END AS sources,
+ CASE question WHEN 'Hello' THEN '{agent.HELLO_REPLY}' WHEN 'thanks' THEN '{agent.BYE_REPLY}' ELSE md5('Rules' || chr(10) || chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Ερώτηση:' || chr(10) || question || chr(10) || chr(10) || 'Απάντηση:' || chr(10)) END AS answer FROM q""")
+def agent_answers(spark, sf_dir):
+    """Questions routed, searched, assembled, answered by a generator that signs its prompt, and cleaned up."""
+    found = _found(spark, sf_dir, 5)
+    qid = F.col("qid")
+    questions = found.select("qid").distinct().withColumn("question", F.when(qid % 500 == 0, "Hello").when(qid % 700 == 0, "thanks").otherwise(F.concat(F.lit("Q"), qid.cast("string"))))
+    s = F.col("id").cast("string")
+
+    def retrieve(asked):
+        return agent.assemble(found.join(asked, "qid", "left_semi"), agent.context_part(s, F.lit(None), F.lit(None), F.concat(F.lit("u/"), s), F.concat(F.lit("c"), s)), s)
+
+    signed = lambda p: F.concat(F.lit("thinking ... Απάντηση: "), F.md5(p), F.lit("\n"), F.md5(p), F.lit("\nUser: more"))
+    a = agent.answer(questions, retrieve, signed, "Rules")
+    return a.select("qid", "route", "iterations", F.array_join("sources", ",").alias("sources"), "answer")
