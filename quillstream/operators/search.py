@@ -148,7 +148,8 @@ def fuse(lists: list[DataFrame], weights: list[float] | None = None, k: int = SE
     total = sum(weights)
     both = None
     for i, (r, w) in enumerate(zip(lists, weights, strict=True)):
-        part = r.select("qid", key, F.lit(i).alias("list"), "rank", (F.lit(w / total) / (F.col("rank") + constant)).alias("part"))
+        # Dealt out anew, since a union of lists that are each partitioned by qid may be taken for one that is.
+        part = r.hint("rebalance").select("qid", key, F.lit(i).alias("list"), "rank", (F.lit(w / total) / (F.col("rank") + constant)).alias("part"))
         both = part if both is None else both.union(part)
     s = both.groupBy("qid", key).agg(F.sum("part").alias("score"), F.min(F.struct("list", "rank")).alias("first"))
     w = W.partitionBy("qid").orderBy(F.desc(F.round("score", 12)), "first")

@@ -416,7 +416,7 @@ def retriever_benchmark(spark, sf_dir):
     a, b = _found(spark, sf_dir, 5, 1, 32), _found(spark, sf_dir, 5, 33, 64)
     out = None
     for name, ranked in (("minilm", a), ("bge", b), ("ensemble", search.fuse([a, b], search.ENSEMBLE_WEIGHTS, search.ENSEMBLE_K))):
-        m = _measured(spark, sf_dir, ranked).withColumn("retriever", F.lit(name))
+        m = _measured(spark, sf_dir, ranked).withColumn("retriever", F.lit(name)).hint("rebalance")
         out = m if out is None else out.union(m)
     return evaluate.retrieval_summary(out, "retriever").withColumn("mrr", F.round("mrr", 9))
 
