@@ -27,6 +27,8 @@ SIGNATURE = r"(?is)Ministry of Digitally.*?Location:\s*Athens"
 NUMBER = r"\p{Nd}+(?:[.,/\-]\p{Nd}+)*"
 # Thresholds of the quality profile, and the reasons in the order they are given.
 MIN_LENGTH, MIN_LETTERS, MIN_WORDS, MAX_ACCENTS, MAX_SYMBOLS = 100, 0.55, 20, 10, 0.25
+#: Days from 1970 that the engine's dates hold.
+FAR_DAYS = 2**31 - 1
 REASONS = ["very_short_text", "low_letter_ratio", "very_few_words", "many_corrupted_accents", "high_symbol_ratio"]
 
 
@@ -103,14 +105,17 @@ def corrupted_accents(c: Column) -> Column:
     return F.when(c.rlike(BAD_ACCENT), F.regexp_count(c, F.lit(BAD_ACCENT))).otherwise(0)
 
 
-def normalize_date(c: Column) -> Column:
-    """Text or number in text form to YYYY-MM-DD or null: all digits are an epoch (milliseconds beyond 1e10), else the date that the text begins with."""
+def normalize_date(c: Column, far: bool = False) -> Column:
+    """Text or number in text form to YYYY-MM-DD or null: all digits are an epoch (milliseconds beyond 1e10), else the date that the text begins with.
+
+    An epoch beyond year 9999 has no date, since days of longer years don't compare as text; with `far` it has one, of as many digits as its year needs.
+    """
     t = strip(c.cast("string"))
     n = F.expr("try_cast(NULL as double)") if c is None else t.try_cast("double")
     seconds = F.when(n > 10_000_000_000, n / 1000).otherwise(n)
     digits = t.rlike("^\\p{Nd}+$")
-    # Beyond year 9999 there is no date.
-    epoch = F.when(seconds < 253402300800, F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int")), "yyyy-MM-dd"))
+    last = FAR_DAYS * 86400 if far else 253402300800
+    epoch = F.when(seconds < last, F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int")), "y-MM-dd"))
     iso = F.substring(t, 1, 10)
     return F.when(digits, epoch).when(iso.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & (F.substring(iso, 1, 4) > "0000"), iso.try_cast("date").cast("string"))
 

@@ -6,6 +6,7 @@ import subprocess
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -39,6 +40,28 @@ def test_same_rows(spark, name):
     assert a == b
 
 
+def same_as_sql(spark, name, folder):
+    """The query over tables in a folder of their own, and its SQL."""
+    import duckdb
+
+    con = duckdb.connect()
+    for f in os.listdir(folder):
+        con.sql(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{folder}/{f}/*.parquet'")
+    mine, theirs = entry.queries()[name](spark, str(folder)), con.sql(entry.oracle_sql()[name])
+    order = sorted(mine.columns)
+    a = sorted(tuple(shown(r[c]) for c in order) for r in mine.collect())
+    b = sorted(tuple(shown(x) for x in r) for r in theirs.select(*[f'"{c}"' for c in order]).fetchall())
+    assert a == b and a
+
+
+def test_dates_of_large_tables(spark, tmp_path):
+    """Ids of larger tables: seconds beyond 1e10 and days beyond year 9999."""
+    e = spark.read.parquet(f"{DATA}/events.parquet").filter("event_id < 100")
+    for k in (0, 2_330_700, 5_999_900, 35_999_900):
+        e.withColumn("event_id", F.col("event_id") + k).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    same_as_sql(spark, "date_normalization", tmp_path)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 

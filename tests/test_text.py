@@ -31,6 +31,12 @@ def test_dates(spark, raw, want):
     assert one(spark, tx.normalize_date, raw) == want
 
 
+@pytest.mark.parametrize("raw, near, far", [("253402300799000", "9999-12-31", "9999-12-31"), ("253402300800000", None, "10000-01-01"), ("433609459200000", None, "15710-07-16"), ("9" * 30, None, None), ("0", "1970-01-01", "1970-01-01")])
+def test_far_dates(spark, raw, near, far):
+    assert one(spark, tx.normalize_date, raw) == near
+    assert one(spark, lambda c: tx.normalize_date(c, far=True), raw) == far
+
+
 @pytest.mark.parametrize(
     "raw, want",
     [
