@@ -85,7 +85,7 @@ def index(spark: SparkSession, folder: str, model: str, chunks: DataFrame, encod
 
 
 class Retrievers:
-    """Retrievers by mode: one model's, or the fusion of both.
+    """Retrievers by mode: one model's, or the fusion of both. Scores are fused sums, as their SQL's are.
 
     `indexes` has a function for each model that gives its vectors (id, v); they are called once and kept until clear().
     """
@@ -108,7 +108,7 @@ class Retrievers:
     def _one(self, model: str) -> Callable[[DataFrame], DataFrame]:
         def find(questions: DataFrame) -> DataFrame:
             q = encode(questions.select("qid", "question"), self.encoders[model], "question", BATCH.get(model, 32), "qv")
-            return search.top_k(q.select("qid", "qv"), self._vectors(model), self.k)
+            return search.top_k(q.select("qid", "qv"), self._vectors(model), self.k, fused=True)
 
         return find
 

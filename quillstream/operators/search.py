@@ -5,6 +5,8 @@ A ranked list has the columns qid, rank (from 1, dense) and the item's columns;
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -45,11 +47,30 @@ def matrix(col: pa.Array, width: int | None) -> tuple[np.ndarray, np.ndarray, in
     return fits, m, width
 
 
+def plain_sums(a: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Inner products of a with each row, from left to right."""
+    return np.add.accumulate(a * rows, axis=1)[:, -1]
+
+
+def fused_sums(a: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """As plain_sums, but a product is added before it is rounded, as engines do that use the instruction for it."""
+    try:
+        out = np.zeros(len(rows))
+        for i, row in enumerate(rows.tolist()):
+            s = 0.0
+            for x, y in zip(a.tolist(), row, strict=True):
+                s = math.fma(x, y, s)
+            out[i] = s
+        return out
+    except (OverflowError, ValueError):  # numbers that are infinite, or become so
+        return plain_sums(a, rows)
+
+
 class Best:
     """The k best vectors seen of each query: score from the highest, then id from the smallest."""
 
-    def __init__(self, qid: list, q: np.ndarray, k: int, others_only: bool):
-        self.qid, self.q, self.k = qid, q, k
+    def __init__(self, qid: list, q: np.ndarray, k: int, others_only: bool, sums=plain_sums):
+        self.qid, self.q, self.k, self.sums = qid, q, k, sums
         self.own = {x: i for i, x in enumerate(qid)} if others_only else {}
         self.found: list[tuple[np.ndarray, list]] = [(np.zeros(0), []) for _ in qid]
         self.least = np.full(len(qid), -np.inf)
@@ -67,7 +88,7 @@ class Best:
             at = np.flatnonzero((near[i] >= bound[i]) & (near[i] > -np.inf))
             if not len(at):
                 continue
-            score = np.add.accumulate(self.q[i] * v[at], axis=1)[:, -1]
+            score = self.sums(self.q[i], v[at])
             old, names = self.found[i]
             score, names = np.concatenate([old, score]), names + [ids[n] for n in at.tolist()]
             keep = sorted(range(len(names)), key=lambda n: (-score[n], names[n]))[: self.k]
@@ -81,23 +102,25 @@ class Best:
                 yield x, n, s
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = SEARCH_K, others_only: bool = False) -> DataFrame:
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = SEARCH_K, others_only: bool = False, fused: bool = False) -> DataFrame:
     """queries (qid, qv) and vectors (id, v) to (qid, rank, id, score): the k vectors of largest inner product, ties by id.
 
     All vectors are scanned once for each slice of at most MOST_QUERIES queries, which alone is broadcast. A task multiplies blocks of
     vectors with all queries of the slice and keeps the k best of each; only those leave it. Scores are sums in double precision from
     left to right. A vector that is null, holds a null, or is of another length than the query has no score and no rank.
-    others_only leaves out the vector whose id is the query's.
+    others_only leaves out the vector whose id is the query's; fused adds products before they are rounded, which may order vectors otherwise whose
+    scores differ in the last bit only.
     """
     n = queries.count()
     slices = max(1, -(-n // MOST_QUERIES))
     kinds = {c: queries.schema[c].dataType if c == "qid" else vectors.schema[c].dataType for c in ("qid", "id")}
     schema = T.StructType().add("qid", kinds["qid"]).add("id", kinds["id"]).add("score", "double")
     context = queries.sparkSession.sparkContext
+    sums = fused_sums if fused else plain_sums
 
     def scan(known):
         def run(batches):
-            bests = [Best(ids, m, k, others_only) for ids, m in known.value]
+            bests = [Best(ids, m, k, others_only, sums) for ids, m in known.value]
             for b in batches:
                 for at in range(0, b.num_rows, BLOCK):
                     part = b.slice(at, BLOCK)

@@ -189,6 +189,23 @@ def test_top_k_ties_lengths_and_nulls(spark, monkeypatch):
     assert 2 not in got
 
 
+def test_top_k_by_fused_sums(spark):
+    """Of vectors whose scores differ in the last bit at most, the order is that of the engine that answers the SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    n = lambda v: [x / sum(y * y for y in v) ** 0.5 for x in v]
+    v = [(i, n([float(x * k) for x in base])) for i, (k, base) in enumerate((k, b) for k in range(1, 40) for b in ((3, 1, 4, 1, 5), (2, 7, 1, 8, 2), (3, 1, 4, 1, 6)))]
+    q = [(i, n([float(x) for x in w])) for i, w in enumerate(((1, 2, 3, 4, 5), (5, 3, 1, 2, 2), (9, 1, 7, 1, 3), (2, 2, 9, 4, 1)))]
+    got = search.top_k(spark.createDataFrame(q, "qid long, qv array<double>"), spark.createDataFrame(v, "id long, v array<double>"), 30, fused=True)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE q (qid BIGINT, qv DOUBLE[])")
+    con.execute("CREATE TABLE v (id BIGINT, v DOUBLE[])")
+    con.executemany("INSERT INTO q VALUES (?, ?)", q)
+    con.executemany("INSERT INTO v VALUES (?, ?)", v)
+    want = con.execute("SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank, id, score FROM (SELECT *, list_inner_product(qv, v) AS score FROM q, v) QUALIFY rank <= 30").fetchall()
+    assert rows(got) == sorted(want, key=str)
+    assert search.fused_sums(search.np.array([1e308, 1e308]), search.np.array([[1.0, 1.0], [2.0, 1.0]])).tolist() == [float("inf")] * 2
+
+
 def test_delay_is_within_a_task():
     s = paged.Service({"fetch": paged.given(lambda p: "[]"), "delay": "0.05"})
     began = time.time()
