@@ -28,6 +28,8 @@ from ..store import opened
 
 # Fixed values of the service's protocol.
 PAGE_SIZE, MOST_PAGES, TRIES = 20, 3, 4
+#: Records that one request asks for at most; larger pages are asked for in parts.
+MOST_ASKED = 2000
 SENT = ("org", "status", "from_date", "to_date")
 
 
@@ -115,40 +117,53 @@ def _records(found) -> list:
 
 
 class Service:
-    """Requests for pages of records, at most one in `delay` seconds from one task."""
+    """Requests for pages of records, at most one in `delay` seconds from one task.
+
+    Records are numbered by pages of `size`, but no request asks for more than `part` (option `request`) of them, so that a task holds one answer
+    of bounded size however large the pages are.
+    """
 
     def __init__(self, options: dict):
         self.options = {k.lower(): v for k, v in options.items()}
         self.size = int(self.options.get("size", PAGE_SIZE))
+        self.part = min(self.size, int(self.options.get("request", MOST_ASKED)))
         self.tries = int(self.options.get("tries", TRIES))
         self.delay = float(self.options.get("delay", 0))
         self.fetch = named(self.options["fetch"])
         self.asked = 0
 
     def page(self, params: dict, number: int) -> list:
+        """Answer of that number, of `part` records each."""
         if self.asked:
             time.sleep(self.delay)
         self.asked += 1
-        return records_of(fetch_with_retries(self.fetch, params | {"page": number, "size": self.size}, self.tries))
+        return records_of(fetch_with_retries(self.fetch, params | {"page": number, "size": self.part}, self.tries))
 
     def length(self, params: dict, first: int, after: int) -> int:
         """Records before the first page from `first` that isn't full, looked for before page `after`. Pages are full up to the last."""
+        return min(self._length(params, first * self.size // self.part, -(-after * self.size // self.part)), after * self.size)
+
+    def _length(self, params: dict, first: int, after: int) -> int:
         low, high, rest = first, after, 0
         while low < high:
             middle = (low + high) // 2
             n = len(self.page(params, middle))
-            if n >= self.size:
+            if n >= self.part:
                 low = middle + 1
             else:
                 high, rest = middle, n
-        return low * self.size + (rest if low < after else 0)
+        return low * self.part + (rest if low < after else 0)
 
-    def pages(self, params: dict) -> int:
-        """How many pages hold records: twice as far until one isn't full, then between."""
+    def records(self, params: dict) -> int:
+        """How many records there are: answers twice as far until one isn't full, then between."""
         step = 1
-        while len(self.page(params, step - 1)) >= self.size:
+        while len(self.page(params, step - 1)) >= self.part:
             step *= 2
-        return -(-self.length(params, step // 2, step) // self.size)
+        return self._length(params, step // 2, step)
+
+    def pages(self, params: dict) -> int:
+        """How many pages hold records."""
+        return -(-self.records(params) // self.size)
 
     def row(self, number: int, position: int, record: dict) -> tuple:
         shown = lambda x: None if x is None else str(x)
@@ -165,7 +180,7 @@ FIELDS = {"org": "organizationId", "status": "status", "date": "issueDate"}
 
 
 class Run(InputPartition):
-    """Pages of one request that a task asks for, one after the other; of the first and last page records from `first` up to `last` only."""
+    """Answers (parts of pages, where those are large) that a task asks for, one after the other; of the first and last one records from `first` up to `last` only."""
 
     def __init__(self, params: dict, pages: list[int], first: int = 0, last: int | None = None):
         self.params, self.pages, self.first, self.last = params, pages, first, last
@@ -174,9 +189,9 @@ class Run(InputPartition):
 def asked_for(service: Service, run: Run):
     for p in run.pages:
         for i, r in enumerate(service.page(run.params, p)):
-            n = p * service.size + i
+            n = p * service.part + i
             if n >= run.first and (run.last is None or n < run.last):
-                yield service.row(p, i, r)
+                yield service.row(n // service.size, n % service.size, r)
 
 
 def dealt(pages: list[int], tasks: int) -> list[list[int]]:
@@ -218,7 +233,7 @@ class RecordsReader(DataSourceReader):
     def partitions(self):
         service = Service(self.options)
         tasks = int(service.options.get("tasks", 8))
-        found = [Run(r, run) for r in self.requests() for run in dealt(list(range(service.pages(r))), tasks)]
+        found = [Run(r, run) for r in self.requests() for run in dealt(list(range(-(-service.records(r) // service.part))), tasks)]
         return found or [Run({}, [])]
 
     def read(self, partition):
@@ -278,8 +293,8 @@ class RecordsStream(DataSourceStreamReader):
     def partitions(self, start, end):
         self.at = max(self.at or 0, end["record"])
         self.keep(end["record"])
-        low, high, size = start["record"], end["record"], self.service.size
-        pages = list(range(low // size, -(-high // size))) if high > low else []
+        low, high, part = start["record"], end["record"], self.service.part
+        pages = list(range(low // part, -(-high // part))) if high > low else []
         return [Run(self.params, run, low, high) for run in dealt(pages, int(self.options.get("tasks", 8)))]
 
     def read(self, partition):

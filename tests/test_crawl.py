@@ -34,6 +34,44 @@ def test_answers(spark, tmp_path):
     assert ids(page=0, from_date="2024-01-04", to_date="2024-01-05") == [3, 4, 13, 14, 23, 24]
 
 
+def test_answers_over_many_blocks(spark, tmp_path, monkeypatch):
+    """Pages of records that fit, over many blocks and parts of files."""
+    monkeypatch.setattr(saved, "BLOCK", 100)
+    monkeypatch.setattr(saved, "GROUP", 1000)
+    path = f"file://{tmp_path}/service"
+    service(spark, path, 5000, ("7", "9", "8"))
+    fetch = saved.answers(path)
+    day = lambda i: f"2024-01-{i % 10 + 1:02d}"
+    for p in ({}, {"org": "9"}, {"org": "9", "from_date": "2024-01-04", "to_date": "2024-01-05"}, {"org": "x"}, {"from_date": "2024-01-09"}):
+        want = [i for i in range(5000) if p.get("org", ("7", "9", "8")[i % 3]) == ("7", "9", "8")[i % 3] and p.get("from_date", "") <= day(i) <= p.get("to_date", "3")]
+        for page in (0, 1, 3, len(want) // 70, len(want) // 70 + 1):
+            assert [r["id"] for r in paged.records_of(fetch({"page": page, "size": 70} | p))] == want[page * 70 : page * 70 + 70]
+
+
+def test_large_pages_come_in_parts(spark, tmp_path):
+    """No request asks for more than `request` records, whatever the pages' size; rows are numbered by pages as before."""
+    sizes, answer = [], saved.answers(f"file://{tmp_path}/service")
+    service(spark, f"file://{tmp_path}/service", 333)
+
+    def fetch(p):
+        sizes.append(p["size"])
+        return answer(p)
+
+    whole = [(r // 100, r % 100, r) for r in range(333)]
+    options = {"fetch": paged.given(fetch), "size": "100", "request": "30", "batch": "2", "progress": f"{tmp_path}/p"}
+    s = paged.Service(options)
+    s.fetch = fetch
+    assert s.records({}) == 333 and s.pages({}) == 4 and s.length({}, 0, 3) == 300 and s.length({}, 1, 8) == 333 and set(sizes) == {30}
+    reader = paged.RecordsReader(options)
+    read = lambda r, ps: sorted((x[0], x[1], json.loads(x[-1])["id"]) for p in ps for x in r.read(p))
+    assert read(reader, reader.partitions()) == whole
+    list(reader.pushFilters([paged.In(("org",), ("7", "9"))]))
+    assert len(read(reader, reader.partitions())) == 333
+    stream = paged.RecordsStream(options)
+    assert stream.latestOffset() == {"record": 200} and stream.latestOffset() == {"record": 333}
+    assert [x for a, b in ((0, 200), (200, 333)) for x in read(stream, stream.partitions({"record": a}, {"record": b}))] == whole
+
+
 def test_records_of():
     assert paged.records_of('{"response": {"data": {"items": [{"a": 1}, 2]}}}') == [{"a": 1}]
     assert paged.records_of('{"decisions": [], "results": [{"a": 1}]}') == [] and paged.records_of("{}") == [] and paged.records_of("3") == []
