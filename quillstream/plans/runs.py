@@ -396,13 +396,13 @@ def skewed_ordinals(spark, sf_dir):
 
 @query("""SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id)::BIGINT AS line, doc_id, doc_id % 7 = 3 AS bad FROM documents WHERE lang IS NOT NULL QUALIFY bad""")
 def numbered_bad_lines(spark, sf_dir):
-    """Files of JSON lines, one for each language, some of whose lines are broken: all of those with their numbers."""
+    """JSON lines, a folder for each language whose files go on where the one before ends, some of them broken: all of those with their numbers."""
     path = _at(spark, "lines")
     k = F.col("doc_id")
-    d = table(spark, sf_dir, "documents").filter("lang is not null")
+    d = table(spark, sf_dir, "documents").filter("lang is not null").select("lang", "doc_id", "text").repartitionByRange("lang", "doc_id").sortWithinPartitions("lang", "doc_id")
     line = F.when(k % 7 == 3, F.concat(F.lit('{"ada": '), k.cast("string"), F.lit(', "text":'))).otherwise(F.to_json(F.struct(k.alias("ada"), "text")))
-    d.select("lang", "doc_id", line.alias("value")).repartitionByRange(1, "lang").sortWithinPartitions("lang", "doc_id").select("lang", "value").write.partitionBy("lang").text(path)
-    bad = readers.bad_lines(spark, path)
+    d.select("lang", line.alias("value")).write.partitionBy("lang").text(path)
+    bad = readers.bad_lines(spark, path, folders=True)
     return bad.select(F.regexp_extract("file", "lang=([^/]*)", 1).alias("lang"), "line", F.regexp_extract("text", "([0-9]+)", 1).cast("long").alias("doc_id"), F.lit(True).alias("bad"))
 
 
@@ -479,22 +479,22 @@ def ocr_repair(spark, sf_dir):
 
 @query("SELECT min(line)::BIGINT AS line, true AS fails, count(*)::BIGINT AS whole FROM (SELECT doc_id, CASE WHEN doc_id % 100 = 37 THEN row_number() OVER (ORDER BY doc_id) END AS line FROM documents)")
 def strict_failure(spark, sf_dir):
-    """A file of JSON lines with broken ones: a strict read fails, the checked one tells the first bad line; without them both read all."""
+    """A folder of JSON lines with broken ones: a strict read fails, the checked one tells the first bad line; without them both read all."""
     path = _at(spark, "strict")
     k = F.col("doc_id")
-    d = table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(k.alias("ada"), "source")).alias("value")).repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(k.alias("ada"), "source")).alias("value")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     d.select("value").write.text(f"{path}/good")
     d.select(F.when(k % 100 == 37, "{broken").otherwise(F.col("value")).alias("value")).write.text(f"{path}/bad")
     line, fails = None, False
     try:
-        readers.checked(spark, f"{path}/bad", "ada long, source string")
+        readers.checked(spark, f"{path}/bad", "ada long, source string", folders=True)
     except RuntimeError as e:
         line = int(str(e).split("line ")[1].split(" ")[0])
     try:
         readers.strict(spark, f"{path}/bad", "ada long, source string").agg(F.max("ada")).head()
     except Exception as e:  # noqa: BLE001  what kind of error Spark raises is Spark's
         fails = "MALFORMED_RECORD" in str(e) or "Malformed" in str(e)
-    whole = readers.checked(spark, f"{path}/good", "ada long, source string")
+    whole = readers.checked(spark, f"{path}/good", "ada long, source string", folders=True)
     return whole.agg(F.lit(line).cast("long").alias("line"), F.lit(fails).alias("fails"), F.count("*").alias("whole"))
 
 

@@ -34,9 +34,11 @@ def strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def bad_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def bad_lines(spark: SparkSession, path: str | list[str], folders: bool = False) -> DataFrame:
     """(file, line from 1, text) of every line that is neither blank nor JSON, over any number of files.
 
+    Lines are counted within their file or, with `folders`, through all files of a folder in order of their names, as a sorted write leaves them.
+
     One scan counts the lines of each split and gives its bad ones with their places there; a split's first line has the lines of the file's
     earlier splits before it. A split holds the lines that begin in it, so the counts of a file add up.
     """
@@ -67,20 +69,20 @@ def bad_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["file", "start", "place", "value"])
 
     found = written(lines.select("file", "start", F.when(bad, F.col("value"))).mapInArrow(run, "file string, start long, place long, value string"), "lines")
-    before = W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(F.regexp_extract("file", "^(.*)/", 1) if folders else "file").orderBy("file", "start").rowsBetween(W.unboundedPreceding, -1)
     splits = found.filter("value is null").select("file", "start", F.coalesce(F.sum("place").over(before), F.lit(0)).alias("ahead"))
     return found.filter("value is not null").join(splits, ["file", "start"]).select("file", (F.col("ahead") + F.col("place") + 1).alias("line"), F.col("value").alias("text"))
 
 
-def first_bad(spark: SparkSession, path: str) -> tuple[str, int, str] | None:
+def first_bad(spark: SparkSession, path: str, folders: bool = False) -> tuple[str, int, str] | None:
     """(file, line from 1, text) of the first line that is neither blank nor JSON, for the report of a failed strict read."""
-    r = bad_lines(spark, path).orderBy("file", "line").head()
+    r = bad_lines(spark, path, folders).orderBy("file", "line").head()
     return tuple(r) if r else None
 
 
-def checked(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def checked(spark: SparkSession, path: str, schema: str, folders: bool = False) -> DataFrame:
     """A strict read that is tried at once: a line that is no JSON fails it with the file, the number and the text of the first such line."""
-    bad = first_bad(spark, path)
+    bad = first_bad(spark, path, folders)
     if bad:
         raise RuntimeError("{}: line {} is no JSON: {:.200}".format(*bad))
     return strict(spark, path, schema)

@@ -1,6 +1,7 @@
 """The paged service as batches and as a stream, state keyed by record, and sinks that commit as a whole."""
 
 import json
+import os
 import time
 from functools import reduce
 
@@ -278,6 +279,39 @@ def test_bad_lines_over_splits(spark, tmp_path):
     assert readers.first_bad(spark, f"{tmp_path}/good") is None and readers.checked(spark, f"{tmp_path}/good", "k long").count() == 2
 
 
+def test_bad_lines_through_folders(spark, tmp_path):
+    """Two folders of several files each, of several splits: lines are counted on from file to file."""
+    d = spark.range(900).select(F.when(F.col("id") % 3 == 0, "x").otherwise("y").alias("lang"), "id", F.when(F.col("id") % 7 == 3, F.concat(F.lit("{broken "), "id")).otherwise(F.to_json(F.struct("id"))).alias("value"))
+    d.repartitionByRange(5, "lang", "id").sortWithinPartitions("lang", "id").select("lang", "value").write.partitionBy("lang").text(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = readers.bad_lines(spark, f"{tmp_path}/in", folders=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    kinds = {k: [i for i in range(900) if (i % 3 == 0) == (k == "x")] for k in "xy"}
+    want = [(k, n, "{broken %d" % i) for k, ids in kinds.items() for n, i in enumerate(ids, 1) if i % 7 == 3]
+    assert sorted((r["file"].split("lang=")[1][0], r["line"], r["text"]) for r in got) == sorted(want)
+    assert len({r["file"] for r in got}) > 2
+
+
+def test_no_task_writes_all_lines(spark, tmp_path):
+    """Lines of one language are dealt to several files."""
+    import __spark_entry__ as entry
+
+    folders = lambda: {f"{p}/{x}" for p in [spark.conf.get("spark.checkpoint.dir").removeprefix("file://")] for x in os.listdir(p) if x.startswith("lines-")}
+    spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.repeat(F.lit("text "), 200).alias("text")).write.parquet(f"{tmp_path}/in/documents.parquet")
+    old = folders() if os.path.isdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) else set()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = entry.queries()["numbered_bad_lines"](spark, f"{tmp_path}/in")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert rows(got.select("line", "doc_id")) == sorted([(i + 1, i) for i in range(4000) if i % 7 == 3], key=str)
+    assert max(len([x for x in os.listdir(f"{p}/lang=en") if x.startswith("part-")]) for p in folders() - old if os.path.isdir(f"{p}/lang=en")) > 1
+
+
 def test_counters_and_log(spark, tmp_path):
     d = spark.createDataFrame([("A", 1, None), ("A", 2, None), ("B", 3, "missing_ada"), ("C", 4, "wrong_organization")], "k string, n int, reason string")
     assert log.written_and_counted(d, f"{tmp_path}/t") == {"accepted": 2, "invalid_or_out_of_range_date": 0, "wrong_organization": 1, "missing_ada": 1}
