@@ -161,7 +161,8 @@ PLANES = ((0x80, 0xD800), (0xE000, 0x40000), (0xE0000, 0xE1000))
 
 @functools.cache
 def _far() -> dict:
-    """Tables of all scripts, by the rules of the interpreter's Unicode data: lower case, bases, characters that become several, classes."""
+    """Tables of all scripts, by the rules of the interpreter's Unicode data: what becomes of a character, in lower case and without marks, at once;
+    characters that become several; the class of words, and a class of few ranges without syllables, those, or characters on which the engine's own class differs."""
     lower, every, marks, word = {}, {}, [], [*range(48, 58), *range(65, 91), 95, *range(97, 123)]
     for k in itertools.chain(*(range(lo, hi) for lo, hi in PLANES)):
         c = chr(k)
@@ -175,23 +176,41 @@ def _far() -> dict:
         if unicodedata.decomposition(c)[:1] not in ("", "<") and (b := _without_marks(c)) != c and b:
             every[c] = b
     one, several = ({c: b for c, b in every.items() if (len(b) == 1) is single} for single in (True, False))
-    return {"lower": lower, "one": one, "several": several, "marks": _beyond(r"\p{Mn}", marks), "word": _beyond(f"{ALNUM}_", word)}
-
-
-def _beyond(known: str, points: list[int]) -> str:
-    """The class `known` with those of the code points that the engine, whose Unicode tables may be older, doesn't count as its members, and without others that it does."""
+    gone, pairs = set(map(chr, marks)), {}
+    for c in {*lower, *one, *gone}:
+        x = lower.get(c, c)
+        x = one.get(x, x)
+        pairs[c] = "" if x in gone else x
+    exact, differs = _beyond(f"{ALNUM}_", word)
+    if differs is None:
+        return {"pairs": pairs, "several": several, "word": exact, "easy": None}
+    odd = sorted({-1, *differs, *map(ord, several), SYLLABLES, SYLLABLES + LEADS * VOWELS * TAILS - 1, 0x110000})
+    gaps = [(a + 1, b) for a, b in itertools.pairwise(odd) if a + 1 < b and a != SYLLABLES and a < 0x10000]
+    easy = sorted(sorted(gaps, key=lambda x: x[0] - x[1])[:EASY] + [gaps[0]])
+    return {"pairs": pairs, "several": several, "word": exact, "easy": "".join(f"\\x{{{a:x}}}-\\x{{{b - 1:x}}}" for a, b in dict.fromkeys(easy))}
+
+
+#: Ranges of the class of texts that need no other look; each costs time for every character.
+EASY = 10
+
+
+def _beyond(known: str, points: list[int]) -> tuple[str, list[int] | None]:
+    """The class `known` with those of the code points that the engine, whose Unicode tables may be older, doesn't count as its members, and without others that it does; and all of these, or None without an engine."""
     context = SparkContext._active_spark_context
     if context is None or context._jvm is None:
-        return _class(points)
+        return _class(points), None
     left = lambda pattern, some: context._jvm.java.util.regex.Pattern.compile(pattern).matcher("".join(map(chr, some))).replaceAll("")
     mine = set(points)
-    more = _class([ord(c) for c in left(f"[{known}]", points)])
-    less = _class([ord(c) for c in left(f"[^{known}]", (k for lo, hi in PLANES for k in range(lo, hi) if k not in mine))])
-    return f"{known}{more}&&[^{less}]" if less else known + more
+    added = [ord(c) for c in left(f"[{known}]", points)]
+    taken = [ord(c) for c in left(f"[^{known}]", (k for lo, hi in PLANES for k in range(lo, hi) if k not in mine))]
+    more, less = _class(added), _class(taken)
+    return f"{known}{more}&&[^{less}]" if less else known + more, added + taken
 
 
 def _translated(c: Column, pairs: dict[str, str]) -> Column:
-    return F.translate(c, "".join(pairs), "".join(pairs.values()))
+    """Each character as what it becomes, of one character or none."""
+    last = sorted(pairs, key=lambda x: not pairs[x])
+    return F.translate(c, "".join(last), "".join(pairs[x] for x in last))
 
 
 def _jamo(c: Column) -> Column:
@@ -215,8 +234,12 @@ def _bound(c: Column, f) -> Column:
 
 def _any_script(low: Column) -> Column:
     t = _far()
-    parts = _bound(_translated(_translated(low, t["lower"]), t["one"]), lambda c: _several(c, t))
-    return F.regexp_replace(F.regexp_replace(_bound(parts, _jamo), f"[{t['marks']}]+", ""), f"[^{t['word']}]+", " ")
+
+    def words(c: Column) -> Column:
+        whole = F.regexp_replace(_bound(_several(c, t), _jamo), f"[^{t['word']}]+", " ")
+        return F.when(c.rlike(f"[^{t['easy']}]"), whole).otherwise(F.regexp_replace(c, f"[^{ALNUM}_]+", " ")) if t["easy"] else whole
+
+    return _bound(_translated(low, t["pairs"]), words)
 
 
 def _several(c: Column, t: dict) -> Column:

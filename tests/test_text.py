@@ -119,3 +119,21 @@ def test_normalize_all_assigned_characters(spark):
     d = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
     wrong = [(r["t"], r["n"], python_normalize(r["t"])) for r in d.select("t", tx.normalize(F.col("t")).alias("n")).collect() if r["n"] != python_normalize(r["t"])]
     assert not wrong, (len(wrong), wrong[:10])
+
+
+def test_easy_texts_of_other_scripts(spark):
+    """Texts of common scripts need one look; syllables, characters that become several, and those on which engines differ get the others. Both follow the interpreter."""
+    import re
+    import unicodedata
+
+    tx.normalize(F.lit("क"))
+    easy = re.compile("[^" + re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", tx._far()["easy"]) + "]")
+    plain, odd = ["क़ पानी, हिन्दी x_1", "שׁלום עולם é", "漢字 かな、カナ", "ё\u0301й ไทย!"], ["한국어 क", "\u09cb\u0995 ক", "\ua7c0\u0870 क", "𐞀 \U0002ebf0 क"]
+    assert not any(easy.search(x) for x in plain) and all(easy.search(x) for x in odd)
+
+    def rule(text):
+        low = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c) != "Mn")
+        return "".join(c if c == "_" or unicodedata.category(c)[0] in "LN" else " " for c in low).split()
+
+    for x in plain + odd:
+        assert one(spark, tx.normalize, x).split() == rule(x)
