@@ -16,7 +16,7 @@ from ..operators import agent, chunk, embed, evaluate, ingest, merge, runs
 from ..sources import fetch, paged, readers, saved, writers
 from ..store import shared, written
 from ..streaming import crawl, log
-from .queries import _RAW, _REASON, _STRIP, ORACLES, _found, _labelled, _norm_sql, _numbers_sql, _raw, _topk_sql, _unique_sql, query, table, texts
+from .queries import _RAW, _REASON, _STRIP, ORACLES, _arrived, _found, _labelled, _norm_sql, _numbers_sql, _raw, _topk_sql, _unique_sql, query, table, texts
 
 # --- files --------------------------------------------------------------------------------------------------------
 
@@ -316,7 +316,7 @@ def stream_rejects(spark, sf_dir):
     top = d.agg(F.max("event_id")).head()[0] or 0
     s = None
     for lo, hi in ((-1, top // 3), (top // 3, 2 * top // 3), (2 * top // 3, top)):
-        d.filter((F.col("event_id") > lo) & (F.col("event_id") <= hi)).coalesce(1).write.mode("append").parquet(f"{at}/in")
+        _arrived(d, (F.col("event_id") > lo) & (F.col("event_id") <= hi), f"{at}/in")
         s = spark.readStream.schema(d.schema).parquet(f"{at}/in") if s is None else s
         crawl.run(s, f"{at}/checkpoint", f"{at}/accepted", f"{at}/rejected", "ada", "event_id")
     crawl.run(s, f"{at}/checkpoint", f"{at}/accepted", f"{at}/rejected", "ada", "event_id")
@@ -425,7 +425,7 @@ def run_log(spark, sf_dir):
     spark.streams.addListener(listener)
     try:
         for part in (F.col("event_id") <= middle, F.col("event_id") > middle):
-            d.filter(part).coalesce(1).write.mode("append").parquet(f"{at}/in")
+            _arrived(d, part, f"{at}/in")
             s = spark.readStream.schema(d.schema).parquet(f"{at}/in").observe("outcomes", *log.outcomes())
             crawl.run(s, f"{at}/checkpoint", f"{at}/accepted", f"{at}/rejected", "ada", "event_id")
         e = log.entries(spark, f"{at}/log")

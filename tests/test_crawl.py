@@ -312,6 +312,33 @@ def test_no_task_writes_all_lines(spark, tmp_path):
     assert max(len([x for x in os.listdir(f"{p}/lang=en") if x.startswith("part-")]) for p in folders() - old if os.path.isdir(f"{p}/lang=en")) > 1
 
 
+@pytest.mark.parametrize("name, folder, batches", [("stream_rejects", "rejects-", 3), ("stream_dedup", "stream-", 4), ("run_log", "logged-", 2)])
+def test_no_task_writes_all_that_arrives(spark, tmp_path, name, folder, batches):
+    """What arrives for a batch is dealt to several files of about equal size, and is one batch nevertheless."""
+    import __spark_entry__ as entry
+
+    duckdb = pytest.importorskip("duckdb")
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    folders = lambda: {x for x in (os.listdir(base) if os.path.isdir(base) else []) if x.startswith(folder)}
+    i = F.col("event_id")
+    d = spark.range(90_000).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 28).alias("ts"), (F.col("id") % 9).alias("user_id"))
+    d.select("*", F.lit("view").alias("event_type"), (i % 7).cast("double").alias("value"), F.lit("{}").alias("props")).coalesce(1).write.parquet(f"{tmp_path}/in/events.parquet")
+    old = folders()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = rows(entry.queries()[name](spark, f"{tmp_path}/in"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/in/events.parquet/*.parquet'")
+        assert got == sorted(con.execute(entry.oracle_sql()[name]).fetchall(), key=str)
+    (made,) = folders() - old
+    per = spark.read.parquet(f"file://{base}/{made}/in").groupBy(F.input_file_name()).count().collect()
+    assert len(per) > batches and max(r["count"] for r in per) < 90_000 // batches * 3 // 4
+    done = [x for x in os.listdir(f"{base}/{made}/checkpoint/commits") if x.isdigit()]
+    assert len(done) == batches
+
+
 def test_counters_and_log(spark, tmp_path):
     d = spark.createDataFrame([("A", 1, None), ("A", 2, None), ("B", 3, "missing_ada"), ("C", 4, "wrong_organization")], "k string, n int, reason string")
     assert log.written_and_counted(d, f"{tmp_path}/t") == {"accepted": 2, "invalid_or_out_of_range_date": 0, "wrong_organization": 1, "missing_ada": 1}
