@@ -84,9 +84,14 @@ def index(spark: SparkSession, folder: str, model: str, chunks: DataFrame, encod
     return spark.read.parquet(path)
 
 
+def _directed(v: str) -> Column:
+    return F.exists(v, lambda x: x != 0)
+
+
 class Retrievers:
     """Retrievers by mode: one model's, or the fusion of both. Scores are fused sums, as their SQL's are.
 
+    A text whose embedding is zero has no direction: it finds nothing and is not found.
     `indexes` has a function for each model that gives its vectors (id, v); they are called once and kept until clear().
     """
 
@@ -94,21 +99,26 @@ class Retrievers:
         self.indexes, self.encoders, self.k, self.fused = indexes, encoders, k, fused
         self.weights = weights or search.ENSEMBLE_WEIGHTS
         self.held: dict[str, DataFrame] = {}
+        self.lists: dict[str, tuple[DataFrame, DataFrame]] = {}
 
     def clear(self) -> None:
         for d in self.held.values():
             d.unpersist()
-        self.held = {}
+        self.held, self.lists = {}, {}
 
     def _vectors(self, model: str) -> DataFrame:
         if model not in self.held:
-            self.held[model] = self.indexes[model]().persist()
+            self.held[model] = self.indexes[model]().filter(_directed("v")).persist()
         return self.held[model]
 
     def _one(self, model: str) -> Callable[[DataFrame], DataFrame]:
         def find(questions: DataFrame) -> DataFrame:
-            q = encode(questions.select("qid", "question"), self.encoders[model], "question", BATCH.get(model, 32), "qv")
-            return search.top_k(q.select("qid", "qv"), self._vectors(model), self.k, fused=True)
+            # The same list for the same questions, so that a plan that needs it twice can use one exchange.
+            if model not in self.lists or self.lists[model][0] is not questions:
+                q = encode(questions.select("qid", "question"), self.encoders[model], "question", BATCH.get(model, 32), "qv")
+                got = search.top_k(q.select("qid", "qv").filter(_directed("qv")), self._vectors(model), self.k, fused=True, n=questions.count())
+                self.lists[model] = questions, got
+            return self.lists[model][1]
 
         return find
 

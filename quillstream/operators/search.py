@@ -6,6 +6,7 @@ A ranked list has the columns qid, rank (from 1, dense) and the item's columns;
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +20,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 # Results per retriever, results of the ensemble, fusion's constant and weights.
 SEARCH_K, ENSEMBLE_K, RRF = 5, 15, 60
 ENSEMBLE_WEIGHTS = [0.3, 0.7]
-#: More queries than this are not broadcast; they are worked on in slices.
+#: More queries or vectors than this are not broadcast; they are worked on in slices.
 MOST_QUERIES = 20_000
 #: Vectors that are multiplied with all queries of a slice at once.
 BLOCK = 1024
+#: Products that are held at once, and pairs whose sums are, where vectors are broadcast.
+PRODUCTS, PAIRS = 2_000_000, 50_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -48,22 +51,22 @@ def matrix(col: pa.Array, width: int | None) -> tuple[np.ndarray, np.ndarray, in
 
 
 def plain_sums(a: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Inner products of a with each row, from left to right."""
+    """Inner products of a, or of each row of a, with each row, from left to right."""
     return np.add.accumulate(a * rows, axis=1)[:, -1]
 
 
 def fused_sums(a: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """As plain_sums, but a product is added before it is rounded, as engines do that use the instruction for it."""
-    try:
-        out = np.zeros(len(rows))
-        for i, row in enumerate(rows.tolist()):
-            s = 0.0
-            for x, y in zip(a.tolist(), row, strict=True):
+    out = np.zeros(len(rows))
+    for i, (one, row) in enumerate(zip(np.broadcast_to(a, rows.shape).tolist(), rows.tolist(), strict=True)):
+        s = 0.0
+        try:
+            for x, y in zip(one, row, strict=True):
                 s = math.fma(x, y, s)
-            out[i] = s
-        return out
-    except (OverflowError, ValueError):  # numbers that are infinite, or become so
-        return plain_sums(a, rows)
+        except (OverflowError, ValueError):  # numbers that are infinite, or become so
+            s = plain_sums(np.array(one), rows[i : i + 1])[0]
+        out[i] = s
+    return out
 
 
 class Best:
@@ -102,33 +105,66 @@ class Best:
                 yield x, n, s
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = SEARCH_K, others_only: bool = False, fused: bool = False) -> DataFrame:
+def best_known(q: np.ndarray, v: np.ndarray, k: int, sums=plain_sums, never=()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of v, score) of the k best rows of v for each row of q: score from the highest, then row of v from the first. Pairs in `never` have no score."""
+    near = q @ v.T
+    near[np.isnan(near)] = -np.inf
+    for i, j in never:
+        near[i, j] = -np.inf
+    # As in Best: products tell what could be among the k best, and sums from left to right decide.
+    slack = 1e-12 * (1 + np.abs(q).sum(1) * (np.abs(v).max() if v.size else 0.0))
+    bound = np.full(len(q), -np.inf) if len(v) <= k else np.partition(near, len(v) - k, axis=1)[:, len(v) - k]
+    with np.errstate(invalid="ignore"):
+        bound = np.nan_to_num(bound - slack, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+    i, j = np.nonzero((near >= bound[:, None]) & (near > -np.inf))
+    score = np.concatenate([np.zeros(0), *(sums(q[i[x : x + PAIRS]], v[j[x : x + PAIRS]]) for x in range(0, len(i), PAIRS))])
+    order = np.lexsort((j, -score, i))
+    i, j, score = i[order], j[order], score[order]
+    first = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[first], j[first], score[first]
+
+
+def held(d: DataFrame, key: str, vector: str, slices: int, i: int) -> list[tuple[list, np.ndarray]]:
+    """(keys, vectors as a matrix) for each length of vectors, of slice i of d."""
+    part = d if slices == 1 else d.filter(F.pmod(F.xxhash64(key), F.lit(slices)) == i)
+    got = part.select(key, vector).toArrow().combine_chunks()
+    ids, col = got.column(key).to_pylist(), got.column(vector).combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.float64()))
+    out = []
+    for width in sorted({x for x in pc.list_value_length(col).to_pylist() if x}):
+        fits, m, _ = matrix(col, width)
+        if len(fits):
+            out.append(([ids[x] for x in fits.tolist()], m))
+    return out
+
+
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = SEARCH_K, others_only: bool = False, fused: bool = False, n: int | None = None) -> DataFrame:
     """queries (qid, qv) and vectors (id, v) to (qid, rank, id, score): the k vectors of largest inner product, ties by id.
 
-    All vectors are scanned once for each slice of at most MOST_QUERIES queries, which alone is broadcast. A task multiplies blocks of
-    vectors with all queries of the slice and keeps the k best of each; only those leave it. Scores are sums in double precision from
-    left to right. A vector that is null, holds a null, or is of another length than the query has no score and no rank.
+    The smaller side alone is broadcast, in slices of at most MOST_QUERIES rows, and the other is scanned once for each slice: a task multiplies blocks of
+    vectors with all queries of the slice, or blocks of queries with all its vectors, and keeps the k best of each query; only those leave it. Scores are sums in
+    double precision from left to right. A vector that is null, holds a null, or is of another length than the query has no score and no rank.
     others_only leaves out the vector whose id is the query's; fused adds products before they are rounded, which may order vectors otherwise whose
-    scores differ in the last bit only.
+    scores differ in the last bit only. n is the number of queries, where it is known, or about that; it decides how, not what.
     """
-    n = queries.count()
-    slices = max(1, -(-n // MOST_QUERIES))
+    n = queries.count() if n is None else n
+    m = vectors.count() if n > BLOCK else n
     kinds = {c: queries.schema[c].dataType if c == "qid" else vectors.schema[c].dataType for c in ("qid", "id")}
     schema = T.StructType().add("qid", kinds["qid"]).add("id", kinds["id"]).add("score", "double")
     context = queries.sparkSession.sparkContext
     sums = fused_sums if fused else plain_sums
+    out_schema = to_arrow_schema(schema)
 
-    def scan(known):
+    def of_queries(known):
         def run(batches):
-            bests = [Best(ids, m, k, others_only, sums) for ids, m in known.value]
+            bests = [Best(ids, q, k, others_only, sums) for ids, q in known.value]
             for b in batches:
                 for at in range(0, b.num_rows, BLOCK):
                     part = b.slice(at, BLOCK)
                     ids, col = part.column(0).to_pylist(), part.column(1)
                     for best in bests:
-                        fits, m, _ = matrix(col, best.q.shape[1])
+                        fits, v, _ = matrix(col, best.q.shape[1])
                         if len(fits):
-                            best.add([ids[i] for i in fits.tolist()], m)
+                            best.add([ids[i] for i in fits.tolist()], v)
             rows = [r for best in bests for r in best.rows()]
             for i in range(0, len(rows), 50_000):
                 cols = list(zip(*rows[i : i + 50_000], strict=True))
@@ -136,17 +172,43 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = SEARCH_K, others_only
 
         return run
 
+    def of_vectors(known):
+        def run(batches):
+            sides = []
+            for ids, v in known.value:
+                order = sorted(range(len(ids)), key=lambda x: (0,) if ids[x] is None else (1, ids[x]))
+                # Of equal vectors only the first k can be among the k best, if none is left out.
+                seen, first = Counter(), []
+                for x in order:
+                    seen[v[x].tobytes()] += 1
+                    if others_only or seen[v[x].tobytes()] <= k:
+                        first.append(x)
+                sides.append(([ids[x] for x in first], v[first]))
+            places = [{} for _ in sides]
+            for at, (ids, _) in zip(places, sides, strict=True):
+                for j, x in enumerate(ids if others_only else ()):
+                    at.setdefault(x, []).append(j)
+            names = [pa.array(ids, out_schema.field("id").type) for ids, _ in sides]
+            for b in batches:
+                for (_, v), at, name in zip(sides, places, names, strict=True):
+                    size = max(1, min(BLOCK, PRODUCTS // len(v)))
+                    for part in (b.slice(x, size) for x in range(0, b.num_rows, size)):
+                        fits, q, _ = matrix(part.column(1), v.shape[1])
+                        if len(fits):
+                            qid = part.column(0).take(pa.array(fits))
+                            never = [(i, j) for i, x in enumerate(qid.to_pylist()) for j in at.get(x, ())] if others_only else ()
+                            i, j, score = best_known(q, v, k, sums, never)
+                            yield pa.RecordBatch.from_arrays([qid.take(pa.array(i)).cast(out_schema.field("qid").type), name.take(pa.array(j)), pa.array(score)], schema=out_schema)
+
+        return run
+
     out = None
-    out_schema = to_arrow_schema(schema)
+    slices = max(1, -(-min(n, m) // MOST_QUERIES))
     for i in range(slices):
-        q = queries if slices == 1 else queries.filter(F.pmod(F.xxhash64("qid"), F.lit(slices)) == i)
-        got = q.select("qid", "qv").toArrow().combine_chunks()
-        ids, col = got.column("qid").to_pylist(), got.column("qv").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.float64()))
-        known = []
-        for width in sorted({x for x in pc.list_value_length(col).to_pylist() if x}):
-            fits, m, _ = matrix(col, width)
-            known.append(([ids[x] for x in fits.tolist()], m))
-        part = vectors.select("id", "v").mapInArrow(scan(context.broadcast(known)), schema)
+        if m < n:
+            part = queries.select("qid", "qv").mapInArrow(of_vectors(context.broadcast(held(vectors, "id", "v", slices, i))), schema)
+        else:
+            part = vectors.select("id", "v").mapInArrow(of_queries(context.broadcast(held(queries, "qid", "qv", slices, i))), schema)
         out = part if out is None else out.union(part)
     w = W.partitionBy("qid").orderBy(F.desc("score"), "id")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("qid", "rank", "id", "score")

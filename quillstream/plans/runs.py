@@ -168,29 +168,29 @@ def _vector_sql(text: str, kinds: str) -> str:
 
 
 def _ranked_sql(kinds: str, k: int) -> str:
-    return f"""SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank, score FROM (SELECT qid, id, list_inner_product(list_transform(qv, lambda x: x / qn), list_transform(v, lambda x: x / n)) AS score FROM
- (SELECT *, sqrt(list_inner_product(qv, qv)) AS qn FROM (SELECT conv_id AS qid, {_vector_sql('text', kinds)} AS qv FROM conversations WHERE turn = 1 AND conv_id % 10 = 0)),
+    return f"""SELECT qid, turn, id, row_number() OVER (PARTITION BY qid, turn ORDER BY score DESC, id) AS rank, score FROM (SELECT qid, turn, id, list_inner_product(list_transform(qv, lambda x: x / qn), list_transform(v, lambda x: x / n)) AS score FROM
+ (SELECT *, sqrt(list_inner_product(qv, qv)) AS qn FROM (SELECT conv_id AS qid, turn, {_vector_sql('text', kinds)} AS qv FROM conversations)),
  (SELECT *, sqrt(list_inner_product(v, v)) AS n FROM (SELECT item_id AS id, {_vector_sql('text', kinds)} AS v FROM benchmark)) WHERE qn > 0 AND n > 0) QUALIFY rank <= {k}"""
 
 
 def _modes_sql() -> str:
-    part = lambda i, kinds, w: f"SELECT qid, id, {i} AS list, rank, {w}::DOUBLE / (60 + rank) AS part FROM ({_ranked_sql(kinds, 5)})"
-    fused = f"SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, first) AS rank FROM (SELECT qid, id, sum(part) AS score, min(list * 1000 + rank) AS first FROM ({part(0, _LETTERS, 0.3)} UNION ALL {part(1, _LETTERS[::-1][:5], 0.7)}) GROUP BY qid, id) QUALIFY rank <= 15"
-    one = lambda m, kinds: f"SELECT '{m}' AS mode, qid, id, rank::INT AS rank FROM ({_ranked_sql(kinds, 5)})"
-    return f"{one('minilm', _LETTERS)} UNION ALL {one('bge', _LETTERS[::-1][:5])} UNION ALL SELECT 'ensemble', qid, id, rank::INT FROM ({fused})"
+    part = lambda i, kinds, w: f"SELECT qid, turn, id, {i} AS list, rank, {w}::DOUBLE / (60 + rank) AS part FROM ({_ranked_sql(kinds, 5)})"
+    fused = f"SELECT qid, turn, id, row_number() OVER (PARTITION BY qid, turn ORDER BY round(score, 12) DESC, first) AS rank FROM (SELECT qid, turn, id, sum(part) AS score, min(list * 1000 + rank) AS first FROM ({part(0, _LETTERS, 0.3)} UNION ALL {part(1, _LETTERS[::-1][:5], 0.7)}) GROUP BY qid, turn, id) QUALIFY rank <= 15"
+    one = lambda m, kinds: f"SELECT '{m}' AS mode, qid, turn, id, rank::INT AS rank FROM ({_ranked_sql(kinds, 5)})"
+    return f"{one('minilm', _LETTERS)} UNION ALL {one('bge', _LETTERS[::-1][:5])} UNION ALL SELECT 'ensemble', qid, turn, id, rank::INT FROM ({fused})"
 
 
 @query(_modes_sql())
 def retriever_modes(spark, sf_dir):
-    """From texts to ranked items by each mode: encoded, indexed, searched and fused."""
+    """From texts to ranked items by each mode: encoded, indexed, searched and fused. Every turn of every conversation is a question."""
     c = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("chunk_id"), F.col("text").alias("page_content"))
     folder, encoders = _at(spark, "modes"), {"minilm": letters, "bge": letters_}
     build = lambda m: lambda: embed.index(spark, folder, m, c, encoders[m]).select(F.col("chunk_id").alias("id"), F.col("embedding").alias("v"))
     r = embed.Retrievers({m: build(m) for m in encoders}, encoders)
-    q = table(spark, sf_dir, "conversations").filter("turn = 1 and conv_id % 10 = 0").select(F.col("conv_id").alias("qid"), F.col("text").alias("question"))
+    q = texts(spark, sf_dir, "conversations").select(F.struct(F.col("conv_id").alias("qid"), "turn").alias("qid"), F.col("text").alias("question"))
     out = None
     for mode in (" MiniLM", "bge", "ensemble"):
-        part = r.load(mode)(q).select(F.lit(mode.strip().lower()).alias("mode"), "qid", "id", "rank")
+        part = r.load(mode)(q).select(F.lit(mode.strip().lower()).alias("mode"), "qid.qid", "qid.turn", "id", "rank")
         out = part if out is None else out.union(part)
     return out
 

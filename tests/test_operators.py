@@ -40,6 +40,23 @@ def test_top_k_and_slices(spark, monkeypatch):
     assert [r[2] for r in whole if r[0] == 2] == [5, 8, 1]
 
 
+@pytest.mark.parametrize("fused", [False, True])
+def test_top_k_of_few_vectors(spark, monkeypatch, fused):
+    """Many queries on few vectors, which are broadcast in their stead: the same rows, with copies, nulls and other lengths, in one slice or several."""
+    v = [(i, [0.1 * (i % 4), 0.3, 0.7]) for i in range(20)] + [(30, None), (31, [1.0, None, 2.0]), (32, [9.0, 9.0]), (33, [0.0, 0.0, 0.0]), (34, [None])]
+    q = [(i, [0.1 * (i % 7) - 0.2, 0.3, 0.1 * (i % 3)]) for i in range(50)] + [(50, [1.0, 1.0]), (51, None), (52, [0.0, 0.0, 0.0]), (53, [None, 1.0, 1.0]), (54, [1.0])]
+    d = spark.createDataFrame(v, "id long, v array<double>").repartition(3)
+    q = spark.createDataFrame(q, "qid long, qv array<double>").repartition(3)
+    for others_only in (False, True):
+        whole = rows(search.top_k(q, d, 5, others_only, fused))
+        assert len(whole) == 51 * 5 + 1
+        for block, most in ((7, 100), (7, 6)):
+            with monkeypatch.context() as m:
+                m.setattr(search, "BLOCK", block)
+                m.setattr(search, "MOST_QUERIES", most)
+                assert rows(search.top_k(q, d, 5, others_only, fused)) == whole
+
+
 def test_unique_documents_and_metrics(spark):
     r = spark.createDataFrame([(1, i, d) for i, d in enumerate(["d1", "d1", "d2", "", "d3"], 1)], "qid long, rank int, document string")
     u = search.unique_documents(r, "document")

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from quillstream.operators import search
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -62,6 +63,19 @@ def test_dates_of_large_tables(spark, tmp_path):
     same_as_sql(spark, "date_normalization", tmp_path)
 
 
+def test_every_turn_is_a_question(spark, tmp_path, monkeypatch):
+    """Turns and conversations of any number, turns that are null or twice, texts without the letters that one encoder or both count."""
+    t = [(i, j, "user", f"{'enters train'[i : i + 4]} noise {'s' * j} {'t' * i} {j}") for i in range(7) for j in (0, 1, 5)]
+    t += [(7, None, "user", "no turn"), (8, 1, "user", "said once"), (8, 1, "user", "said twice, in other words"), (9, 0, "user", ""), (9, 1, "user", "17 %"), (9, 2, "user", "aie iae")]
+    spark.createDataFrame(t, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.read.parquet(f"{DATA}/benchmark.parquet").union(spark.createDataFrame([(99_998, "123"), (99_999, "ai")], "item_id long, text string")).write.parquet(f"{tmp_path}/benchmark.parquet")
+    for block in (search.BLOCK, 10):
+        monkeypatch.setattr(search, "BLOCK", block)
+        same_as_sql(spark, "retriever_modes", tmp_path)
+    got = {(r["qid"], r["turn"]) for r in entry.queries()["retriever_modes"](spark, str(tmp_path)).collect()}
+    assert got == {(i, j) for i, j, _, _ in t} - {(9, 0), (9, 1)}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
